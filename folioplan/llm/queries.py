@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import visual
+from folioplan.llm import leaks, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,5 +19,30 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return visual.plain_form(rows, "value").select("paper_id", "field", "pos", "value", "plain")
 
 
-QUERIES = {"p1_found": p1_found, "p1_plain": p1_plain}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked passages, as offsets in the original text."""
+    one = _leaks(spark, d).select("doc_id", "item_id", F.round("share", 6).alias("share"), F.explode("passages").alias("p"))
+    return one.select("doc_id", "item_id", "share", F.col("p.start").alias("start"), F.col("p.stop").alias("stop"), F.col("p.words").alias("words"))
+
+
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item with the number of documents that carry it."""
+    return leaks.report(_leaks(spark, d), table(spark, d, "eval_items")).withColumn("max_share", F.round("max_share", 6))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_plain": p1_plain,
+    "p7_found": p7_found,
+    "p7_passages": p7_passages,
+    "p7_items": p7_items,
+}
 ORACLE: dict[str, str] = {}
