@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import leaks, visual
+from folioplan.llm import encoding, leaks, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,11 +38,22 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(_leaks(spark, d), table(spark, d, "eval_items")).withColumn("max_share", F.round("max_share", 6))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with their restored texts, the chains undone, and whether something stays lost."""
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id", "restored", F.array_join("chains", "; ").alias("chains"), "lost")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_plain": p1_plain,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_items": p7_items,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 ORACLE: dict[str, str] = {}
