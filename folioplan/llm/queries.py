@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import encoding, leaks, visual
+from folioplan.llm import encoding, leaks, mixing, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -38,6 +38,16 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.report(_leaks(spark, d), table(spark, d, "eval_items")).withColumn("max_share", F.round("max_share", 6))
 
 
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per source of the targets: budget, what the mixture holds, and its actual share."""
+    return mixing.shares(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))).withColumn("fitted_weight", F.round("fitted_weight", 8))
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mixture and how often each is repeated."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -53,6 +63,8 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_items": p7_items,
+    "p8_shares": p8_shares,
+    "p8_mixture": p8_mixture,
     "p9_found": p9_found,
     "p9_restored": p9_restored,
 }
