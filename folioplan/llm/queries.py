@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import encoding, leaks, mixing, visual
+from folioplan.llm import encoding, leaks, mixing, survivors, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -23,6 +23,15 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_records(spark, d).select("group_id", "field", "paper_id")
+
+
+def p2_records(spark: SparkSession, d: str) -> DataFrame:
+    """The surviving record of each group, field by field, with the surviving value."""
+    return survivors.survivors(table(spark, d, "papers"), table(spark, d, "source_trust"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).select("doc_id", "item_id").distinct()
 
@@ -60,6 +69,8 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_plain": p1_plain,
+    "p2_found": p2_found,
+    "p2_records": p2_records,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_items": p7_items,
