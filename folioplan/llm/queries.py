@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import encoding, leaks, mixing, survivors, visual
+from folioplan.llm import encoding, leaks, linkage, mixing, survivors, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,19 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return visual.plain_form(rows, "value").select("paper_id", "field", "pos", "value", "plain")
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return linkage.link(table(spark, d, "papers"), table(spark, d, "provider_works")).where(F.col("confidence") >= linkage.MATCH)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _links(spark, d).select("paper_id", "record_id")
+
+
+def p6_confidence(spark: SparkSession, d: str) -> DataFrame:
+    """The matching pairs with their confidence."""
+    return _links(spark, d).select("paper_id", "record_id", F.round("confidence", 6).alias("confidence"))
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -71,6 +84,8 @@ QUERIES = {
     "p1_plain": p1_plain,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p6_found": p6_found,
+    "p6_confidence": p6_confidence,
     "p7_found": p7_found,
     "p7_passages": p7_passages,
     "p7_items": p7_items,
