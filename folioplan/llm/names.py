@@ -108,7 +108,7 @@ def parse(name: str) -> tuple[str, str, str, str, bool]:
         return "p", re.sub(r"[\W_]", "", "".join(parts[:-1])).lower(), given, middle, True
     given, middle = _given(parts[:-1])
     sure = len(re.sub(r"\W", "", given)) <= 1 or parts[0].endswith(".")
-    if parts[0].isupper() and len(parts[0]) > 3 and not parts[-1].isupper():  # LAST First
+    if parts[0].isupper() and len(re.sub(r"\W", "", parts[0])) > 3 and not parts[-1].isupper():  # LAST First
         given, middle = _given(parts[1:])
         return "p", re.sub(r"[\W_]", "", parts[0]).lower(), given, middle, True
     return "p", re.sub(r"[\W_]", "", parts[-1]).lower(), given, middle, sure
@@ -125,10 +125,12 @@ def _given(words: list[str]) -> tuple[str, str]:
     if not pieces:
         return "", ""
     first, rest = pieces[0], pieces[1:]
-    if re.fullmatch(r"(?:[A-Z]\.-?){2,}|[A-Z]{2,3}", first) and not rest:  # "J.-L.", "YA"
-        letters = re.sub(r"\W", "", first).lower()
+    letters = re.sub(r"\W", "", first).lower()
+    if re.fullmatch(r"[A-Z]\.?-[A-Z]\.?", first):  # "J.-L." abbreviates one double name
+        return letters[0], "".join(re.sub(r"\W", "", w)[:1].lower() for w in rest)
+    if re.fullmatch(r"(?:[A-Z]\.){2,}|[A-Z]{2,3}", first) and not rest:  # "J.L.", "YA"
         return letters[0], letters[1:]
-    while rest and len(re.sub(r"\W", "", rest[0])) > 2 and not rest[0].endswith(".") and len(re.sub(r"\W", "", first)) > 1:
+    while rest and not rest[0].endswith(".") and re.search(r"[^\W\d_].*[^\W\d_]", rest[0]) and not rest[0].isupper() and len(re.sub(r"\W", "", first)) > 1:
         first, rest = first + rest[0], rest[1:]  # "Mei Ling"
     bare = re.sub(r"[\W_]", "", first).lower()
     if first.endswith(".") and len(bare) > 1:
@@ -201,11 +203,13 @@ def _follow(labels: DataFrame, merges: DataFrame) -> DataFrame:
 
 def _merges_by_unique_key(probes: DataFrame, held: DataFrame) -> DataFrame:
     """(entity, target): probes (entity, middles, key) whose keys name exactly one other entity of ``held``."""
-    one = held.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"))
+    one = held.distinct().groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.count("*").alias("owners"))
     hit = probes.select("entity", "key").distinct().join(one, "key")
     # Of a key that two entities own, the probing one may be the one.
-    other = F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo") == F.col("entity"), F.lit(None)).when(F.col("hi") == F.col("entity"), F.lit(None))
-    ambiguous = (F.col("lo") != F.col("hi")).cast("int")
+    own = (F.col("lo") == F.col("entity")) | (F.col("hi") == F.col("entity"))
+    other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own, F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
+    other = F.when(other != F.col("entity"), other)
+    ambiguous = ((F.col("owners") > 2) | (F.col("owners") == 2) & ~own).cast("int")
     found = hit.select("entity", other.alias("target"), ambiguous.alias("amb")).groupBy("entity").agg(
         F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb")
     )
@@ -257,15 +261,15 @@ def _round(s: DataFrame) -> DataFrame:
         return df.select("entity", F.concat_ws("|", F.lit(tag), *parts).alias("key"))
 
     out = []
-    # Same surname and given name, whatever the middle initials.
-    same = keyed(full, "e", F.col("surname"), F.col("given"))
+    # Same surname and given name, with and without middle initials.
     out.append(_merges_by_unique_key(keyed(full.where("middle = ''"), "e", F.col("surname"), F.col("given")), keyed(full.where("middle <> ''"), "e", F.col("surname"), F.col("given"))))
-    del same
     # A familiar form and its formal names.
     short = full.withColumn("formal", formal).where("formal IS NOT NULL")
     asked = short.select("entity", "surname", F.explode("formal").alias("f"))
-    owned = full.select("entity", "surname", F.col("given").alias("f")).unionByName(short.where("size(formal) = 1").select("entity", "surname", F.col("formal")[0].alias("f")))
-    out.append(_merges_by_unique_key(keyed(asked, "f", F.col("surname"), F.col("f")), keyed(owned, "f", F.col("surname"), F.col("f"))))
+    formal_of = full.select("entity", "surname", F.col("given").alias("f"))
+    familiar_of = short.where("size(formal) = 1").select("entity", "surname", F.col("formal")[0].alias("f"))
+    for owned in (formal_of, familiar_of):
+        out.append(_merges_by_unique_key(keyed(asked, "f", F.col("surname"), F.col("f")), keyed(owned, "f", F.col("surname"), F.col("f"))))
     # Initials and abbreviations; the first half of a double name without its second ("Hans" for "Hans-Peter").
     cutoff = s.where("given <> '' AND (length(given) = 1 OR endswith(given, '.'))").withColumn("p", F.regexp_replace("given", r"\.", ""))
     halves = full.where("g_use > 0").select("entity", "surname", F.col("given").alias("p"), "given")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import encoding, leaks, linkage, mixing, survivors, visual
+from folioplan.llm import encoding, leaks, linkage, mixing, names, survivors, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,15 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return visual.plain_form(rows, "value").select("paper_id", "field", "pos", "value", "plain")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(names.resolve(table(spark, d, "papers")))
+
+
+def p4_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Every author string with the person or organisation it names."""
+    return names.resolve(table(spark, d, "papers"))
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     return linkage.link(table(spark, d, "papers"), table(spark, d, "provider_works")).where(F.col("confidence") >= linkage.MATCH)
 
@@ -84,6 +93,8 @@ QUERIES = {
     "p1_plain": p1_plain,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p4_found": p4_found,
+    "p4_entities": p4_entities,
     "p6_found": p6_found,
     "p6_confidence": p6_confidence,
     "p7_found": p7_found,
