@@ -139,7 +139,18 @@ def _given(words: list[str]) -> tuple[str, str]:
     return bare, middle
 
 
-_PARSED = "name string, n long, kind string, surname string, given string, middle string, sure boolean"
+def half_of(name: str) -> str:
+    """First half of a double given name ("Hans" of "Hans-Peter", "Mei" of "Mei Ling"); "" where there is none."""
+    t = fold_case(name)
+    m = re.search(r"(?:^|,\s*|\s)([^\W\d_]{2,})-[^\W\d_]{2,}", t)
+    kind, surname, given, _, _ = parse(name)
+    half = m[1].lower() if m else ""
+    if not half:
+        half = next((w.lower() for w in re.findall(r"[^\W\d_]{2,}", t) if given.startswith(w.lower()) and w.lower() != given), "")
+    return half if kind == "p" and half and given.startswith(half) and given != half else ""
+
+
+_PARSED = "name string, n long, kind string, surname string, given string, middle string, sure boolean, half string"
 
 
 def spellings(papers: DataFrame) -> DataFrame:
@@ -149,8 +160,8 @@ def spellings(papers: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(a, n, *parse(a)) for a, n in zip(b["name"], b["n"])]
-            yield pd.DataFrame(rows, columns=["name", "n", "kind", "surname", "given", "middle", "sure"])
+            rows = [(a, n, *parse(a), half_of(a)) for a, n in zip(b["name"], b["n"])]
+            yield pd.DataFrame(rows, columns=["name", "n", "kind", "surname", "given", "middle", "sure", "half"])
 
     return counted.mapInPandas(run, _PARSED).where("kind <> '' AND surname <> ''")
 
@@ -160,12 +171,12 @@ def _oriented(parsed: DataFrame) -> DataFrame:
     full = parsed.where("kind = 'p' AND length(given) > 1 AND NOT endswith(given, '.')")
     uses = full.select("given", F.explode(F.array(F.struct(F.col("given").alias("w"), F.lit(1.0).alias("g"), F.lit(0.0).alias("s")), F.struct(F.col("surname").alias("w"), F.lit(0.0).alias("g"), F.lit(1.0).alias("s")))).alias("x"), "sure")
     weight = F.when(F.col("sure"), 3.0).otherwise(1.0)
-    stats = cut(uses.groupBy("x.w").agg((F.sum(F.col("x.g") * weight) + 0.5).alias("g"), (F.sum(F.col("x.s") * weight) + 0.5).alias("s")).select("w", F.log(F.col("g") / F.col("s")).alias("odds")))
+    stats = uses.groupBy("x.w").agg((F.sum(F.col("x.g") * weight) + 0.5).alias("g"), (F.sum(F.col("x.s") * weight) + 0.5).alias("s")).select("w", F.log(F.col("g") / F.col("s")).alias("odds"))
     one = stats.select(F.col("w").alias("given"), F.col("odds").alias("og"))
     two = stats.select(F.col("w").alias("surname"), F.col("odds").alias("os"))
     j = parsed.join(one, "given", "left").join(two, "surname", "left")
     swap = (F.col("kind") == "p") & ~F.col("sure") & (F.length("given") > 1) & (F.col("middle") == "") & (F.coalesce("os", F.lit(0.0)) - F.coalesce("og", F.lit(0.0)) > 0.7)
-    return j.select("name", "n", "kind", F.when(swap, F.col("given")).otherwise(F.col("surname")).alias("surname"), F.when(swap, F.col("surname")).otherwise(F.col("given")).alias("given"), "middle")
+    return j.select("name", "n", "kind", F.when(swap, F.col("given")).otherwise(F.col("surname")).alias("surname"), F.when(swap, F.col("surname")).otherwise(F.col("given")).alias("given"), "middle", "half")
 
 
 def _deletions(c: Column) -> Column:
@@ -183,37 +194,32 @@ def _prefixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k))
 
 
-def _follow(labels: DataFrame, merges: DataFrame) -> DataFrame:
-    """Labels after merging: merges (entity, target) of this round, each entity with one target of smaller rank."""
-    # Chains and mutual merges of a round: the smaller label of both ends spreads until nothing moves.
-    edges = merges.select("entity", "target").unionByName(merges.select(F.col("target").alias("entity"), F.col("entity").alias("target"))).distinct()
-    edges = cut(edges)
-    root = edges.select("entity").distinct().withColumn("root", F.col("entity"))
+def _follow(member: DataFrame, merges: DataFrame) -> DataFrame:
+    """(form, entity) after the merges of a round; each entity has one target, chains and circles end at their smallest."""
+    pairs = merges.select(F.col("entity").alias("a"), F.col("target").alias("b"))
+    edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    root = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
     while True:
-        near = edges.join(root.withColumnRenamed("entity", "target"), "target").groupBy("entity").agg(F.min("root").alias("new"))
-        jump = root.select(F.col("entity").alias("new"), F.col("root").alias("further"))
-        step = near.join(root, "entity").withColumn("new", F.least("new", "root")).join(jump, "new", "left")
-        step = cut(step.select("entity", "root", F.least("new", "further").alias("new")))
-        moved = step.where("new <> root").limit(1).count()
-        root = step.select("entity", F.col("new").alias("root"))
-        if not moved:
+        near = edges.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("new"))
+        jump = root.select(F.col("a").alias("new"), F.col("root").alias("further"))
+        step = cut(near.join(root, "a").withColumn("new", F.least("new", "root")).join(jump, "new", "left").select("a", "root", F.least("new", "further").alias("new")))
+        root = step.select("a", F.col("new").alias("root"))
+        if not step.where("new <> root").limit(1).count():
             break
-    return cut(labels.join(root, "entity", "left").select("name", F.coalesce("root", "entity").alias("entity")))
+    return cut(member.join(root.withColumnRenamed("a", "entity"), "entity", "left").select("form", F.coalesce("root", "entity").alias("entity")))
 
 
-def _merges_by_unique_key(probes: DataFrame, held: DataFrame) -> DataFrame:
-    """(entity, target): probes (entity, middles, key) whose keys name exactly one other entity of ``held``."""
+def _named(probes: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, target): probes (entity, tag, key) whose keys of one tag name exactly one other entity of ``held``."""
     one = held.distinct().groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.count("*").alias("owners"))
-    hit = probes.select("entity", "key").distinct().join(one, "key")
+    hit = probes.distinct().join(one, "key")
     # Of a key that two entities own, the probing one may be the one.
     own = (F.col("lo") == F.col("entity")) | (F.col("hi") == F.col("entity"))
     other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own, F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
     other = F.when(other != F.col("entity"), other)
     ambiguous = ((F.col("owners") > 2) | (F.col("owners") == 2) & ~own).cast("int")
-    found = hit.select("entity", other.alias("target"), ambiguous.alias("amb")).groupBy("entity").agg(
-        F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb")
-    )
-    return found.where("amb = 0 AND target = last AND target <> entity").select("entity", "target")
+    found = hit.select("entity", "tag", other.alias("target"), ambiguous.alias("amb")).groupBy("entity", "tag").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb"))
+    return found.where("amb = 0 AND target = last").select("entity", "target")
 
 
 def resolve(papers: DataFrame, max_rounds: int = 12) -> DataFrame:
@@ -223,99 +229,107 @@ def resolve(papers: DataFrame, max_rounds: int = 12) -> DataFrame:
     spellings.  Different middle initials keep people apart.  An initial or short form that fits several people stays
     alone unless co-authors decide.  Copies of rows add no weight beyond the distinct papers.
     """
-    forms = cut(_oriented(spellings(papers)))
-    base = F.when(F.col("kind") == "o", F.concat(F.lit("o "), F.regexp_replace("surname", r"\.", ""))).otherwise(F.concat_ws("|", F.lit("p"), "surname", "given", "middle"))
-    forms = forms.withColumn("form", base)
-    labels = cut(forms.select("name", F.col("form").alias("entity")))
-    forms = cut(forms.groupBy("form").agg(F.first("kind").alias("kind"), F.first("surname").alias("surname"), F.first("given").alias("given"), F.first("middle").alias("middle"), F.sum("n").alias("n")))
-    people, bodies = forms.where("kind = 'p'"), forms.where("kind = 'o'")
-    bearers = people.where("length(given) > 1 AND NOT endswith(given, '.')")
+    spark = papers.sparkSession
+    bare = F.when(F.col("kind") == "o", F.concat(F.lit("o "), F.regexp_replace("surname", r"\.", ""))).otherwise(F.concat_ws("|", F.lit("p"), "surname", "given", "middle"))
+    named = cut(_oriented(spellings(papers)).withColumn("form", bare))
+    forms = named.groupBy("form").agg(*[F.first(c).alias(c) for c in ("kind", "surname", "given", "middle")], F.max("half").alias("half"), F.sum("n").alias("n"))
+    forms = forms.withColumn("full", (F.col("kind") == "p") & (F.length("given") > 1) & ~F.col("given").endswith("."))
     # How many different surnames a given name goes with, and the reverse: a word typed wrong has hardly any.
-    given_use = cut(bearers.groupBy("given").agg(F.count_distinct("surname").alias("g_use")))
-    surname_use = cut(people.groupBy("surname").agg(F.count_distinct(F.when(F.length("given") > 1, F.col("given"))).alias("s_use"), F.sum("n").alias("s_n")))
-    facts = cut(people.join(given_use, "given", "left").join(surname_use, "surname", "left").fillna({"g_use": 0, "s_use": 0}))
-    member = labels.select(F.col("entity").alias("form"), "entity").distinct()
+    given_use = forms.where("full").groupBy("given").agg(F.count_distinct("surname").alias("g_use"))
+    surname_use = forms.where("kind = 'p'").groupBy("surname").agg(F.count_distinct(F.when(F.col("full"), F.col("given"))).alias("s_use"), F.sum("n").alias("s_n"))
+    familiar = F.broadcast(spark.createDataFrame(list(FAMILIAR.items()), "given string, formals array<string>"))
+    facts = forms.join(given_use, "given", "left").join(surname_use, "surname", "left").join(familiar, "given", "left")
+    facts = cut(facts.fillna({"g_use": 0, "s_use": 0, "s_n": 0}).withColumn("p", F.regexp_replace("given", r"\.", "")))
+    member = facts.select("form", F.col("form").alias("entity"))
     for _ in range(max_rounds):
-        state = cut(facts.join(member, "form"))
-        known = state.groupBy("entity").agg(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("middle") != "", F.array(F.col("middle")))))).alias("middles"), F.sum("n").alias("weight"))
-        merges = _round(state).unionByName(_bodies(bodies.join(member, "form")))
-        merges = merges.where("entity <> target").groupBy("entity").agg(F.min("target").alias("target"))
-        a = known.select("entity", F.col("middles").alias("ma"))
-        b = known.select(F.col("entity").alias("target"), F.col("middles").alias("mb"))
-        checked = merges.join(a, "entity", "left").join(b, "target", "left")
-        clash = (F.size("ma") > 0) & (F.size("mb") > 0) & ~F.exists("ma", lambda x: F.exists("mb", lambda y: x.startswith(y) | y.startswith(x)))
+        state = facts.join(member, "form")
+        merges = _named(*_keys(state)).unionByName(_mistyped(state)).where("entity <> target").groupBy("entity").agg(F.min("target").alias("target"))
+        known = state.where("middle <> ''").groupBy("entity").agg(F.collect_set("middle").alias("m"))
+        checked = merges.join(known.withColumnRenamed("m", "ma"), "entity", "left").join(known.select(F.col("entity").alias("target"), F.col("m").alias("mb")), "target", "left")
+        clash = ~F.exists("ma", lambda x: F.exists("mb", lambda y: x.startswith(y) | y.startswith(x)))
         merges = cut(checked.where(~F.coalesce(clash, F.lit(False))).select("entity", "target"))
         if not merges.limit(1).count():
             break
-        member = _follow(member.withColumnRenamed("form", "name"), merges).withColumnRenamed("name", "form")
-    joined = cut(labels.withColumnRenamed("entity", "form").join(member, "form"))
-    return _by_coauthors(papers, joined.join(facts.select("form", "surname", "given", "middle"), "form", "left"))
-
-
-def _round(s: DataFrame) -> DataFrame:
-    full = s.where("length(given) > 1 AND NOT endswith(given, '.')")
-    familiar = F.create_map(*[x for k, v in FAMILIAR.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
-    formal = F.try_element_at(familiar, F.col("given"))
-
-    def keyed(df: DataFrame, tag: str, *parts: Column) -> DataFrame:
-        return df.select("entity", F.concat_ws("|", F.lit(tag), *parts).alias("key"))
-
-    out = []
-    # Same surname and given name, with and without middle initials.
-    out.append(_merges_by_unique_key(keyed(full.where("middle = ''"), "e", F.col("surname"), F.col("given")), keyed(full.where("middle <> ''"), "e", F.col("surname"), F.col("given"))))
-    # A familiar form and its formal names.
-    short = full.withColumn("formal", formal).where("formal IS NOT NULL")
-    asked = short.select("entity", "surname", F.explode("formal").alias("f"))
-    formal_of = full.select("entity", "surname", F.col("given").alias("f"))
-    familiar_of = short.where("size(formal) = 1").select("entity", "surname", F.col("formal")[0].alias("f"))
-    for owned in (formal_of, familiar_of):
-        out.append(_merges_by_unique_key(keyed(asked, "f", F.col("surname"), F.col("f")), keyed(owned, "f", F.col("surname"), F.col("f"))))
-    # Initials and abbreviations; the first half of a double name without its second ("Hans" for "Hans-Peter").
-    cutoff = s.where("given <> '' AND (length(given) = 1 OR endswith(given, '.'))").withColumn("p", F.regexp_replace("given", r"\.", ""))
-    halves = full.where("g_use > 0").select("entity", "surname", F.col("given").alias("p"), "given")
-    prefix = full.select("entity", "surname", "middle", F.explode(_prefixes(F.col("given"))).alias("p"))
-    with_middle = cutoff.where("middle <> ''").select("entity", F.concat_ws("|", F.lit("m"), "surname", "p", F.substring("middle", 1, 1)).alias("key"))
-    owned_middle = prefix.where("middle <> ''").select("entity", F.concat_ws("|", F.lit("m"), "surname", "p", F.substring("middle", 1, 1)).alias("key"))
-    out.append(_merges_by_unique_key(with_middle, owned_middle))
-    out.append(_merges_by_unique_key(keyed(cutoff, "i", F.col("surname"), F.col("p")), keyed(prefix, "i", F.col("surname"), F.col("p"))))
-    longer = full.where("length(given) >= 6").select("entity", "surname", "given", F.explode(F.filter(_prefixes(F.col("given")), lambda x: F.length(x) >= 3)).alias("p")).where("p <> given")
-    out.append(_merges_by_unique_key(keyed(halves.where("length(p) >= 3"), "h", F.col("surname"), F.col("p")), keyed(longer, "h", F.col("surname"), F.col("p"))))
-    # A given name or surname typed wrong: hardly anyone else bears it, and one other is spelled almost so.
-    odd_given = full.where("g_use <= 2").select("entity", "surname", "given", "n", F.explode(_deletions(F.col("given"))).alias("d"))
-    right_given = full.select(F.col("entity").alias("target"), "surname", F.col("given").alias("given2"), F.col("g_use").alias("use2"), F.col("n").alias("n2"), F.explode(_deletions(F.col("given"))).alias("d"))
-    g = odd_given.join(right_given, ["surname", "d"]).where((F.col("entity") != F.col("target")) & _typo(F.col("given"), F.col("given2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n"))))
-    out.append(_only(g))
-    some = F.when(F.length("given") > 1, F.regexp_replace("given", r"\.", "")).otherwise(F.col("given"))
-    odd = s.where("s_use <= 2 AND given <> ''").select("entity", "surname", some.alias("g"), (F.length("given") == 1).alias("initial"), "s_n", F.explode(_deletions(F.col("surname"))).alias("d"))
-    right = full.select(F.col("entity").alias("target"), F.col("surname").alias("surname2"), F.col("s_use").alias("use2"), F.col("s_n").alias("n2"), "given", F.explode(_deletions(F.col("surname"))).alias("d"))
-    whole = odd.where("NOT initial").join(right.withColumnRenamed("given", "g"), ["g", "d"])
-    first = odd.where("initial").join(right.withColumn("g", F.substring("given", 1, 1)).drop("given"), ["g", "d"])
-    for j in (whole, first):
-        out.append(_only(j.where((F.col("entity") != F.col("target")) & _typo(F.col("surname"), F.col("surname2")) & ((F.col("use2") > F.greatest(F.lit(2), F.lit(0))) | (F.col("n2") > F.col("s_n"))))))
-    # Two familiar forms or abbreviations of a name typed wrong are met in later rounds, by what their entity has gained.
-    result = out[0]
-    for x in out[1:]:
-        result = result.unionByName(x)
-    return result
-
-
-def _only(found: DataFrame) -> DataFrame:
-    return found.groupBy("entity").agg(F.min("target").alias("target"), F.max("target").alias("last")).where("target = last").select("entity", "target")
-
-
-def _bodies(s: DataFrame) -> DataFrame:
-    """Organisations that agree in all words but one, which is abbreviated, typed wrong, or cut."""
-    words = s.select("entity", "surname", "n", F.split("surname", " ").alias("w")).where("size(w) >= 2")
-    each = words.select("entity", "n", "w", F.posexplode("w").alias("k", "x"))
-    rest = F.array_join(F.filter(F.transform("w", lambda v, i: F.when(i != F.col("k"), F.regexp_replace(v, r"\.", ""))), lambda v: v.isNotNull()), " ")
-    each = each.withColumn("rest", rest).withColumn("c", F.substring("x", 1, 1)).select("entity", "n", "x", "rest", "c")
-    a = each.select("entity", "x", "n", "rest", "c")
-    b = each.select(F.col("entity").alias("target"), F.col("x").alias("y"), F.col("n").alias("n2"), "rest", "c")
-    bare, long_ = F.regexp_replace("x", r"\.", ""), F.regexp_replace("y", r"\.", "")
-    j = a.join(b, ["rest", "c"]).where(F.col("entity") != F.col("target"))
-    shorter = F.col("x").endswith(".") & long_.startswith(bare) & (F.length(long_) > F.length(bare))
-    j = j.where(shorter | _typo(bare, long_) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("entity") > F.col("target")))))
-    return _only(j)
+        member = _follow(member, merges)
+    joined = cut(named.select("name", "form").join(member, "form").join(facts.select("form", "surname", "given", "middle"), "form"))
+    return _by_coauthors(papers, joined)
+
+
+def _keys(s: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every entity asks for, and what it answers to."""
+    full, cut_off, some = F.col("full"), (F.col("kind") == "p") & ~F.col("full") & (F.col("given") != ""), F.array().cast("array<string>")
+    surname, given, p, initial = F.col("surname"), F.col("given"), F.col("p"), F.substring("middle", 1, 1)
+    has_middle = F.col("middle") != ""
+
+    def key(*parts: Column) -> Column:
+        return F.concat_ws("|", *[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+    def one(when: Column, *parts) -> Column:
+        return F.when(when, F.array(key(*parts))).otherwise(some)
+
+    def many(when: Column, words: Column, tag: str, *rest) -> Column:
+        return F.when(when, F.transform(words, lambda w: key(tag, surname, w, *rest))).otherwise(some)
+
+    familiar = full & F.col("formals").isNotNull()
+    asks = F.concat(
+        one(full & ~has_middle, "e", surname, given),  # the same name with a middle initial
+        many(familiar, F.col("formals"), "f"),  # the formal name of a familiar one, or another familiar one of it
+        many(familiar, F.col("formals"), "F"),
+        one(cut_off & has_middle, "m", surname, p, initial),  # initials and abbreviations, with and without middle
+        one(cut_off, "i", surname, p),
+        one(full, "h", surname, given),  # a double name of which only the first half is written
+    )
+    answers = F.concat(
+        one(full & has_middle, "e", surname, given),
+        one(full, "f", surname, given),
+        many(familiar & (F.size("formals") == 1), F.col("formals"), "F"),
+        many(full & has_middle, _prefixes(given), "m", initial),
+        many(full, _prefixes(given), "i"),
+        one(full & (F.col("half") != ""), "h", surname, F.col("half")),
+    )
+    probes = s.select("entity", F.explode(asks).alias("key")).withColumn("tag", F.substring("key", 1, 1))
+    return probes, s.select("entity", F.explode(answers).alias("key"))
+
+
+def _mistyped(s: DataFrame) -> DataFrame:
+    """(entity, target): a word that hardly any other name bears, and the one name with a word typed almost so."""
+    full, one_letter = F.col("full"), (F.col("kind") == "p") & (F.length("given") == 1)
+    word_parts = F.split("surname", " ")
+
+    def cells(when: Column, tag: str, fixed: Column, word: Column, use: Column, n: Column) -> Column:
+        made = F.transform(_deletions(word), lambda d: F.struct(F.concat_ws("|", F.lit(tag), fixed, d).alias("key"), word.alias("word"), use.cast("long").alias("use"), n.cast("long").alias("n")))
+        return F.when(when, made).otherwise(F.array().cast("array<struct<key:string,word:string,use:bigint,n:bigint>>"))
+
+    def body(k: Column) -> Column:
+        x = F.element_at(word_parts, k)
+        rest = F.regexp_replace(F.array_join(F.concat(F.slice(word_parts, F.lit(1), k - 1), F.slice(word_parts, k + 1, F.size(word_parts))), " "), r"\.", "")
+        return F.struct(F.concat_ws("|", F.lit("o"), F.substring(x, 1, 1), rest).alias("key"), x.alias("word"), F.lit(0).cast("long").alias("use"), F.col("n").cast("long").alias("n"))
+
+    none = F.array().cast("array<struct<key:string,word:string,use:bigint,n:bigint>>")
+    bodies = F.when((F.col("kind") == "o") & (F.size(word_parts) > 1), F.transform(F.sequence(F.lit(1), F.size(word_parts)), body)).otherwise(none)
+    given, surname = F.col("given"), F.col("surname")
+    odd = F.concat(
+        cells(full & (F.col("g_use") <= 2), "g", surname, given, F.col("g_use"), F.col("n")),
+        cells(full & (F.col("s_use") <= 2), "s", given, surname, F.col("s_use"), F.col("s_n")),
+        cells(one_letter & (F.col("s_use") <= 2), "t", given, surname, F.col("s_use"), F.col("s_n")),
+        bodies,
+    )
+    right = F.concat(
+        cells(full, "g", surname, given, F.col("g_use"), F.col("n")),
+        cells(full, "s", given, surname, F.col("s_use"), F.col("s_n")),
+        cells(full, "t", F.substring("given", 1, 1), surname, F.col("s_use"), F.col("s_n")),
+        bodies,
+    )
+    a = s.select("entity", F.explode(odd).alias("c")).select("entity", "c.*").distinct()
+    b = s.select(F.col("entity").alias("target"), F.explode(right).alias("c")).select("target", "c.key", F.col("c.word").alias("word2"), F.col("c.use").alias("use2"), F.col("c.n").alias("n2")).distinct()
+    j = a.join(b, "key").where("entity <> target AND word <> word2")
+    tag = F.substring("key", 1, 1)
+    x, y = F.regexp_replace("word", r"\.", ""), F.regexp_replace("word2", r"\.", "")
+    person = (tag != "o") & _typo(F.col("word"), F.col("word2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n")))
+    shorter = F.col("word").endswith(".") & y.startswith(x) & (F.length(y) > F.length(x))
+    organisation = (tag == "o") & (shorter | _typo(x, y) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("entity") > F.col("target")))))
+    found = j.where(person | organisation).groupBy("entity", tag.alias("tag")).agg(F.min("target").alias("target"), F.max("target").alias("last"))
+    return found.where("target = last").select("entity", "target")
 
 
 def _by_coauthors(papers: DataFrame, named: DataFrame) -> DataFrame:
@@ -326,6 +340,8 @@ def _by_coauthors(papers: DataFrame, named: DataFrame) -> DataFrame:
     # Only what is still on its own: an entity without any full given name.
     settled = named.where("length(given) > 1 AND NOT endswith(given, '.')").select("entity").distinct()
     lone = cut(lone.join(settled, "entity", "left_anti"))
+    if not lone.limit(1).count():
+        return named.select("name", "entity")
     rival = cut(lone.select("entity", "surname", "p").distinct().join(full, ["surname", "p"]).select("entity", "target").distinct())
     wanted = rival.select("entity").unionByName(rival.select(F.col("target").alias("entity"))).distinct()
     held = papers.select("id", F.explode(F.array_distinct("authors")).alias("name")).where("name IS NOT NULL").distinct().join(named.select("name", "entity"), "name").select("id", "entity").distinct()

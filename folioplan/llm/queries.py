@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioplan.compat import table
-from folioplan.llm import encoding, leaks, linkage, mixing, names, survivors, visual
+from folioplan.llm import encoding, leaks, linkage, mixing, names, scans, survivors, visual
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,6 +19,19 @@ def p1_plain(spark: SparkSession, d: str) -> DataFrame:
     return visual.plain_form(rows, "value").select("paper_id", "field", "pos", "value", "plain")
 
 
+def _scan_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "pdf_pages"), table(spark, d, "reference_drafts"), table(spark, d, "papers")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise(*_scan_tables(spark, d)).select("src", "doc_id", "item_no", "line_no", "kind")
+
+
+def p3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous readable paragraphs of every page and bibliography entry."""
+    return scans.paragraphs(*_scan_tables(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.resolve(table(spark, d, "papers")))
 
@@ -93,6 +106,8 @@ QUERIES = {
     "p1_plain": p1_plain,
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p3_paragraphs": p3_paragraphs,
     "p4_found": p4_found,
     "p4_entities": p4_entities,
     "p6_found": p6_found,
