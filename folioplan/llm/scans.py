@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from folioplan.compat import cut
 
-#: What scanners confuse, written alike.  Pairs first, then single characters.
-_PAIRS = (("ﬁ", "h"), ("ti", "u"), ("ü", "u"), ("rn", "m"), ("cl", "d"), ("ri", "n"), ("ii", "u"), ("li", "h"), ("fi", "h"), ("vv", "w"), ("nn", "m"))
-_SINGLE = str.maketrans({"0": "o", "1": "l", "i": "l", "|": "l", "!": "l", "5": "s", "$": "s", "9": "g", "6": "b", "8": "b", "c": "e", "¢": "e", "f": "t", "b": "h", "2": "z", "j": "l"})
+#: Letters as the strokes that scanners confuse - i, l, t, f and 1 are one stroke, h, b, u (and ii, li, fi,
+#: ti, the last also read as ü) two, n is r and a stroke, m is r and n, d is c and a stroke, c and e are one.
+_STROKES = str.maketrans(
+    {"i": "l", "1": "l", "|": "l", "!": "l", "t": "l", "f": "l", "j": "l", "h": "ll", "b": "ll", "u": "ll", "6": "ll", "8": "ll", "n": "rl", "m": "rrl", "d": "el", "c": "e", "¢": "e", "w": "vv", "0": "o", "5": "s", "$": "s", "9": "g", "q": "g", "2": "z"}
+)
 _DIGITS = str.maketrans({"l": "1", "i": "1", "I": "1", "|": "1", "o": "0", "O": "0", "s": "5", "S": "5", "g": "9", "B": "8", "Z": "2", "z": "2"})
 PIECE = re.compile(r"[^\s\-‐‑–—­¬,.;:()\[\]{}/\"“”„«»'’‘`´&?!%+=<>*·…¿¡#@~^\\]+")
 DOI = re.compile(r"10\.\d{4,9}/[^\s,;]*[^\s,;.\])]")
@@ -38,17 +40,13 @@ ROMAN = re.compile(r"[ivxlcdm1]+", re.I)
 
 
 def skeleton(word: str) -> str:
-    w = unicodedata.normalize("NFD", word.lower().replace("ü", "ti"))
-    w = "".join(c for c in w if not unicodedata.combining(c))
-    # Single characters first make the pairs of a misread word meet those of the printed one.
-    for a, b in _PAIRS:
-        w = w.replace(a, b)
-    return w.translate(_SINGLE)
+    w = unicodedata.normalize("NFKD", word.lower())
+    return "".join(c for c in w if not unicodedata.combining(c)).translate(_STROKES)
 
 
 def line_key(line: str) -> str:
-    """Skeleton of a line without spaces, marks and digits."""
-    return skeleton(re.sub(r"[\W\d_]+", "", line))
+    """Skeleton of a line without spaces, marks and numbers."""
+    return skeleton(re.sub(r"[\W_]+", "", re.sub(r"\b\d+\b", "", line)))
 
 
 # ---- lexicon ------------------------------------------------------------------------------------------------------
@@ -109,7 +107,9 @@ class Lexicon:
         return max(self.best.get(s, (0, "")), self.more_best.get(s, (0, "")))
 
     def lp(self, w: str) -> float:
-        return math.log((self.n(w) + 0.02) / self.total)
+        # A word never seen is the less likely one word the longer it is.
+        n = self.n(w)
+        return math.log(n / self.total) if n else math.log(0.02 / self.total) - max(0, len(w) - 3)
 
 
 RARE = 3  # pieces seen no more often than this in clean text are open to other readings
@@ -416,7 +416,7 @@ def head_form(line: str) -> str:
     if len(letters) >= 6 and upper > 0.9:
         if re.match(r"^\S{1,5}\s{2,}\S", t) or re.search(r"\S\s{2,}\S{1,5}$", t) or re.search(r"\bET\s*AL\.?$", t):
             return "caps"
-        return "capital"
+        return "capital" if re.fullmatch(r"\W*\w+\W*", t) or len(t.split()) < 3 else "capitals"
     if re.search(r"\s\S{1,4}\s*\(\S{4}\)\s*\S{1,5}[–-]\S{1,5}$", t) and not t.endswith("."):
         return "source"
     words = [w for w in re.findall(r"[^\W\d_]+", t) if len(w) > 3]
@@ -455,12 +455,13 @@ def furniture(page_rows: DataFrame) -> DataFrame:
             yield out
 
     cand = cut(page_rows.mapInPandas(edges, "doc_id string, page int, line int, key string, form string, depth int, edge string"))
-    repeated = cand.where("form IN ('capital', 'head', 'caps', 'source') AND length(key) >= 6").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"))
+    repeated = cand.where("form IN ('capital', 'capitals', 'head', 'caps', 'source') AND length(key) >= 6").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"))
     first = cand.groupBy("doc_id").agg(F.min("page").alias("first"))
     j = cand.join(repeated, ["doc_id", "key"], "left").join(first, "doc_id").withColumn("n", F.coalesce("n", F.lit(1)))
     sure = F.col("form").isin("notice", "caps") | (F.col("form") == "source") & (F.col("edge") == "b") | (F.col("form") == "number") & (F.col("depth") <= 1)
-    again = (F.col("n") >= 2) & (F.col("depth") <= 2) & F.col("form").isin("capital", "head")
-    picked = j.where(sure | again | F.col("form").isin("capital", "head") & (F.col("depth") <= 1)).select(
+    sure = sure | (F.col("form") == "capitals") & (F.col("depth") == 0) & ((F.col("page") > F.col("first")) | (F.col("n") >= 2))
+    again = (F.col("n") >= 2) & (F.col("depth") <= 2) & F.col("form").isin("capital", "capitals", "head")
+    picked = j.where(sure | again | F.col("form").isin("capital", "capitals", "head") & (F.col("depth") <= 1)).select(
         "doc_id", "page", F.struct("line", (sure | again & (F.col("page") > F.col("first"))).alias("sure"), again.alias("again"), "form", "depth", "edge").alias("c")
     )
     per_page = picked.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("c")).alias("c"))
