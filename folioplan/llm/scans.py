@@ -124,6 +124,8 @@ def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
             if w in common or w.isdigit():
                 continue
             out.add(skeleton(w))
+            for c in range(1, len(w)):  # two words whose gap was lost
+                out.update((skeleton(w[:c]), skeleton(w[c:])))
             for other in (pieces[k - 1] if k else "", pieces[k + 1] if k + 1 < len(pieces) else ""):
                 if other:
                     out.add(skeleton(w + other))
@@ -362,6 +364,8 @@ class Page:
             signs += 0.8
         if re.match(r"\s*(\[\d+\]|\d{1,3}[.)]?)\s+\S", self.lines[k]):
             signs += 1.5
+        if re.match(r"\s*\d{1,2}(\.\d+)*\s+[^\W\d_]", self.lines[before]) and not ended and len(self.lines[before]) < 0.7 * width:
+            signs += 4.0  # a numbered heading stands alone
         if before in self.broken or re.match(r"\s*[a-zß-ÿ]", self.lines[k]):
             signs -= 3.0
         return signs
