@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioplan.plans import integrity
+from folioplan.plans import integrity, maps
 
-_MODULES = (integrity,)
+_MODULES = (integrity, maps)
 
 
 def queries() -> dict:
@@ -16,4 +16,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark, sf_dir):
-    return integrity.p5_report(spark, sf_dir)
+    return maps.coauthors_ranked(spark, sf_dir)
