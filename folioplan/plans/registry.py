@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioplan.plans import integrity, maps
+from folioplan.plans import integrity, maps, references
 
-_MODULES = (integrity, maps)
+_MODULES = (integrity, maps, references)
 
 
 def queries() -> dict:
