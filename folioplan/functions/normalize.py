@@ -237,7 +237,7 @@ def review_reference_key(r: dict[str, Column], strip_arxiv_prefix: bool = True)
 def candidate_key(p: dict[str, Column], index: Column) -> Column:
     """openalex, doi, arXiv; a candidate with a title alone is like no other."""
     key = _ladder(("openalex:", F.lower(clean(p["openAlexId"]))), ("doi:", normalize_doi(p["doi"])), ("arxiv:", arxiv_versioned(p["arxivId"])))
-    return F.when(key != "", key).otherwise(F.concat(F.lit("title:"), normalized_title(p["title"]), F.lit(":"), index.cast("string")))
+    return F.when(key != "", key).otherwise(F.concat(F.lit("title:"), normalized_title(p["title"]), F.lit(":"), _year_text(p["year"]), F.lit(":"), index.cast("string")))
 
 
 def title_year_key(title: Column, year: Column, strict: bool = False) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioplan.plans import integrity, maps, references
+from folioplan.plans import integrity, maps, references, themes
 
-_MODULES = (integrity, maps, references)
+_MODULES = (integrity, maps, references, themes)
 
 
 def queries() -> dict:
