@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioplan.plans import documents, integrity, maps, references, themes
+from folioplan.plans import documents, exchange, integrity, maps, references, themes
 
-_MODULES = (integrity, maps, references, themes, documents)
+_MODULES = (integrity, maps, references, themes, documents, exchange)
 
 
 def queries() -> dict:
