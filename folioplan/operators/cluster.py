@@ -72,7 +72,8 @@ def kmeans(papers: DataFrame, k: int = 5, fields: tuple[str, ...] = DEFAULT_FIEL
     Ties go to the lower band, an empty band keeps its centroid, and it stops when nothing moves.  Similarities are
     rounded to twelve digits before ties are broken, so that the order of summation cannot move a paper.
     """
-    vecs = cut(vectors(papers, fields).repartition("id"))
+    # Kept partitioned by paper: similarities to a few centroids then need no exchange in any round.
+    vecs = cut(vectors(papers, fields)).repartition("id").persist()
     chosen = seeds(vecs, k)
     spark = papers.sparkSession
     place = spark.createDataFrame([(s, b) for b, s in enumerate(chosen)], "id string, band int")
@@ -93,6 +94,7 @@ def kmeans(papers: DataFrame, k: int = 5, fields: tuple[str, ...] = DEFAULT_FIEL
         centroids = cut(fresh.unionByName(kept))
         if not moved:
             break
+    vecs.unpersist()
     return assigned, centroids
 
 

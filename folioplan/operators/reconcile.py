@@ -40,7 +40,7 @@ def same_work(left: dict[str, Column], right: dict[str, Column]) -> Column:
 
 def precedence_join(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (lid, rid) of the same work; both sides: lid or rid, and the columns of ``keys_of``."""
-    r = right.select("rid", *[F.col(k).alias(f"r_{k}") for k in KEYS])
+    left, r = cut(left), cut(right.select("rid", *[F.col(k).alias(f"r_{k}") for k in KEYS]))
     rungs = [left.join(r, (left[k] == r[f"r_{k}"]) & (left[k] != "")) for k in KEYS]
     return reduce(DataFrame.union, rungs).where(same_work({k: F.col(k) for k in KEYS}, {k: F.col(f"r_{k}") for k in KEYS})).select("lid", "rid").distinct()
 
@@ -104,10 +104,10 @@ def _sig_of(papers: DataFrame) -> DataFrame:
 
 def canonical_targets(refs: DataFrame, papers: DataFrame, sigs: DataFrame | None = None) -> DataFrame:
     """source_id, ordinal, target: references whose canonical form is exactly one other paper of the library."""
-    sigs = signatures(papers) if sigs is None else sigs
+    sigs = cut(signatures(papers)) if sigs is None else sigs
     c = with_canonical(refs).where("canonical IS NOT NULL")
     left = c.select("source_id", "ordinal", *keys_of(F.col("canonical.doi"), F.col("canonical.semanticScholarId"), F.col("canonical.arxivId"), F.col("canonical.title"), F.col("canonical.year")))
-    left = left.withColumn("rid", F.concat_ws("\x00", "source_id", "ordinal"))
+    left = cut(left.withColumn("rid", F.concat_ws("\x00", "source_id", "ordinal")))
     r = sigs.select("sig", "n", "lo", "hi", *[F.col(k).alias(f"r_{k}") for k in KEYS])
     rungs = [left.join(r, (left[k] == r[f"r_{k}"]) & (left[k] != "")) for k in KEYS]
     hits = reduce(DataFrame.union, rungs).where(same_work({k: F.col(k) for k in KEYS}, {k: F.col(f"r_{k}") for k in KEYS}))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioplan.compat import cut
 from folioplan.functions import normalize as N
 
 MATCH, MARGIN, FLOOR, CANDIDATES = 0.9, 0.1, 0.72, 5
@@ -36,7 +37,9 @@ def scored(references: DataFrame, papers: DataFrame) -> DataFrame:
     one) finds every pair, and common words are never joined on.
     """
     r = references.select("rid", F.array_distinct(N.meaningful_tokens(F.col("rawText"))).alias("raw"), N.normalized_year(F.col("year")).alias("ref_year")).where("size(raw) > 0")
+    r = cut(r)
     p = papers.select(F.col("id").alias("paper_id"), F.array_distinct(N.meaningful_tokens(F.col("title"))).alias("title"), surnames(F.col("authors")).alias("names"), N.normalized_year(F.col("year")).alias("paper_year")).where("size(title) > 0")
+    p = cut(p)
     df = p.select(F.explode("title").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     cells = p.select("paper_id", "paper_year", F.size("title").alias("n"), F.explode("title").alias("token")).join(df, "token")
     rare = F.row_number().over(Window.partitionBy("paper_id").orderBy("df", "token"))
