@@ -95,6 +95,11 @@ def _suspect_pattern() -> str:
     )
 
 
+def _suspect(c: Column) -> Column:
+    """Whether the string could change; printable ASCII alone never does, and is quick to test for."""
+    return c.rlike(r"[^\x20-\x7e]") & c.rlike(_suspect_pattern())
+
+
 def _count(c: Column, cls: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{cls}]", ""))
 
@@ -172,7 +177,7 @@ def plain_form(df: DataFrame, column: str, out: str = "plain") -> DataFrame:
 
 
 def _with_unchanged(df: DataFrame, column: str, out: str) -> DataFrame:
-    suspect = F.coalesce(df[column].rlike(_suspect_pattern()), F.lit(False))
+    suspect = F.coalesce(_suspect(F.col(f"`{column}`")), F.lit(False))
     rest = df.where(~suspect).withColumn(out, F.col(column))
     return rest.unionByName(changed_form(df.where(suspect), column, out))
 
@@ -184,7 +189,9 @@ def changed_form(df: DataFrame, column: str, out: str) -> DataFrame:
     # A key unique to the row within its partition: later groupings on (h, k) need no other exchange than this one.
     keyed = held.withColumn("h", F.xxhash64("s")).repartition("h").withColumn("k", F.monotonically_increasing_id())
     words = keyed.select("h", "k", F.posexplode(F.regexp_extract_all("s", F.lit(r"(?s)[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"), F.lit(0))).alias("w", "word"))
-    cells = words.select("h", "k", "w", _word_script(F.col("word")).alias("script"), F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("p", "ch"))
+    # The script of a word is settled before the word is exploded, once and not per code point.
+    words = words.withColumn("script", _word_script(F.col("word")))
+    cells = words.select("h", "k", "w", "script", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("p", "ch"))
     cells = cells.join(F.broadcast(_decompositions(spark)), "ch", "left")
     itself = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
     cells = cells.select("h", "k", "w", "p", "script", F.posexplode(F.coalesce("parts", itself)).alias("q", "part"))
@@ -211,7 +218,7 @@ def paper_strings(papers: DataFrame) -> DataFrame:
 def changed(papers: DataFrame) -> DataFrame:
     """paper_id, field, pos, value, plain of each value that is not in its plain form; repeated rows count once."""
     rows = paper_strings(papers)
-    suspects = rows.where(F.col("value").rlike(_suspect_pattern())).distinct()
+    suspects = rows.where(_suspect(F.col("value"))).distinct()
     return changed_form(suspects, "value", "plain").where("plain <> value")
 
 
