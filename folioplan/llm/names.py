@@ -213,9 +213,10 @@ def _named(probes: DataFrame, held: DataFrame) -> DataFrame:
     """(entity, target): probes (entity, tag, key) whose keys of one tag name exactly one other entity of ``held``."""
     one = held.distinct().groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.count("*").alias("owners"))
     hit = probes.distinct().join(one, "key")
-    # Of a key that two entities own, the probing one may be the one.
+    # Who owns a key itself has its name already and is not drawn to the other owner, but for two familiar forms of
+    # one name, neither of which is the formal one.
     own = (F.col("lo") == F.col("entity")) | (F.col("hi") == F.col("entity"))
-    other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own, F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
+    other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own & (F.col("tag") == "F"), F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
     other = F.when(other != F.col("entity"), other)
     ambiguous = ((F.col("owners") > 2) | (F.col("owners") == 2) & ~own).cast("int")
     found = hit.select("entity", "tag", other.alias("target"), ambiguous.alias("amb")).groupBy("entity", "tag").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb"))
@@ -279,12 +280,14 @@ def _keys(s: DataFrame) -> tuple[DataFrame, DataFrame]:
         one(cut_off, "i", surname, p),
         one(full, "h", surname, given),  # a double name of which only the first half is written
     )
+    # An initial stands for the formal name: "T." is Theodore, not Tony.
+    short_of = F.when(~familiar, _prefixes(given)).when(F.size("formals") == 1, _prefixes(F.get("formals", F.lit(0)))).otherwise(some)
     answers = F.concat(
         one(full & has_middle, "e", surname, given),
         one(full, "f", surname, given),
         many(familiar & (F.size("formals") == 1), F.col("formals"), "F"),
-        many(full & has_middle, _prefixes(given), "m", initial),
-        many(full, _prefixes(given), "i"),
+        many(full & has_middle, short_of, "m", initial),
+        many(full, short_of, "i"),
         one(full & (F.col("half") != ""), "h", surname, F.col("half")),
     )
     probes = s.select("entity", F.explode(asks).alias("key")).withColumn("tag", F.substring("key", 1, 1))
