@@ -2,16 +2,16 @@
 
 Plan
 ----
-Both sides are mapped to a 64-bit hash of ``namespace + normalised key``.  An exact histogram of that hash space
-(``HISTOGRAM`` buckets, so a bounded number of rows whatever the input) is merged on the driver into contiguous
-ranges of at most ``range_keys`` parent keys; ranges whose references exceed ``batch_refs`` (one hot key may hold a
-third of all references) are probed in several salted batches.  Each range holds its parents once per batch as arrays
-sorted by hash, and a batch of references is resolved by one vectorised binary search.  Neither a range of parents
-nor a batch of references grows with the input.
+Both sides are mapped to a 64-bit hash of ``namespace + normalised key``, whose top bits cut the key space into ranges
+of about ``range_keys`` parents each, however many there are.  Ranges that more than ``batch_refs`` references fall
+into (one hot key may hold a third of all) are probed in several salted batches.  Each range holds its parents once per
+batch as arrays sorted by hash, and a batch of references is resolved by one vectorised binary search.  Neither a range
+of parents nor a batch of references grows with the input.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -19,10 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HISTOGRAM_BITS = 12
-HISTOGRAM = 1 << HISTOGRAM_BITS
-
-FOUND = "ref_table string, ref_id string, ref_field string, ref_key string, ref_time timestamp, reason string"
+FOUND = "ref_table string, ref_id string, ref_field string, ref_key string, ref_us bigint, reason string"
 
 
 def normal_key(c: Column) -> Column:
@@ -79,28 +76,15 @@ def topic_references(papers: DataFrame) -> DataFrame:
     )
 
 
-def _hash(df: DataFrame) -> DataFrame:
-    # Shifted to unsigned order so that the bucket is the top bits and ranges of buckets are ranges of hashes.
-    return df.withColumn("h", F.xxhash64("ns", "key")).withColumn("bucket", F.shiftrightunsigned("h", 64 - HISTOGRAM_BITS).cast("int"))
-
-
-def _ranges(parent_hist: dict[int, int], ref_hist: dict[int, int], range_keys: int, batch_refs: int) -> tuple[list[int], list[int]]:
-    """Range of each histogram bucket, and the number of salted batches of each range."""
-    of, load, keys, refs = [], [], 0, 0
-    for b in range(HISTOGRAM):
-        p, r = parent_hist.get(b, 0), ref_hist.get(b, 0)
-        if not load or keys + p > range_keys or refs + r > batch_refs:
-            load.append(0)
-            keys = refs = 0
-        keys, refs = keys + p, refs + r
-        load[-1] = refs
-        of.append(len(load) - 1)
-    return of, [max(1, -(-n // batch_refs)) for n in load]
+def _ranged(df: DataFrame, bits: int) -> DataFrame:
+    """Adds the hash and the range, its top bits."""
+    h = df.withColumn("h", F.xxhash64("ns", "key"))
+    return h.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
 
 
 def _probe(refs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     out = refs[["ref_table", "ref_id", "ref_field", "ref_key"]].copy()
-    out["ref_time"] = pd.to_datetime(refs["at"], unit="us", utc=True).astype("datetime64[us, UTC]")
+    out["ref_us"] = refs["at"].astype("Int64")  # microseconds, whose nulls came as NaN; the JVM makes it a time again
     n = len(refs)
     found = np.full(n, -1, dtype=np.int64)
     order = np.argsort(held["h"].to_numpy(), kind="stable")
@@ -141,25 +125,24 @@ def orphan_references(references: DataFrame, parent_rows: DataFrame, range_keys:
     reference; a reference without a time is never early; a key without any arrival is never deleted or late.
     """
     once = Window.partitionBy("ref_table", "ref_id")
-    refs = _hash(
+    n = parent_rows.count()
+    bits = max(0, math.ceil(math.log2(max(1, n) / range_keys))) if n > range_keys else 0
+    refs = _ranged(
         references.withColumn("key", normal_key(F.col("ref_key")))
         .where("key IS NOT NULL")
         .groupBy("ref_table", "ref_id", "ref_field", "ref_key", "ns", "key")
         .agg(F.min("at").alias("at"))
-        .withColumn("at", F.min("at").over(once))
+        .withColumn("at", F.min("at").over(once)),
+        bits,
     )
-    held = _hash(parent_rows)
-
-    def histogram(df: DataFrame) -> dict[int, int]:
-        return {r.bucket: r["count"] for r in df.groupBy("bucket").count().collect()}  # at most HISTOGRAM rows
-
-    range_of, batches = _ranges(histogram(held), histogram(refs), range_keys, batch_refs)
-    plan = F.array(*[F.lit(x) for x in range_of])
-    sizes = F.array(*[F.lit(x) for x in batches])
-    refs = refs.withColumn("range", F.element_at(plan, F.col("bucket") + 1))
-    refs = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id", "ref_field"), F.element_at(sizes, F.col("range") + 1)).cast("int"))
-    held = held.withColumn("range", F.element_at(plan, F.col("bucket") + 1)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.element_at(sizes, F.col("range") + 1) - 1)))
-    return refs.groupBy("range", "salt").cogroup(held.groupBy("range", "salt")).applyInPandas(_probe, FOUND)
+    # At most one row per ``batch_refs`` references, so this table may be broadcast whatever the input.
+    hot = refs.groupBy("range").agg(F.ceil(F.count("*") / batch_refs).cast("int").alias("batches")).where("batches > 1")
+    refs = refs.join(F.broadcast(hot), "range", "left").withColumn("batches", F.coalesce("batches", F.lit(1)))
+    refs = refs.withColumn("salt", F.pmod(F.xxhash64("ref_table", "ref_id", "ref_field"), F.col("batches")).cast("int")).drop("batches")
+    held = _ranged(parent_rows, bits).join(F.broadcast(hot), "range", "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("batches", F.lit(1)) - 1))).drop("batches")
+    found = refs.groupBy("range", "salt").cogroup(held.groupBy("range", "salt")).applyInPandas(_probe, FOUND)
+    return found.select("ref_table", "ref_id", "ref_field", "ref_key", F.timestamp_micros("ref_us").alias("ref_time"), "reason")
 
 
 def report(found: DataFrame, references: DataFrame) -> DataFrame:
