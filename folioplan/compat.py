@@ -20,6 +20,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         configured = sc.getConf().get("spark.checkpoint.dir", "")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="folioplan-checkpoint-"))
+    # Python workers start in folders of their own: they find this package where the driver found it.
+    root, paths = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), sc.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (root, paths) if p)
     return spark
 
 
