@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioplan.compat import table
 from folioplan.functions import normalize as N
 from folioplan.operators import extract, front_matter, quality
-from folioplan.plans.base import clean_sql, doi_sql, papers
+from folioplan.plans.base import arxiv_sql, clean_sql, doi_sql, papers, title_sql
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -161,6 +161,9 @@ FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN h USING (doc_id) LEFT JOIN s US
     "assembled_documents": f"WITH {_ONCE} SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || {clean_sql('text')}, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id",
     "page_summaries": rf"WITH {_ONCE} SELECT doc_id, page, width, height, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n')) END AS line_count, length(coalesce(text, '')) AS text_length FROM p",
     "stripped_abstracts": rf"""SELECT doc_id, {clean_sql(r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + chr(34) + r"'), '&#39;', ''''), '&amp;', '&'), '[\s\p{Z}\x{FEFF}]+', ' ', 'g')")} AS text FROM documents WHERE text IS NOT NULL""",
+    "attachment_keys": rf"""WITH {_ONCE_PAPERS} SELECT id, CASE WHEN {doi_sql('doi')} <> '' THEN 'doi:' || {doi_sql('doi')} WHEN {arxiv_sql('arxivId')} <> '' THEN 'arxiv:' || {arxiv_sql('arxivId')}
+  WHEN {title_sql('title')} <> '' AND year > 0 THEN 'title:' || {title_sql('title')} || ':' || year ELSE 'file:' || lower({clean_sql('sourceFileName')}) END AS key,
+  regexp_replace(regexp_replace(sourceFileName, '^.*[/\\]', ''), '\.[^.]+$', '') AS stem, 'pdf' AS kind FROM lib WHERE sourceFileName IS NOT NULL""",
     "identifier_kinds": rf"""WITH {_ONCE_PAPERS}, x AS (SELECT id, unnest([doi, semanticScholarId, openAlexId, arxivId]) AS value FROM lib)
 SELECT id, value, CASE WHEN regexp_matches({doi_sql('value')}, '(?i)^10\.\d{{4,9}}/') THEN 'doi' WHEN regexp_matches({clean_sql('value')}, '(?i)^[0-9a-f]{{40}}$') THEN 'semantic-scholar' WHEN regexp_matches({clean_sql('value')}, '(?i)^(https?://openalex\.org/)?W\d+$') THEN 'openalex'
   WHEN regexp_matches({clean_sql('value')}, '(?i)^(arxiv:)?(\d{{4}}\.\d{{4,5}}|[a-z][a-z0-9.\-]+/\d{{7}})(v\d+)?$') THEN 'arxiv' WHEN {clean_sql('value')} <> '' THEN 'title' ELSE '' END AS kind FROM x WHERE value IS NOT NULL""",

@@ -161,6 +161,16 @@ bt AS (SELECT {title_sql('title')} || ':' || {_YT('year')} AS k, max(id) AS y FR
 SELECT wi.id AS incoming_id, coalesce(x, y) AS existing_id, CASE WHEN x IS NOT NULL THEN 'identity' WHEN y IS NOT NULL THEN 'title-year' ELSE 'new' END AS matched_by
 FROM wi LEFT JOIN bi ON bi.k = CASE WHEN wi.doi <> '' THEN 'doi:' || wi.doi ELSE 'title:' || {title_sql('wi.title')} || ':' || {_YT('wi.year')} END
 LEFT JOIN bt ON bt.k = {title_sql('wi.title')} || ':' || {_YT('wi.year')}""",
+    "candidate_ranking": f"""{ONCE}, {_WI}, pk AS (SELECT id, {title_sql('title')} AS k FROM p), wk AS (SELECT ordinal, doi, {title_sql('title')} AS k FROM wi),
+c AS (SELECT pk.id AS query_id, min(ordinal) AS index FROM pk JOIN wk ON pk.k = wk.k AND pk.k <> '' GROUP BY pk.id, CASE WHEN doi <> '' THEN 'doi:' || doi ELSE 'title:' || ordinal END)
+SELECT query_id, index, true AS exact, row_number() OVER (PARTITION BY query_id ORDER BY index) AS rank FROM c""",
+    "resolved_by_identifier": rf"""{ONCE}, r AS (SELECT id AS rid, {doi_sql('doi')} AS doi, regexp_replace({clean_sql('arxivId')}, '(?i)^arxiv:\s*', '') AS ax, source, arxivId FROM p), k AS (SELECT *, lower(ax) AS arxiv, lower(regexp_replace(ax, '(?i)v\d+$', '')) AS base FROM r),
+c AS (SELECT DISTINCT {doi_sql('doi')} AS doi FROM provider_works WHERE provider = 'crossref' AND {doi_sql('doi')} <> ''), s AS (SELECT DISTINCT doi FROM k WHERE source = 'semantic-scholar' AND doi <> ''),
+a AS (SELECT base, list(DISTINCT arxiv) AS have FROM k WHERE source = 'semantic-scholar' AND base <> '' GROUP BY base)
+SELECT rid, CASE WHEN k.doi <> '' AND c.doi IS NOT NULL THEN 'crossref' WHEN (k.doi <> '' AND s.doi IS NOT NULL) OR (k.doi = '' AND arxiv <> '' AND have IS NOT NULL) THEN 'semantic-scholar' END AS provider,
+  CASE WHEN k.doi <> '' THEN 'doi' WHEN arxiv <> '' THEN 'arxiv' END AS matched_by,
+  CASE WHEN k.doi <> '' AND c.doi IS NOT NULL THEN 0.99 WHEN k.doi <> '' AND s.doi IS NOT NULL THEN 0.97 WHEN k.doi = '' AND arxiv <> '' AND list_contains(have, arxiv) THEN 0.99 WHEN k.doi = '' AND arxiv <> '' AND have IS NOT NULL THEN 0.98 ELSE 0.0 END AS confidence,
+  CASE WHEN k.doi <> '' THEN k.doi ELSE arxiv END AS queried FROM k LEFT JOIN c ON k.doi = c.doi LEFT JOIN s ON k.doi = s.doi LEFT JOIN a ON k.base = a.base""",
     "tfidf_weights": f"""{_TF}, tf AS (SELECT id, term, sum(w) AS tf FROM cells WHERE g = 'd' GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 raw AS (SELECT id, term, tf * (ln(((SELECT count(*) FROM p) + 1) / (df + 1)) + 1) AS w FROM tf JOIN df USING (term)), n AS (SELECT id, sqrt(sum(w * w)) AS n FROM raw GROUP BY id)
 SELECT id, term, round(w / n, 9) AS w FROM raw JOIN n USING (id) UNION ALL SELECT id, '__paper_' || id, 1.0 FROM p WHERE id NOT IN (SELECT id FROM n)""",
