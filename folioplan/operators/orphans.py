@@ -79,7 +79,7 @@ def topic_references(papers: DataFrame) -> DataFrame:
 def _ranged(df: DataFrame, bits: int) -> DataFrame:
     """Adds the hash and the range, its top bits."""
     h = df.withColumn("h", F.xxhash64("ns", "key"))
-    return h.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("bigint"))
+    return h.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.pmod("h", F.lit(1)))  # not a literal, on which joins would fold
 
 
 def _probe(refs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
