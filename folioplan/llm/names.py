@@ -5,7 +5,8 @@ Plan (merge and rematch)
 1. Distinct name strings are parsed once into surname, given name, middle initials (or the words of an organisation).
    What is equal after folding starts as one entity.
 2. Each round, entities probe the keys of the others: formal names of a nickname, all prefixes of a given name (an
-   initial is a prefix of length one), deletion neighbours of a given name or surname that hardly anyone else bears.
+   initial is a prefix of length one), deletion neighbours of a given name or surname that hardly anyone else bears, or few beside
+   those of the word typed almost so.
    Keys are aggregated to (number of entities, one entity) before the join, so a probe meets one row per key and no
    pairs within a block are ever formed.  A probe that names exactly one other entity merges into it.
 3. A merged entity owns all spellings and initials of its members; it re-enters the next round with them, until no
@@ -190,6 +191,19 @@ def _typo(a: Column, b: Column) -> Column:
     return (F.greatest(F.length(a), F.length(b)) >= 4) & ((d == 1) | swapped)
 
 
+#: A word is rare beside another if that one goes with at least so many times as many names.
+SHARE = 20
+
+
+def _rare(uses: DataFrame) -> DataFrame:
+    """word of (word, use): those that go with at most 2 names, or with a small share of the names of a word typed
+    almost so; the more names there are, the more of them share one mistyping."""
+    cells = uses.select("word", "use", F.explode(_deletions(F.col("word"))).alias("key"))
+    often = cells.where(F.col("use") > 2 * SHARE).select("key", F.col("word").alias("word2"), F.col("use").alias("use2"))
+    beside = cells.where("use > 2").join(often, "key").where((F.col("use") * SHARE <= F.col("use2")) & _typo(F.col("word"), F.col("word2")))
+    return uses.where("use <= 2").select("word").unionByName(beside.select("word")).distinct()
+
+
 def _prefixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k))
 
@@ -238,9 +252,11 @@ def resolve(papers: DataFrame, max_rounds: int = 12) -> DataFrame:
     # How many different surnames a given name goes with, and the reverse: a word typed wrong has hardly any.
     given_use = forms.where("full").groupBy("given").agg(F.count_distinct("surname").alias("g_use"))
     surname_use = forms.where("kind = 'p'").groupBy("surname").agg(F.count_distinct(F.when(F.col("full"), F.col("given"))).alias("s_use"), F.sum("n").alias("s_n"))
+    g_odd = _rare(given_use.select(F.col("given").alias("word"), F.col("g_use").alias("use"))).select(F.col("word").alias("given"), F.lit(True).alias("g_odd"))
+    s_odd = _rare(surname_use.select(F.col("surname").alias("word"), F.col("s_use").alias("use"))).select(F.col("word").alias("surname"), F.lit(True).alias("s_odd"))
     familiar = F.broadcast(spark.createDataFrame(list(FAMILIAR.items()), "given string, formals array<string>"))
-    facts = forms.join(given_use, "given", "left").join(surname_use, "surname", "left").join(familiar, "given", "left")
-    facts = cut(facts.fillna({"g_use": 0, "s_use": 0, "s_n": 0}).withColumn("p", F.regexp_replace("given", r"\.", "")))
+    facts = forms.join(given_use, "given", "left").join(surname_use, "surname", "left").join(g_odd, "given", "left").join(s_odd, "surname", "left").join(familiar, "given", "left")
+    facts = cut(facts.fillna({"g_use": 0, "s_use": 0, "s_n": 0}).withColumn("s_odd", F.coalesce("s_odd", F.col("s_use") <= 2)).withColumn("g_odd", F.coalesce("g_odd", F.lit(False))).withColumn("p", F.regexp_replace("given", r"\.", "")))
     member = facts.select("form", F.col("form").alias("entity"))
     for _ in range(max_rounds):
         state = facts.join(member, "form")
@@ -312,9 +328,9 @@ def _mistyped(s: DataFrame) -> DataFrame:
     bodies = F.when((F.col("kind") == "o") & (F.size(word_parts) > 1), F.transform(F.sequence(F.lit(1), F.size(word_parts)), body)).otherwise(none)
     given, surname = F.col("given"), F.col("surname")
     odd = F.concat(
-        cells(full & (F.col("g_use") <= 2), "g", surname, given, F.col("g_use"), F.col("n")),
-        cells(full & (F.col("s_use") <= 2), "s", given, surname, F.col("s_use"), F.col("s_n")),
-        cells(one_letter & (F.col("s_use") <= 2), "t", given, surname, F.col("s_use"), F.col("s_n")),
+        cells(full & F.col("g_odd"), "g", surname, given, F.col("g_use"), F.col("n")),
+        cells(full & F.col("s_odd"), "s", given, surname, F.col("s_use"), F.col("s_n")),
+        cells(one_letter & F.col("s_odd"), "t", given, surname, F.col("s_use"), F.col("s_n")),
         bodies,
     )
     right = F.concat(
@@ -328,7 +344,8 @@ def _mistyped(s: DataFrame) -> DataFrame:
     j = a.join(b, "key").where("entity <> target AND word <> word2")
     tag = F.substring("key", 1, 1)
     x, y = F.regexp_replace("word", r"\.", ""), F.regexp_replace("word2", r"\.", "")
-    person = (tag != "o") & _typo(F.col("word"), F.col("word2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n")))
+    rare = (F.col("use") <= 2) | (F.col("use") * SHARE <= F.col("use2"))
+    person = (tag != "o") & rare & _typo(F.col("word"), F.col("word2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n")))
     shorter = F.col("word").endswith(".") & y.startswith(x) & (F.length(y) > F.length(x))
     organisation = (tag == "o") & (shorter | _typo(x, y) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("entity") > F.col("target")))))
     found = j.where(person | organisation).groupBy("entity", tag.alias("tag")).agg(F.min("target").alias("target"), F.max("target").alias("last"))

@@ -60,3 +60,10 @@ def test_nulls_blanks_repeats_and_empty_tables(spark):
     assert got == {(a, b) for g in GROUPS for a in g for b in g if a < b}
     none = spark.createDataFrame([], "id string, authors array<string>, name string, entity string")
     assert N.pairs(N.resolve(none)).count() == 0
+
+
+def test_one_mistyping_of_a_common_name_may_go_with_many_surnames(spark):
+    surnames = [f"{a}{b}{c}" for a in ("Bra", "Klo", "Mi", "Stu", "Vo") for b in ("denz", "fath", "gurm", "lopt", "wisk") for c in ("ari", "ombe", "une")]
+    rows = [(f"p{k}", [f"Theodore {s}"]) for k, s in enumerate(surnames)] + [(f"q{k}", [f"Theodroe {s}"]) for k, s in enumerate(surnames[::25])]
+    got = {(r.name_a, r.name_b) for r in N.pairs(N.resolve(spark.createDataFrame(rows, "id string, authors array<string>"))).collect()}
+    assert got == {(f"Theodore {s}", f"Theodroe {s}") for s in surnames[::25]}
