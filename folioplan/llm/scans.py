@@ -22,7 +22,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioplan.compat import cut
@@ -336,7 +336,7 @@ class Page:
         rows = self.text_lines
         if not rows:
             return []
-        width = sorted(len(self.lines[k]) for k in rows)[int(0.9 * (len(rows) - 1))]
+        width = self._width()
         best, back = [0.0] * len(rows), [0] * len(rows)
         for j in range(len(rows)):
             best[j] = math.inf
@@ -350,23 +350,39 @@ class Page:
             j = back[j] - 1
         return [self._text(rows[i : j + 1]) for i, j in reversed(spans)]
 
+    def runs_on(self) -> str | None:
+        """What joins the last paragraph to the next page (a space, "", or the hyphen of a compound); None where it ends here."""
+        if not self.text_lines or self.follow is None:
+            return None
+        last, width = self.text_lines[-1], self._width()
+        signs = self._evidence(last, self.follow, width)
+        if 1.0 - min(0.0, signs) < max(0.0, signs):
+            return None
+        return {"word": "", "compound": "-"}.get(self._joined(self.lines[last], self.follow), " ")
+
+    def _width(self) -> int:
+        return sorted(len(self.lines[k]) for k in self.text_lines)[int(0.9 * (len(self.text_lines) - 1))]
+
     def _signs(self, rows: list[int], x: int, width: int) -> float:
         """Evidence for a paragraph to start with text line x: positive for, negative against."""
         k, before = rows[x], rows[x - 1]
+        blank = any(not self.lines[y].strip() for y in range(before + 1, k)) and not any(self.furniture[y] for y in range(before + 1, k))
+        return (2.0 if blank else 0.0) + self._evidence(before, self.lines[k], width)
+
+    def _evidence(self, before: int, line: str, width: int) -> float:
+        """What the words of a line and of the text line before it say, on one page or over two."""
         signs = 0.0
-        if any(not self.lines[y].strip() for y in range(before + 1, k)) and not any(self.furniture[y] for y in range(before + 1, k)):
-            signs += 2.0
-        if re.match(r"\s{2,}\S", self.lines[k]) and not re.match(r"\s{2,}\S", self.lines[before]):
+        if re.match(r"\s{2,}\S", line) and not re.match(r"\s{2,}\S", self.lines[before]):
             signs += 1.5
         ended = bool(re.search(r"[.!?:]\s*$", self.lines[before]))
         signs += 0.4 if ended else -2.0
         if len(self.lines[before]) < 0.75 * width:
             signs += 0.8
-        if re.match(r"\s*(\[\d+\]|\d{1,3}[.)]?)\s+\S", self.lines[k]):
+        if re.match(r"\s*(\[\d+\]|\d{1,3}[.)]?)\s+\S", line):
             signs += 1.5
         if re.match(r"\s*\d{1,2}(\.\d+)*\s+[^\W\d_]", self.lines[before]) and not ended and len(self.lines[before]) < 0.7 * width:
             signs += 4.0  # a numbered heading stands alone
-        if before in self.broken or re.match(r"\s*[a-zß-ÿ]", self.lines[k]):
+        if before in self.broken or re.match(r"\s*[a-zß-ÿ]", line):
             signs -= 3.0
         return signs
 
@@ -582,9 +598,22 @@ def noise(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int =
 
 
 def paragraphs(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int = 100_000) -> DataFrame:
-    """src, doc_id, item_no, para_no, text: continuous repaired paragraphs of every page and bibliography entry."""
+    """src, doc_id, item_no, para_no, text: continuous repaired paragraphs of every document and bibliography entry.
 
-    def rows(s: str, d: str, i: int, page: Page) -> list[tuple]:
-        return [(s, d, i, k, t) for k, t in enumerate(page.paragraphs())]
+    A paragraph that runs over pages is one, under the page on which it begins.
+    """
 
-    return _decoded(pages, drafts, papers, common, "src string, doc_id string, item_no int, para_no int, text string", rows)
+    def rows(s: str, d: str, i: int, page: Page) -> list[tuple]:
+        made, on = page.paragraphs(), page.runs_on()
+        if made and on is not None:
+            made[-1] = (HYPHEN.sub("", made[-1]) if on != " " else made[-1]) + on
+        return [(s, d, i, k, t, on is not None and k == len(made) - 1) for k, t in enumerate(made)]
+
+    parts = _decoded(pages, drafts, papers, common, "src string, doc_id string, item_no int, para_no int, text string, runs_on boolean", rows)
+    order = Window.partitionBy("src", "doc_id").orderBy("item_no", "para_no")
+    starts = ~(F.lag("runs_on", 1, False).over(order) & (F.lag("item_no").over(order) == F.col("item_no") - 1))
+    numbered = parts.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int")).withColumn("n", F.sum("starts").over(order))
+    whole = numbered.groupBy("src", "doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("item_no", "para_no", "text"))).alias("c"))
+    whole = whole.select("src", "doc_id", "n", F.col("c")[0]["item_no"].alias("item_no"), F.array_join(F.transform("c", lambda x: x["text"]), "").alias("text"))
+    place = F.row_number().over(Window.partitionBy("src", "doc_id", "item_no").orderBy("n")) - 1
+    return whole.select("src", "doc_id", "item_no", place.alias("para_no"), F.trim("text").alias("text"))

@@ -74,3 +74,14 @@ def test_clean_text_has_no_misreadings(spark):
 def test_skeletons_meet_what_scanners_confuse():
     for a, b in (("systems", "systerns"), ("modern", "modem"), ("clinic", "chnic"), ("title", "tifle"), ("cycle", "cyde"), ("computing", "compuüng"), ("library", "1ibrary"), ("robust", "robu5t"), ("study", "stiidy"), ("search", "seárch"), ("archive", "ar¢hive")):
         assert S.skeleton(a) == S.skeleton(b), (a, b)
+
+
+def test_paragraphs_run_over_pages(spark):
+    pages = [
+        ("pdf:d", 1, "JOURNAL OF GRAIN MARKETS\nExisting work on matrix factorisation assumes clean input, yet mathe-\nmatical proof libraries are rarely com-\n- 1 -"),
+        ("pdf:d", 2, "JOURNAL OF GRAIN MARKETS\nplete. We study density estimation for grain market prices under tight\nmemory budgets and the library keeps both versions until\n- 2 -"),
+        ("pdf:d", 3, "JOURNAL OF GRAIN MARKETS\na curator decides.\n\nMany entries cite museum accession ledgers twice.\n- 3 -"),
+    ]
+    got = [(r.item_no, r.para_no, r.text) for r in S.paragraphs(*tables(spark, pages, [])).orderBy("item_no", "para_no").collect()]
+    whole = "Existing work on matrix factorisation assumes clean input, yet mathematical proof libraries are rarely complete. We study density estimation for grain market prices under tight memory budgets and the library keeps both versions until a curator decides."
+    assert got == [(1, 0, whole), (3, 0, "Many entries cite museum accession ledgers twice.")]
