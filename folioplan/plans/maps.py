@@ -136,8 +136,7 @@ def citation_levels(s: SparkSession, d: str) -> DataFrame:
 
 def topic_gravity(s: SparkSession, d: str) -> DataFrame:
     p = papers(s, d)
-    v = library.view(p, topics(s, d), Filters(year_min=2020))
-    return layout.gravity(graph.topic_blocks(v, topics(s, d)), graph.topic_links(v, library.induced_edges(edges(s, d), v))).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    return layout.gravity(graph.topic_blocks(p, topics(s, d)), graph.topic_links(p, edges(s, d))).select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
 QUERIES = {

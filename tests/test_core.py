@@ -236,3 +236,14 @@ def test_quality(spark):
 
 def test_schema_fields():
     assert fields(PAPER)[:3] == ["id", "citationKey", "title"] and json.dumps(fields(PAPER))
+
+
+def test_topic_gravity_covers_papers_of_all_years(spark, monkeypatch):
+    from folioplan.plans import maps
+
+    rows = [("a", 1990, ["t1"]), ("b", None, ["t2"]), ("c", 2022, ["t3"])]
+    p = spark.createDataFrame(rows, "id string, year int, topics array<string>").withColumn("starred", F.lit(False))
+    monkeypatch.setattr(maps, "papers", lambda s, d: p)
+    monkeypatch.setattr(maps, "topics", lambda s, d: topics(spark, [("t1", "Sensor nets")]))
+    monkeypatch.setattr(maps, "edges", lambda s, d: spark.createDataFrame([("e", "c", "a")], "id string, source string, target string"))
+    assert {r.id for r in maps.topic_gravity(spark, "").collect()} == {"t1", "t2", "t3"}
