@@ -4,14 +4,15 @@ Plan (merge and rematch)
 ------------------------
 1. Distinct name strings are parsed once into surname, given name, middle initials (or the words of an organisation).
    What is equal after folding starts as one entity.
-2. Each round, entities probe the keys of the others: formal names of a nickname, all prefixes of a given name (an
-   initial is a prefix of length one), deletion neighbours of a given name or surname that hardly anyone else bears, or few beside
-   those of the word typed almost so.
-   Keys are aggregated to (number of entities, one entity) before the join, so a probe meets one row per key and no
-   pairs within a block are ever formed.  A probe that names exactly one other entity merges into it.
-3. A merged entity owns all spellings and initials of its members; it re-enters the next round with them, until no
-   merge occurs.  Labels follow merges by pointer jumping over checkpointed tables.
-4. Initials that several bearers share are decided by co-authors, where those point to one of them.
+2. What a form asks for and answers to is computed once: formal names of a nickname, all prefixes of a given name (an
+   initial is a prefix of length one), words typed almost so (met by deletion neighbours) by hardly anyone else, or few
+   beside those of the other word.
+3. Each round, entities ask with the keys of their members and of their united profile: every given name they own with
+   the surname and the middle initials of all members, spelled or not.  Keys are aggregated to (number of entities, one
+   entity) before the join, so a question meets one row per key and no pairs within a block are ever formed.  A
+   question that names exactly one other entity merges into it.
+4. Merged entities re-enter with their richer profiles until no merge occurs.  Then initials that several bearers share
+   are decided by co-authors, where those point to one of them, and the rounds go on from there.
 """
 
 from __future__ import annotations
@@ -195,190 +196,250 @@ def _typo(a: Column, b: Column) -> Column:
 SHARE = 20
 
 
-def _rare(uses: DataFrame) -> DataFrame:
-    """word of (word, use): those that go with at most 2 names, or with a small share of the names of a word typed
-    almost so; the more names there are, the more of them share one mistyping."""
-    cells = uses.select("word", "use", F.explode(_deletions(F.col("word"))).alias("key"))
-    often = cells.where(F.col("use") > 2 * SHARE).select("key", F.col("word").alias("word2"), F.col("use").alias("use2"))
-    beside = cells.where("use > 2").join(often, "key").where((F.col("use") * SHARE <= F.col("use2")) & _typo(F.col("word"), F.col("word2")))
-    return uses.where("use <= 2").select("word").unionByName(beside.select("word")).distinct()
+def _uses(facts: DataFrame) -> DataFrame:
+    """role, word, use, n, odd: given names (role g) and surnames (s), how many names of the other role each goes with.
+
+    A word typed wrong goes with hardly any.  Odd are those that go with at most 2, or with a small share of the names
+    of a word typed almost so; the more names there are, the more of them share one mistyping.
+    """
+    roles = F.array(
+        F.when(F.col("full"), F.struct(F.lit("g").alias("role"), F.col("given").alias("word"), F.col("surname").alias("beside"))),
+        F.when(F.col("kind") == "p", F.struct(F.lit("s").alias("role"), F.col("surname").alias("word"), F.when(F.col("full"), F.col("given")).alias("beside"))),
+    )
+    rows = facts.select("n", F.explode(F.array_compact(roles)).alias("r")).select("n", "r.*")
+    uses = cut(rows.groupBy("role", "word").agg(F.count_distinct("beside").alias("use"), F.sum("n").alias("n")))
+    cells = uses.select("role", "word", "use", F.explode(_deletions(F.col("word"))).alias("key"))
+    often = cells.where(F.col("use") > 2 * SHARE).select("role", "key", F.col("word").alias("word2"), F.col("use").alias("use2"))
+    beside = cells.where("use > 2").join(often, ["role", "key"]).where((F.col("use") * SHARE <= F.col("use2")) & _typo(F.col("word"), F.col("word2")))
+    few = beside.select("role", "word", F.lit(True).alias("few")).distinct()
+    return cut(uses.join(few, ["role", "word"], "left").select("role", "word", "use", "n", ((F.col("use") <= 2) | F.coalesce("few", F.lit(False))).alias("odd")))
 
 
 def _prefixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, F.lit(1), k))
 
 
-def _follow(member: DataFrame, merges: DataFrame) -> DataFrame:
-    """(form, entity) after the merges of a round; each entity has one target, chains and circles end at their smallest."""
-    pairs = merges.select(F.col("entity").alias("a"), F.col("target").alias("b"))
-    edges = cut(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    root = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
-    while True:
-        near = edges.join(root.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("root").alias("new"))
-        jump = root.select(F.col("a").alias("new"), F.col("root").alias("further"))
-        step = cut(near.join(root, "a").withColumn("new", F.least("new", "root")).join(jump, "new", "left").select("a", "root", F.least("new", "further").alias("new")))
-        root = step.select("a", F.col("new").alias("root"))
-        if not step.where("new <> root").limit(1).count():
-            break
-    return cut(member.join(root.withColumnRenamed("a", "entity"), "entity", "left").select("form", F.coalesce("root", "entity").alias("entity")))
-
-
-def _named(probes: DataFrame, held: DataFrame) -> DataFrame:
-    """(entity, target): probes (entity, tag, key) whose keys of one tag name exactly one other entity of ``held``."""
-    one = held.distinct().groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.count("*").alias("owners"))
-    hit = probes.distinct().join(one, "key")
-    # Who owns a key itself has its name already and is not drawn to the other owner, but for two familiar forms of
-    # one name, neither of which is the formal one.
-    own = (F.col("lo") == F.col("entity")) | (F.col("hi") == F.col("entity"))
-    other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own & (F.col("tag") == "F"), F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
-    other = F.when(other != F.col("entity"), other)
-    ambiguous = ((F.col("owners") > 2) | (F.col("owners") == 2) & ~own).cast("int")
-    found = hit.select("entity", "tag", other.alias("target"), ambiguous.alias("amb")).groupBy("entity", "tag").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb"))
-    return found.where("amb = 0 AND target = last").select("entity", "target")
+def _facts(named: DataFrame, nicknames: dict[str, list[str]]) -> DataFrame:
+    """One row per form: its parts, and the formal names of a familiar one."""
+    forms = named.groupBy("form").agg(*[F.first(c).alias(c) for c in ("kind", "surname", "given", "middle")], F.max("half").alias("half"), F.sum("n").alias("n"))
+    forms = forms.withColumn("full", (F.col("kind") == "p") & (F.length("given") > 1) & ~F.col("given").endswith("."))
+    familiar = F.broadcast(named.sparkSession.createDataFrame(list(nicknames.items()), "given string, formals array<string>"))
+    return forms.join(familiar, "given", "left")
 
 
-def resolve(papers: DataFrame, max_rounds: int = 12) -> DataFrame:
-    """name, entity: every non-blank author string that can be read as a name, with the entity it belongs to.
+def _key(*parts: Column | str) -> Column:
+    return F.concat_ws("|", *[F.lit(x) if isinstance(x, str) else x for x in parts])
 
-    Null and blank names name nobody.  Case, order, accents, invisible characters and look-alikes never separate
-    spellings.  Different middle initials keep people apart.  An initial or short form that fits several people stays
-    alone unless co-authors decide.  Copies of rows add no weight beyond the distinct papers.
-    """
-    spark = papers.sparkSession
-    bare = F.when(F.col("kind") == "o", F.concat(F.lit("o "), F.regexp_replace("surname", r"\.", ""))).otherwise(F.concat_ws("|", F.lit("p"), "surname", "given", "middle"))
-    named = cut(_oriented(spellings(papers)).withColumn("form", bare))
-    forms = named.groupBy("form").agg(*[F.first(c).alias(c) for c in ("kind", "surname", "given", "middle")], F.max("half").alias("half"), F.sum("n").alias("n"))
-    forms = forms.withColumn("full", (F.col("kind") == "p") & (F.length("given") > 1) & ~F.col("given").endswith("."))
-    # How many different surnames a given name goes with, and the reverse: a word typed wrong has hardly any.
-    given_use = forms.where("full").groupBy("given").agg(F.count_distinct("surname").alias("g_use"))
-    surname_use = forms.where("kind = 'p'").groupBy("surname").agg(F.count_distinct(F.when(F.col("full"), F.col("given"))).alias("s_use"), F.sum("n").alias("s_n"))
-    g_odd = _rare(given_use.select(F.col("given").alias("word"), F.col("g_use").alias("use"))).select(F.col("word").alias("given"), F.lit(True).alias("g_odd"))
-    s_odd = _rare(surname_use.select(F.col("surname").alias("word"), F.col("s_use").alias("use"))).select(F.col("word").alias("surname"), F.lit(True).alias("s_odd"))
-    familiar = F.broadcast(spark.createDataFrame(list(FAMILIAR.items()), "given string, formals array<string>"))
-    facts = forms.join(given_use, "given", "left").join(surname_use, "surname", "left").join(g_odd, "given", "left").join(s_odd, "surname", "left").join(familiar, "given", "left")
-    facts = cut(facts.fillna({"g_use": 0, "s_use": 0, "s_n": 0}).withColumn("s_odd", F.coalesce("s_odd", F.col("s_use") <= 2)).withColumn("g_odd", F.coalesce("g_odd", F.lit(False))).withColumn("p", F.regexp_replace("given", r"\.", "")))
-    member = facts.select("form", F.col("form").alias("entity"))
-    for _ in range(max_rounds):
-        state = facts.join(member, "form")
-        merges = _named(*_keys(state)).unionByName(_mistyped(state)).where("entity <> target").groupBy("entity").agg(F.min("target").alias("target"))
-        known = state.where("middle <> ''").groupBy("entity").agg(F.collect_set("middle").alias("m"))
-        checked = merges.join(known.withColumnRenamed("m", "ma"), "entity", "left").join(known.select(F.col("entity").alias("target"), F.col("m").alias("mb")), "target", "left")
-        clash = ~F.exists("ma", lambda x: F.exists("mb", lambda y: x.startswith(y) | y.startswith(x)))
-        merges = cut(checked.where(~F.coalesce(clash, F.lit(False))).select("entity", "target"))
-        if not merges.limit(1).count():
-            break
-        member = _follow(member, merges)
-    joined = cut(named.select("name", "form").join(member, "form").join(facts.select("form", "surname", "given", "middle"), "form"))
-    return _by_coauthors(papers, joined)
-
-
-def _keys(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What every entity asks for, and what it answers to."""
-    full, cut_off, some = F.col("full"), (F.col("kind") == "p") & ~F.col("full") & (F.col("given") != ""), F.array().cast("array<string>")
-    surname, given, p, initial = F.col("surname"), F.col("given"), F.col("p"), F.substring("middle", 1, 1)
-    has_middle = F.col("middle") != ""
-
-    def key(*parts: Column) -> Column:
-        return F.concat_ws("|", *[F.lit(x) if isinstance(x, str) else x for x in parts])
-
-    def one(when: Column, *parts) -> Column:
-        return F.when(when, F.array(key(*parts))).otherwise(some)
-
-    def many(when: Column, words: Column, tag: str, *rest) -> Column:
-        return F.when(when, F.transform(words, lambda w: key(tag, surname, w, *rest))).otherwise(some)
 
+def _asks() -> Column:
+    """The keys that a name asks for."""
+    none = F.array().cast("array<string>")
+    full, cut_off = F.col("full"), (F.col("kind") == "p") & ~F.col("full") & (F.col("given") != "")
+    surname, given, p, initial, has_middle = F.col("surname"), F.col("given"), F.regexp_replace("given", r"\.", ""), F.substring("middle", 1, 1), F.col("middle") != ""
     familiar = full & F.col("formals").isNotNull()
-    asks = F.concat(
-        one(full & ~has_middle, "e", surname, given),  # the same name with a middle initial
-        many(familiar, F.col("formals"), "f"),  # the formal name of a familiar one, or another familiar one of it
-        many(familiar, F.col("formals"), "F"),
-        one(cut_off & has_middle, "m", surname, p, initial),  # initials and abbreviations, with and without middle
-        one(cut_off, "i", surname, p),
-        one(full, "h", surname, given),  # a double name of which only the first half is written
+    return F.concat(
+        F.when(full & ~has_middle, F.array(_key("e", surname, given))).otherwise(none),  # the same name with a middle initial
+        F.when(familiar, F.transform("formals", lambda w: _key("f", surname, w))).otherwise(none),  # the formal name of a familiar one,
+        F.when(familiar, F.transform("formals", lambda w: _key("F", surname, w))).otherwise(none),  # or another familiar one of it
+        F.when(cut_off & has_middle, F.array(_key("m", surname, p, initial))).otherwise(none),  # initials and abbreviations, with
+        F.when(cut_off, F.array(_key("i", surname, p))).otherwise(none),  # and without middle
+        F.when(full, F.array(_key("h", surname, given))).otherwise(none),  # a double name of which only the first half is written
     )
+
+
+def _answers() -> Column:
+    """The keys that a name answers to."""
+    none = F.array().cast("array<string>")
+    full, surname, given, initial, has_middle = F.col("full"), F.col("surname"), F.col("given"), F.substring("middle", 1, 1), F.col("middle") != ""
+    familiar = full & F.col("formals").isNotNull()
     # An initial stands for the formal name: "T." is Theodore, not Tony.
-    short_of = F.when(~familiar, _prefixes(given)).when(F.size("formals") == 1, _prefixes(F.get("formals", F.lit(0)))).otherwise(some)
-    answers = F.concat(
-        one(full & has_middle, "e", surname, given),
-        one(full, "f", surname, given),
-        many(familiar & (F.size("formals") == 1), F.col("formals"), "F"),
-        many(full & has_middle, short_of, "m", initial),
-        many(full, short_of, "i"),
-        one(full & (F.col("half") != ""), "h", surname, F.col("half")),
+    short_of = F.when(~familiar, _prefixes(given)).when(F.size("formals") == 1, _prefixes(F.get("formals", F.lit(0)))).otherwise(none)
+    return F.concat(
+        F.when(full & has_middle, F.array(_key("e", surname, given))).otherwise(none),
+        F.when(full, F.array(_key("f", surname, given), _key("w", surname, given), _key("t", F.substring(given, 1, 1), surname))).otherwise(none),
+        F.when(familiar & (F.size("formals") == 1), F.transform("formals", lambda w: _key("F", surname, w))).otherwise(none),
+        F.when(full & has_middle, F.transform(short_of, lambda w: _key("m", surname, w, initial))).otherwise(none),
+        F.when(full, F.transform(short_of, lambda w: _key("i", surname, w))).otherwise(none),
+        F.when(full & (F.col("half") != ""), F.array(_key("h", surname, F.col("half")))).otherwise(none),
     )
-    probes = s.select("entity", F.explode(asks).alias("key")).withColumn("tag", F.substring("key", 1, 1))
-    return probes, s.select("entity", F.explode(answers).alias("key"))
 
 
-def _mistyped(s: DataFrame) -> DataFrame:
-    """(entity, target): a word that hardly any other name bears, and the one name with a word typed almost so."""
-    full, one_letter = F.col("full"), (F.col("kind") == "p") & (F.length("given") == 1)
-    word_parts = F.split("surname", " ")
+def _words(facts: DataFrame) -> DataFrame:
+    """form, n, tag, fixed, word, role, asks, answers: the words of a name that may be typed wrong, beside what is fixed.
 
-    def cells(when: Column, tag: str, fixed: Column, word: Column, use: Column, n: Column) -> Column:
-        made = F.transform(_deletions(word), lambda d: F.struct(F.concat_ws("|", F.lit(tag), fixed, d).alias("key"), word.alias("word"), use.cast("long").alias("use"), n.cast("long").alias("n")))
-        return F.when(when, made).otherwise(F.array().cast("array<struct<key:string,word:string,use:bigint,n:bigint>>"))
+    Tags: g a given name beside its surname, s a surname beside its given name, t a surname beside an initial, o a word
+    of an organisation beside its other words.
+    """
+    parts, full = F.split("surname", " "), F.col("full")
+
+    def word(tag: str, fixed: Column, w: Column, role: str, asks: Column, answers: Column) -> Column:
+        return F.struct(F.lit(tag).alias("tag"), fixed.alias("fixed"), w.alias("word"), F.lit(role).alias("role"), asks.alias("asks"), answers.alias("answers"))
 
     def body(k: Column) -> Column:
-        x = F.element_at(word_parts, k)
-        rest = F.regexp_replace(F.array_join(F.concat(F.slice(word_parts, F.lit(1), k - 1), F.slice(word_parts, k + 1, F.size(word_parts))), " "), r"\.", "")
-        return F.struct(F.concat_ws("|", F.lit("o"), F.substring(x, 1, 1), rest).alias("key"), x.alias("word"), F.lit(0).cast("long").alias("use"), F.col("n").cast("long").alias("n"))
-
-    none = F.array().cast("array<struct<key:string,word:string,use:bigint,n:bigint>>")
-    bodies = F.when((F.col("kind") == "o") & (F.size(word_parts) > 1), F.transform(F.sequence(F.lit(1), F.size(word_parts)), body)).otherwise(none)
-    given, surname = F.col("given"), F.col("surname")
-    odd = F.concat(
-        cells(full & F.col("g_odd"), "g", surname, given, F.col("g_use"), F.col("n")),
-        cells(full & F.col("s_odd"), "s", given, surname, F.col("s_use"), F.col("s_n")),
-        cells(one_letter & F.col("s_odd"), "t", given, surname, F.col("s_use"), F.col("s_n")),
-        bodies,
-    )
-    right = F.concat(
-        cells(full, "g", surname, given, F.col("g_use"), F.col("n")),
-        cells(full, "s", given, surname, F.col("s_use"), F.col("s_n")),
-        cells(full, "t", F.substring("given", 1, 1), surname, F.col("s_use"), F.col("s_n")),
-        bodies,
+        rest = F.regexp_replace(F.array_join(F.concat(F.slice(parts, F.lit(1), k - 1), F.slice(parts, k + 1, F.size(parts))), " "), r"\.", "")
+        return word("o", rest, F.element_at(parts, k), "o", F.lit(True), F.lit(True))
+
+    persons = F.array(
+        word("g", F.col("surname"), F.col("given"), "g", full, full),
+        word("s", F.col("given"), F.col("surname"), "s", full, full),
+        word("t", F.substring("given", 1, 1), F.col("surname"), "s", (F.col("kind") == "p") & (F.length("given") == 1), full),
     )
-    a = s.select("entity", F.explode(odd).alias("c")).select("entity", "c.*").distinct()
-    b = s.select(F.col("entity").alias("target"), F.explode(right).alias("c")).select("target", "c.key", F.col("c.word").alias("word2"), F.col("c.use").alias("use2"), F.col("c.n").alias("n2")).distinct()
-    j = a.join(b, "key").where("entity <> target AND word <> word2")
-    tag = F.substring("key", 1, 1)
+    bodies = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts)), body))
+    cells = facts.select("form", F.col("n").cast("long").alias("n"), F.explode(F.when(F.col("kind") == "o", bodies).otherwise(persons)).alias("c"))
+    return cells.select("form", "n", "c.*").where(F.col("asks") | F.col("answers"))
+
+
+def _slips(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(form, tag, key) and (form, key) of words typed almost so, and of abbreviated words of organisations.
+
+    Words meet in what is left when a letter goes, beside the same fixed part; nothing here depends on who is merged.
+    """
+    words = cut(_words(facts))
+    uses = _uses(facts).select("role", "word", "use", F.col("n").alias("bearers"), "odd")
+    per = words.groupBy("tag", "fixed", "word", "role").agg(F.sum("n").alias("n"), F.max("asks").alias("asks"), F.max("answers").alias("answers")).join(uses, ["role", "word"], "left")
+    # Surnames are told apart by all their bearers, not only those beside one given name.
+    n = F.when(F.col("role") == "s", F.col("bearers")).otherwise(F.col("n"))
+    per = per.select("tag", "fixed", "word", F.coalesce("use", F.lit(0)).alias("use"), n.alias("n"), (F.col("asks") & F.coalesce("odd", F.lit(True))).alias("asks"), "answers")
+    cells = cut(per.where("asks OR answers").withColumn("less", F.explode(_deletions(F.col("word")))))
+    right = cells.where("answers").select("tag", "fixed", "less", F.col("word").alias("word2"), F.col("use").alias("use2"), F.col("n").alias("n2"))
+    j = cells.where("asks").join(right, ["tag", "fixed", "less"]).where(F.col("word") != F.col("word2"))
     x, y = F.regexp_replace("word", r"\.", ""), F.regexp_replace("word2", r"\.", "")
     rare = (F.col("use") <= 2) | (F.col("use") * SHARE <= F.col("use2"))
-    person = (tag != "o") & rare & _typo(F.col("word"), F.col("word2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n")))
-    shorter = F.col("word").endswith(".") & y.startswith(x) & (F.length(y) > F.length(x))
-    organisation = (tag == "o") & (shorter | _typo(x, y) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("entity") > F.col("target")))))
-    found = j.where(person | organisation).groupBy("entity", tag.alias("tag")).agg(F.min("target").alias("target"), F.max("target").alias("last"))
-    return found.where("target = last").select("entity", "target")
-
-
-def _by_coauthors(papers: DataFrame, named: DataFrame) -> DataFrame:
-    """Settles lone initials and short forms that fit several people, by the co-authors they share with one of them."""
-    size = named.groupBy("entity").agg(F.count("*").alias("size"))
-    lone = named.where("length(given) = 1 OR endswith(given, '.')").join(size, "entity").select("name", "entity", "surname", F.regexp_replace("given", r"\.", "").alias("p"), "middle")
-    full = named.where("length(given) > 1 AND NOT endswith(given, '.')").select(F.col("entity").alias("target"), "surname", F.explode(_prefixes(F.col("given"))).alias("p")).distinct()
-    # Only what is still on its own: an entity without any full given name.
-    settled = named.where("length(given) > 1 AND NOT endswith(given, '.')").select("entity").distinct()
-    lone = cut(lone.join(settled, "entity", "left_anti"))
-    if not lone.limit(1).count():
-        return named.select("name", "entity")
-    rival = cut(lone.select("entity", "surname", "p").distinct().join(full, ["surname", "p"]).select("entity", "target").distinct())
+    person = (F.col("tag") != "o") & rare & _typo(F.col("word"), F.col("word2")) & ((F.col("use2") > 2) | (F.col("n2") > F.col("n")))
+    organisation = (F.col("tag") == "o") & _typo(x, y) & ((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("word") > F.col("word2"))))
+    met = j.where(person | organisation).select("tag", "fixed", "word", "word2").distinct()
+    wanted = words.where("asks").join(met, ["tag", "fixed", "word"])
+    key = F.when(F.col("tag") == "g", _key("w", F.col("fixed"), F.col("word2"))).when(F.col("tag") == "s", _key("w", F.col("word2"), F.col("fixed"))).when(F.col("tag") == "t", _key("t", F.col("fixed"), F.col("word2"))).otherwise(_key("o", F.col("fixed"), F.col("word2")))
+    bodies = words.where("tag = 'o'")
+    short = bodies.where("word LIKE '%_.'").select("form", F.lit("p").alias("tag"), _key("p", F.col("fixed"), F.regexp_replace("word", r"\.", "")).alias("key"))
+    asks = wanted.select("form", "tag", key.alias("key")).unionByName(short)
+    spelled = bodies.where("NOT endswith(word, '.') AND length(word) > 1")
+    stems = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: _key("p", F.col("fixed"), F.substring(F.col("word"), F.lit(1), k)))
+    answers = bodies.select("form", _key("o", F.col("fixed"), F.col("word")).alias("key")).unionByName(spelled.select("form", F.explode(stems).alias("key")))
+    return asks, answers
+
+
+def _keys(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every form asks for and answers to, once for all rounds; answers nobody asks for are left out."""
+    slip_asks, slip_answers = _slips(facts)
+    own = facts.select("form", F.explode(_asks()).alias("key"))
+    asks = cut(own.select("form", F.substring("key", 1, 1).alias("tag"), "key").unionByName(slip_asks).distinct())
+    answers = facts.select("form", F.explode(_answers()).alias("key")).unionByName(slip_answers)
+    # United profiles are spelled out and never ask for initials or prefixes, so those keys can be left out here.
+    asked = asks.where("tag IN ('m', 'i', 't', 'o', 'p')").select("key").distinct()
+    fixed = F.substring("key", 1, 1).isin("m", "i", "t", "o", "p")
+    answers = answers.where(~fixed).unionByName(answers.where(fixed).join(asked, "key", "left_semi").select("form", "key"))
+    return asks, cut(answers.distinct())
+
+
+def _profiles(state: DataFrame) -> DataFrame:
+    """Per entity what its members unite to: how many, the surname most often written, the longest middle initials."""
+    weight = F.struct("n", "surname")
+    longest = F.struct(F.length("middle"), "middle")
+    return state.groupBy("entity").agg(F.count("*").alias("size"), F.max(F.when(F.col("kind") == "p", weight))["surname"].alias("united"), F.max(longest)["middle"].alias("middles"), F.max("full").alias("settled"))
+
+
+def _united(state: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Names that no member writes but the merged entity has: each given name with the surname and initials of all."""
+    merged = profiles.where("size > 1 AND settled")
+    rows = state.where("full").drop("surname", "middle").join(merged, "entity")
+    return rows.select("entity", "kind", F.col("united").alias("surname"), "given", F.col("middles").alias("middle"), "half", "formals", "full").distinct()
+
+
+def _named(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(entity, target): entities whose keys of one tag name exactly one other entity of ``held``."""
+    one = held.groupBy("key").agg(F.min("entity").alias("lo"), F.max("entity").alias("hi"), F.count("*").alias("owners"))
+    hit = asked.join(one, "key")
+    # Who owns a key itself has its name already and is not drawn to the other owner, but for two familiar forms of
+    # one name, neither of which is the formal one.
+    own = (F.col("lo") == F.col("entity")) | (F.col("hi") == F.col("entity"))
+    other = F.when(F.col("owners") == 1, F.col("lo")).when((F.col("owners") == 2) & own & (F.col("tag") == "F"), F.when(F.col("lo") == F.col("entity"), F.col("hi")).otherwise(F.col("lo")))
+    other = F.when(other != F.col("entity"), other)
+    ambiguous = ((F.col("owners") > 2) | (F.col("owners") == 2) & ~own).cast("int")
+    found = hit.select("entity", "tag", other.alias("target"), ambiguous.alias("amb")).groupBy("entity", "tag").agg(F.min("target").alias("target"), F.max("target").alias("last"), F.max("amb").alias("amb"))
+    return found.where("amb = 0 AND target = last").select("entity", "target")
+
+
+def _consistent(merges: DataFrame, profiles: DataFrame) -> DataFrame:
+    """One target per entity, none whose middle initials are others."""
+    one = merges.where("entity <> target").groupBy("entity").agg(F.min("target").alias("target"))
+    a = profiles.where("middles <> ''").select("entity", F.col("middles").alias("ma"))
+    b = profiles.where("middles <> ''").select(F.col("entity").alias("target"), F.col("middles").alias("mb"))
+    fits = F.col("ma").startswith(F.col("mb")) | F.col("mb").startswith(F.col("ma"))
+    return one.join(a, "entity", "left").join(b, "target", "left").where(F.coalesce(fits, F.lit(True))).select("entity", "target")
+
+
+def _follow(state: DataFrame, merges: DataFrame) -> DataFrame:
+    """The state after merges: every entity takes the smallest label beside it and the label of that one.
+
+    Longer chains are followed by the next rounds, in which what is left of them asks again; each call that is given
+    a merge leaves fewer entities.
+    """
+    pairs = merges.select(F.col("entity").alias("a"), F.col("target").alias("b"))
+    root = pairs.unionByName(merges.select(F.col("target").alias("a"), F.col("entity").alias("b"))).groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root"))
+    label = root.join(root.select(F.col("a").alias("root"), F.col("root").alias("further")), "root").select(F.col("a").alias("entity"), "further")
+    return cut(state.join(label, "entity", "left").withColumn("entity", F.coalesce("further", "entity")).drop("further"))
+
+
+def resolve(papers: DataFrame, nicknames: dict[str, list[str]] = FAMILIAR) -> DataFrame:
+    """name, entity: every non-blank author string that can be read as a name, with the entity it belongs to.
+
+    Null and blank names name nobody.  Case, order, accents, invisible characters and look-alikes never separate
+    spellings.  Different middle initials keep people apart.  An initial or short form that fits several people stays
+    alone unless co-authors decide.  Copies of rows add no weight beyond the distinct papers.  ``nicknames``: the
+    formal names of familiar ones.  The loop ends when neither keys nor co-authors merge anything more; it always
+    does, for a merge leaves fewer entities.
+    """
+    bare = F.when(F.col("kind") == "o", F.concat(F.lit("o "), F.regexp_replace("surname", r"\.", ""))).otherwise(F.concat_ws("|", F.lit("p"), "surname", "given", "middle"))
+    named = cut(_oriented(cut(spellings(papers))).withColumn("form", bare))
+    facts = cut(_facts(named, nicknames))
+    asks, answers = _keys(facts)
+    state = facts.select("form", F.col("form").alias("entity"), "kind", "surname", "given", "middle", "half", "formals", "full", "n")
+    by_coauthors = merged = False
+    while True:
+        profiles = _profiles(state)
+        if by_coauthors:
+            merges = _by_coauthors(papers, named, state, profiles)
+        else:
+            member = state.select("form", "entity")
+            asked, held = asks.join(member, "form").select("entity", "tag", "key"), answers.join(member, "form").select("entity", "key")
+            if merged:
+                united = _united(state, profiles)
+                asked = asked.unionByName(united.select("entity", F.explode(_asks()).alias("key")).select("entity", F.substring("key", 1, 1).alias("tag"), "key"))
+                held = held.unionByName(united.select("entity", F.explode(_answers()).alias("key")))
+            merges = _named(asked, held.distinct())
+        merges = cut(_consistent(merges, profiles))
+        if not merges.isEmpty():
+            state, by_coauthors, merged = _follow(state, merges), False, True  # richer profiles ask again
+        elif by_coauthors:
+            return named.select("name", "form").join(state.select("form", "entity"), "form").select("name", "entity")
+        else:
+            by_coauthors = True
+
+
+def _by_coauthors(papers: DataFrame, named: DataFrame, state: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(entity, target): lone initials and short forms that fit several people, by the co-authors shared with one of them."""
+    settled = profiles.where("settled").select("entity")
+    cut_off = state.where("kind = 'p' AND NOT full AND given <> ''").select("entity", "surname", F.regexp_replace("given", r"\.", "").alias("p")).distinct()
+    lone = cut_off.join(settled, "entity", "left_anti")
+    full = state.where("full").select(F.col("entity").alias("target"), "surname", F.explode(_prefixes(F.col("given"))).alias("p")).distinct()
+    rival = cut(lone.join(full, ["surname", "p"]).select("entity", "target").distinct())
+    if rival.isEmpty():
+        return rival
     wanted = rival.select("entity").unionByName(rival.select(F.col("target").alias("entity"))).distinct()
-    held = papers.select("id", F.explode(F.array_distinct("authors")).alias("name")).where("name IS NOT NULL").distinct().join(named.select("name", "entity"), "name").select("id", "entity").distinct()
-    mine = held.join(wanted, "entity")
-    co = mine.join(held.withColumnRenamed("entity", "other"), "id").where("entity <> other").select("entity", "other").distinct()
-    co = cut(co)
+    entity_of = named.select("name", "form").join(state.select("form", "entity"), "form").select("name", "entity")
+    held = cut(papers.select("id", F.explode(F.array_distinct("authors")).alias("name")).where("name IS NOT NULL").join(entity_of, "name").select("id", "entity").distinct())
+    co = cut(held.join(wanted, "entity").join(held.withColumnRenamed("entity", "other"), "id").where("entity <> other").select("entity", "other").distinct())
     fame = co.groupBy("other").agg(F.count("*").alias("f"))
     shared = rival.join(co, "entity").join(co.select(F.col("entity").alias("target"), "other"), ["target", "other"]).join(fame, "other")
     votes = shared.groupBy("entity", "target").agg(F.sum(1.0 / F.col("f")).alias("v"))
     order = Window.partitionBy("entity").orderBy(F.desc("v"), "target")
     ranked = votes.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("v").over(order))
-    chosen = ranked.where("k = 1 AND (next IS NULL OR v > 1.5 * next)").select("entity", "target")
-    return named.join(chosen, "entity", "left").select("name", F.coalesce("target", "entity").alias("entity"))
+    return ranked.where("k = 1 AND (next IS NULL OR v > 1.5 * next)").select("entity", "target")
 
 
 def pairs(resolved: DataFrame) -> DataFrame:
-    """name_a < name_b of one entity."""
+    """name_a < name_b of one entity: one row per pair of different spellings, however often each occurs."""
     a = resolved.select("entity", F.col("name").alias("name_a"))
     b = resolved.select("entity", F.col("name").alias("name_b"))
     return a.join(b, "entity").where("name_a < name_b").select("name_a", "name_b")

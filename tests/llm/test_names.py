@@ -67,3 +67,23 @@ def test_one_mistyping_of_a_common_name_may_go_with_many_surnames(spark):
     rows = [(f"p{k}", [f"Theodore {s}"]) for k, s in enumerate(surnames)] + [(f"q{k}", [f"Theodroe {s}"]) for k, s in enumerate(surnames[::25])]
     got = {(r.name_a, r.name_b) for r in N.pairs(N.resolve(spark.createDataFrame(rows, "id string, authors array<string>"))).collect()}
     assert got == {(f"Theodore {s}", f"Theodroe {s}") for s in surnames[::25]}
+
+
+def test_united_profiles_ask_again(spark):
+    # "J. Q. Vastem" is "John Vastem" once he is "John Quentin Vastem", which only the typed-wrong spelling says.
+    rows = [("a", ["Jonathan Vastem"]), ("b", ["J. Q. Vastem"]), ("c", ["Jonathan Q. Vastme"])] + [(f"v{k}", [f"{g} Vastem"]) for k, g in enumerate(("Orla", "Elif", "Noor", "Zuri"))]
+    got = {(r.name_a, r.name_b) for r in N.pairs(N.resolve(spark.createDataFrame(rows, "id string, authors array<string>"))).collect()}
+    names = ["J. Q. Vastem", "Jonathan Q. Vastme", "Jonathan Vastem"]
+    assert got == {(a, b) for a in names for b in names if a < b}
+
+
+def test_chains_longer_than_a_round_are_followed(spark):
+    state = spark.createDataFrame([(f"f{k:02}", f"f{k:02}") for k in range(40)], "form string, entity string")
+    while True:
+        label = {r.form: r.entity for r in state.collect()}
+        merges = {(label[f"f{k:02}"], label[f"f{k - 1:02}"]) for k in range(1, 40)}
+        merges = dict(sorted((a, b) for a, b in merges if a != b))
+        if not merges:
+            break
+        state = N._follow(state, spark.createDataFrame(list(merges.items()), "entity string, target string"))
+    assert set(label.values()) == {"f00"}
