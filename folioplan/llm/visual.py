@@ -4,7 +4,7 @@ Plan
 ----
 1. A string can only change if it holds a character that the tables below touch, or letters of two scripts.  One
    regular expression decides that exactly, so unremarkable strings never leave the scan.
-2. The others are cut into words (each carries the script it is mostly written in), the words exploded to positioned
+2. Distinct strings of the others are cut into words (each carries the script it is mostly written in), the words exploded to positioned
    code points, and every code point meets its decomposition and its look-alike in broadcast joins.  Both tables are
    derived from Unicode and have a fixed size.
 3. Combining marks are ordered by class within their base, recomposed canonically, and the strings rebuilt.
@@ -185,26 +185,27 @@ def _with_unchanged(df: DataFrame, column: str, out: str) -> DataFrame:
 def changed_form(df: DataFrame, column: str, out: str) -> DataFrame:
     """``plain_form`` of rows that may change (see ``_suspect_pattern``); any non-null strings are allowed."""
     spark = df.sparkSession
-    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{column}`").alias("s"))
-    # A key unique to the row within its partition: later groupings on (h, k) need no other exchange than this one.
-    keyed = held.withColumn("h", F.xxhash64("s")).repartition("h").withColumn("k", F.monotonically_increasing_id())
-    words = keyed.select("h", "k", F.posexplode(F.regexp_extract_all("s", F.lit(r"(?s)[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"), F.lit(0))).alias("w", "word"))
+    held = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.sha2(F.col(f"`{column}`"), 256).alias("h"), F.col(f"`{column}`").alias("s"))
+    # Distinct strings only, each keyed by its own digest: later groupings on (h, ...) need no other exchange than this
+    # one, and a string in any number of rows is rebuilt once.
+    keyed = held.groupBy("h").agg(F.min("s").alias("s"))
+    words = keyed.select("h", F.posexplode(F.regexp_extract_all("s", F.lit(r"(?s)[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+"), F.lit(0))).alias("w", "word"))
     # The script of a word is settled before the word is exploded, once and not per code point.
     words = words.withColumn("script", _word_script(F.col("word")))
-    cells = words.select("h", "k", "w", "script", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("p", "ch"))
+    cells = words.select("h", "w", "script", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), F.lit(0))).alias("p", "ch"))
     cells = cells.join(F.broadcast(_decompositions(spark)), "ch", "left")
     itself = F.array(F.struct(F.col("ch").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("joins")))
-    cells = cells.select("h", "k", "w", "p", "script", F.posexplode(F.coalesce("parts", itself)).alias("q", "part"))
-    cells = cells.select("h", "k", "w", "p", "q", "script", F.col("part.ch").alias("base"), F.col("part.ccc").alias("ccc"), F.col("part.joins").alias("joins"))
+    cells = cells.select("h", "w", "p", "script", F.posexplode(F.coalesce("parts", itself)).alias("q", "part"))
+    cells = cells.select("h", "w", "p", "q", "script", F.col("part.ch").alias("base"), F.col("part.ccc").alias("ccc"), F.col("part.joins").alias("joins"))
     cells = cells.join(F.broadcast(_look_alikes(spark)), ["base", "script"], "left").withColumn("ch", F.coalesce("alike", "base"))
-    order = Window.partitionBy("h", "k").orderBy("w", "p", "q")
+    order = Window.partitionBy("h").orderBy("w", "p", "q")
     cells = cells.withColumn("seq", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order))
     rank = F.struct("ccc", "w", "p", "q")  # canonical order: stable by class; a base has class 0
-    pieces = cells.groupBy("h", "k", "seq").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "ch", "ccc"))).alias("cells"))
-    pieces = pieces.select("h", "k", "seq", _compose(F.transform("cells", lambda c: F.struct(c["ch"].alias("ch"), c["ccc"].alias("ccc")))).alias("piece"))
-    texts = pieces.groupBy("h", "k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("plain"))
+    pieces = cells.groupBy("h", "seq").agg(F.array_sort(F.collect_list(F.struct(rank.alias("rank"), "ch", "ccc"))).alias("cells"))
+    pieces = pieces.select("h", "seq", _compose(F.transform("cells", lambda c: F.struct(c["ch"].alias("ch"), c["ccc"].alias("ccc")))).alias("piece"))
+    texts = pieces.groupBy("h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("plain"))
     # left: a string of invisible characters alone leaves no code point behind
-    done = keyed.join(texts, ["h", "k"], "left")
+    done = held.select("row", "h").join(texts, "h", "left")
     return done.select("row.*", F.coalesce("plain", F.lit("")).alias(out))
 
 

@@ -79,3 +79,12 @@ def test_changed_reports_each_place_once(spark):
 def test_no_author_is_no_case(spark, bad):
     df = spark.createDataFrame([("p", bad, [bad])], "id string, title string, authors array<string>")
     assert visual.changed(df).count() == 0
+
+
+def test_partitioning_and_repeated_strings_change_nothing(spark):
+    values = ["caf" + "e\u0301", "\uff38 \u200b", "P\u0430ris", "\u200b"] * 50 + [f"\uff21{k}e\u0301" for k in range(40)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, value string")
+    whole = {r.k: r.plain for r in visual.plain_form(df, "value").collect()}
+    assert all(whole[k] == {"caf" + "e\u0301": "caf\u00e9", "\uff38 \u200b": "X ", "P\u0430ris": "Paris", "\u200b": ""}.get(v, f"A{k - 200}\u00e9") for k, v in enumerate(values))
+    for n in (1, 7, 13):
+        assert {r.k: r.plain for r in visual.plain_form(df.repartition(n, "value").repartition(n + 1), "value").collect()} == whole
