@@ -16,14 +16,16 @@ Plan
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioplan.compat import cut, js_trim
+from folioplan.operators.components import components
 
 #: Ways of writing that a value is missing.
 PLACEHOLDERS = (
@@ -64,23 +66,12 @@ def identifiers(papers: DataFrame) -> DataFrame:
     return named.where(~_placeholder(F.col("v"))).select("paper_id", F.concat("kind", F.lit(":"), "v").alias("key"))
 
 
-def groups(papers: DataFrame, max_rounds: int = 50) -> DataFrame:
+def groups(papers: DataFrame) -> DataFrame:
     """group_id, paper_id: ids joined directly or through others by an equal identifier, two or more to a group."""
     pairs = identifiers(papers)
     shared = pairs.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    pairs = cut(pairs.join(shared, "key", "left_semi"))
-    labels = pairs.select("paper_id").distinct().withColumn("label", F.col("paper_id"))
-    for _ in range(max_rounds):
-        by_key = pairs.join(labels, "paper_id").groupBy("key").agg(F.min("label").alias("label"))
-        near = pairs.join(by_key, "key").groupBy("paper_id").agg(F.min("label").alias("label"))
-        # Pointer jumping: the label of one's label, which halves the rounds a chain needs again and again.
-        jump = near.select(F.col("paper_id").alias("label"), F.col("label").alias("further"))
-        new = near.join(jump, "label", "left").select("paper_id", F.least("label", "further").alias("label"))
-        new = cut(new.join(labels.withColumnRenamed("label", "old"), "paper_id"))
-        labels, moved = new.select("paper_id", "label"), new.where("label <> old").limit(1).count()
-        if not moved:
-            return labels.select(F.col("label").alias("group_id"), "paper_id")
-    raise RuntimeError("identifiers form chains too long for the rounds allowed")
+    linked = components(pairs.join(shared, "key", "left_semi").select(F.col("paper_id").alias("item"), "key"))
+    return linked.select(F.col("component").alias("group_id"), F.col("item").alias("paper_id"))
 
 
 # ---- consensus ----------------------------------------------------------------------------------------------------
@@ -111,12 +102,27 @@ def align(a: list[str], b: list[str]) -> list[tuple[int | None, int | None]]:
     x, y = a[lo:za], b[lo:zb]
     if not x or not y:
         return head + [(lo + k, None) for k in range(len(x))] + [(None, lo + k) for k in range(len(y))] + tail
-    if len(x) * len(y) > 4_000_000:  # very long and very different: pieces between tokens that each side has once
-        return head + _by_anchors(x, y, lo) + tail
-    return head + _needleman(x, y, lo, lo) + tail
+    return head + _best_path(x, y, lo, lo) + tail
 
 
-def _needleman(x: list[str], y: list[str], oa: int, ob: int) -> list[tuple[int | None, int | None]]:
+CELLS = 1 << 24  # of a table of steps; wider alignments are halved where their best path crosses the middle
+
+
+def _best_path(x: list[str], y: list[str], ox: int, oy: int) -> list[tuple[int | None, int | None]]:
+    """The best alignment of any two texts, in time in proportion to the product of their lengths and bounded memory."""
+    if not x or not y:
+        return [(ox + k, None) for k in range(len(x))] + [(None, oy + k) for k in range(len(y))]
+    if len(x) * len(y) <= 1024:
+        return _small(x, y, ox, oy)
+    if len(x) * len(y) <= CELLS or len(x) == 1:
+        return _table(x, y, ox, oy)
+    mid = len(x) // 2
+    before, after = _last_row(x[:mid], y), _last_row(x[mid:][::-1], y[::-1])[::-1]
+    j = int(np.argmax(before + after))
+    return _best_path(x[:mid], y[:j], ox, oy) + _best_path(x[mid:], y[j:], ox + mid, oy + j)
+
+
+def _small(x: list[str], y: list[str], ox: int, oy: int) -> list[tuple[int | None, int | None]]:
     n, m = len(x), len(y)
     score = [-k for k in range(m + 1)]
     back = []
@@ -135,37 +141,77 @@ def _needleman(x: list[str], y: list[str], oa: int, ob: int) -> list[tuple[int |
             row.append(left)
         score = row
         back.append(trace)
-    out, i, j = [], n, m
+    return _walk(back, n, m, ox, oy)
+
+
+def _walk(back, i: int, j: int, ox: int, oy: int) -> list[tuple[int | None, int | None]]:
+    out = []
     while i or j:
         if i and j and back[i - 1][j] == 0:
             i, j = i - 1, j - 1
-            out.append((oa + i, ob + j))
+            out.append((ox + i, oy + j))
         elif i and (not j or back[i - 1][j] == 1):
             i -= 1
-            out.append((oa + i, None))
+            out.append((ox + i, None))
         else:
             j -= 1
-            out.append((None, ob + j))
+            out.append((None, oy + j))
     return out[::-1]
 
 
-def _by_anchors(x: list[str], y: list[str], o: int) -> list[tuple[int | None, int | None]]:
-    cx, cy = Counter(x), Counter(y)
-    at = {t: k for k, t in enumerate(y) if cy[t] == 1}
-    chain: list[tuple[int, int]] = []
-    for i, t in enumerate(x):
-        if cx[t] == 1 and t in at and (not chain or at[t] > chain[-1][1]):
-            chain.append((i, at[t]))
-    out, i0, j0 = [], 0, 0
-    for i, j in [*chain, (len(x), len(y))]:
-        if (i - i0) * (j - j0) > 4_000_000:
-            out += [(o + k, None) for k in range(i0, i)] + [(None, o + k) for k in range(j0, j)]
-        else:
-            out += _needleman(x[i0:i], y[j0:j], o + i0, o + j0)
-        if i < len(x):
-            out.append((o + i, o + j))
-        i0, j0 = i + 1, j + 1
-    return out
+def _gains(x: list[str], y: list[str]) -> Iterator[np.ndarray]:
+    """Per token of x, what it gains beside each token of y; which distinct tokens say the same is found once."""
+    words = sorted({t.lower() for t in y})
+    at = {w: k for k, w in enumerate(words)}
+    ids = np.array([at[t.lower()] for t in y])
+    known: dict[str, np.ndarray] = {}
+    stems = {k for w, k in at.items() if w.endswith(".") and len(w) > 1}
+    for t in x:
+        t = t.lower()
+        row = known.get(t)
+        if row is None:
+            same = np.zeros(len(words), bool)
+            if t in at:
+                same[at[t]] = True
+            if t.endswith(".") and len(t) > 1:
+                a = bisect_left(words, t[:-1])
+                while a < len(words) and words[a].startswith(t[:-1]):
+                    same[a] = True
+                    a += 1
+            for k in range(2, len(t) + 1):
+                w = at.get(t[: k - 1] + ".")
+                if w in stems:
+                    same[w] = True
+            if t + "." in at:
+                same[at[t + "."]] = True
+            row = known[t] = np.where(same[ids], 2, -1)
+        yield row
+
+
+def _rows(x: list[str], y: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per token of x the scores so far, and what a match and a gap in y would have given."""
+    j = np.arange(len(y) + 1)
+    score = -j
+    for i, gain in enumerate(_gains(x, y), 1):
+        d, u = score[:-1] + gain, score[1:] - 1
+        # A gap in x costs one: the best of all cells to the left, each less its distance.
+        score = np.maximum.accumulate(np.concatenate(([-i], np.maximum(d, u))) + j) - j
+        yield score, d, u
+
+
+def _last_row(x: list[str], y: list[str]) -> np.ndarray:
+    score = -np.arange(len(y) + 1)
+    for score, _, _ in _rows(x, y):
+        pass
+    return score
+
+
+def _table(x: list[str], y: list[str], ox: int, oy: int) -> list[tuple[int | None, int | None]]:
+    back = np.zeros((len(x), len(y) + 1), "uint8")
+    for i, (score, d, u) in enumerate(_rows(x, y)):
+        left = score[:-1] - 1
+        back[i, 1:] = np.where((d >= u) & (d >= left), 0, np.where(u >= left, 1, 2))
+    return _walk(back, len(x), len(y), ox, oy)
 
 
 def consensus(profiles: list[tuple[list[str], list[float], float, bool]]) -> tuple[list[str], list[float], float, bool]:
@@ -217,31 +263,39 @@ _PROFILE = "group_id string, field string, tokens array<string>, votes array<dou
 
 
 def _consensus_of(values: DataFrame, block: int) -> DataFrame:
-    """group_id, field, tokens of the consensus; values: group_id, field, value, weight, short (distinct values)."""
+    """group_id, field, consensus (tokens); values: group_id, field, value, weight, short (distinct values)."""
 
-    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def profile(value: str, weight: float, short: bool) -> tuple[list[str], list[float], float, bool]:
+        tokens = re.sub(r"\s*(\.\.\.|…|[-‐]|\[\w+\])\s*$", "", value).split() if short else value.split()
+        tokens = tokens[:-1] if short and len(tokens) > 1 else tokens  # the last token of a cut text is half a word
+        return tokens, [weight] * len(tokens), weight, short
+
+    def merged(batches: Iterator[pd.DataFrame], read) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for g, f, v, w, s in zip(b["group_id"], b["field"], b["value"], b["weight"], b["short"]):
-                tokens = re.sub(r"\s*(\.\.\.|…|[-‐]|\[\w+\])\s*$", "", v).split() if s else v.split()
-                tokens = tokens[:-1] if s and len(tokens) > 1 else tokens  # the last token of a cut text is half a word
-                rows.append((g, f, tokens, [w] * len(tokens), w, s))
+            rows = [(g, f, *consensus([read(x) for x in c])) for g, f, c in zip(b["group_id"], b["field"], b["c"])]
             yield pd.DataFrame(rows, columns=["group_id", "field", "tokens", "votes", "weight", "short"])
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(list(t), list(v), w, s) for t, v, w, s in zip(pdf["tokens"], pdf["votes"], pdf["weight"], pdf["short"])]
-        one = consensus(rows)
-        return pd.DataFrame([(pdf["group_id"].iloc[0], pdf["field"].iloc[0], *one)], columns=["group_id", "field", "tokens", "votes", "weight", "short"])
-
-    profiles = values.mapInPandas(start, _PROFILE)
-    largest = values.groupBy("group_id", "field").count().agg(F.max("count")).first()[0] or 0
-    blocks = -(-largest // block)
-    while blocks > 1:  # a group of many distinct values, over several tasks: a block of it each, then their consensus
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return merged(batches, lambda x: profile(x["value"], x["weight"], x["short"]))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return merged(batches, lambda x: (list(x["tokens"]), list(x["votes"]), x["weight"], x["short"]))
+
+    # A group of many distinct values goes over several tasks: a block of it each, then their consensus.
+    sizes = values.groupBy("group_id", "field").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    most = sizes.agg(F.max("blocks")).first()[0] or 0
+    salt = F.pmod(F.xxhash64("value"), F.col("blocks"))
+    salted = values.join(sizes, ["group_id", "field"]) if most > 1 else values.withColumn("blocks", F.lit(1))
+    parts = salted.withColumn("salt", salt).groupBy("group_id", "field", "salt").agg(F.sort_array(F.collect_list(F.struct("value", "weight", "short"))).alias("c"))
+    profiles = parts.select("group_id", "field", "c").mapInPandas(first, _PROFILE)
+    while most > 1:
+        profiles = cut(profiles)
         sizes = profiles.groupBy("group_id", "field").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-        salted = profiles.join(sizes, ["group_id", "field"]).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.col("blocks")))
-        profiles = cut(salted.drop("blocks").groupBy("group_id", "field", "salt").applyInPandas(lambda pdf: merge(pdf), _PROFILE))
-        blocks = -(-blocks // block)
-    return profiles.groupBy("group_id", "field").applyInPandas(merge, _PROFILE).select("group_id", "field", F.col("tokens").alias("consensus"))
+        parts = profiles.join(sizes, ["group_id", "field"]).withColumn("salt", F.pmod(F.xxhash64("tokens"), F.col("blocks")))
+        parts = parts.groupBy("group_id", "field", "salt").agg(F.sort_array(F.collect_list(F.struct("tokens", "votes", "weight", "short"))).alias("c"))
+        profiles = parts.select("group_id", "field", "c").mapInPandas(again, _PROFILE)
+        most = -(-most // block)
+    return profiles.select("group_id", "field", F.col("tokens").alias("consensus"))
 
 
 def _full_abstract(c: Column) -> Column:
@@ -267,25 +321,26 @@ def _short_venue(c: Column) -> Column:
     return t.rlike(r"\p{L}\.(\s|$)") | t.rlike(r"^[\p{Lu}\d&]{2,8}$")
 
 
-def survivors(papers: DataFrame, trust: DataFrame, block: int = 64, boilerplate: int = 6) -> DataFrame:
+def survivors(papers: DataFrame, trust: DataFrame, block: int = 64, strangers: int = 3) -> DataFrame:
     """group_id, field, paper_id, value: for each group and field the record whose value survives.
 
     Fields abstract, venue, citationCount and source; no row where no record of the group has a usable value.  A text
-    that ``boilerplate`` or more groups share is no group's own abstract.  Repeated rows count once; ties fall to the
+    that groups of ``strangers`` or more differently beginning titles share is no group's own abstract, however large
+    the corpus; copies of one work that no identifier joins have one title.  Repeated rows count once; ties fall to the
     more trusted, then the more recent record, then the smaller id.  Null ids belong to no group.
     """
     member = groups(papers)
     rank = trust.where("source IS NOT NULL").groupBy(_plain(F.col("source")).alias("source_key")).agg(F.min("trust_rank").alias("trust_rank"))
     rows = (
         papers.select(
-            F.col("id").alias("paper_id"), "abstract", "venue", "citationCount", "source", F.coalesce("updatedAt", "importedAt").alias("seen"), _plain(F.col("source")).alias("source_key")
+            F.col("id").alias("paper_id"), F.substring(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N}]+", ""), 1, 20).alias("title"), "abstract", "venue", "citationCount", "source", F.coalesce("updatedAt", "importedAt").alias("seen"), _plain(F.col("source")).alias("source_key")
         )
         .join(member, "paper_id")
-        .join(F.broadcast(rank.limit(100_000)), "source_key", "left")
+        .join(rank, "source_key", "left")
         .withColumn("worth", F.coalesce("trust_rank", F.lit(_UNTRUSTED)))
     )
     rows = cut(rows)
-    return _texts(rows, block, boilerplate).unionByName(_scalars(rows))
+    return _texts(rows, block, strangers).unionByName(_scalars(rows))
 
 
 def _scalars(rows: DataFrame) -> DataFrame:
@@ -302,14 +357,14 @@ def _scalars(rows: DataFrame) -> DataFrame:
     return c.unionByName(trusted.select("group_id", F.lit("source").alias("field"), "s.paper_id", "s.value"))
 
 
-def _texts(rows: DataFrame, block: int, boilerplate: int) -> DataFrame:
-    abstract = rows.where(~_placeholder(F.col("abstract")) & ~_web(F.col("abstract"))).select("group_id", F.lit("abstract").alias("field"), F.col("abstract").alias("value"), _short_abstract(F.col("abstract")).alias("short"), "paper_id", "worth", "seen")
-    venue = rows.where(~_venue_noise(F.col("venue"))).select("group_id", F.lit("venue").alias("field"), F.col("venue").alias("value"), _short_venue(F.col("venue")).alias("short"), "paper_id", "worth", "seen")
+def _texts(rows: DataFrame, block: int, strangers: int) -> DataFrame:
+    abstract = rows.where(~_placeholder(F.col("abstract")) & ~_web(F.col("abstract"))).select("group_id", F.lit("abstract").alias("field"), F.col("abstract").alias("value"), _short_abstract(F.col("abstract")).alias("short"), "paper_id", "worth", "seen", "title")
+    venue = rows.where(~_venue_noise(F.col("venue"))).select("group_id", F.lit("venue").alias("field"), F.col("venue").alias("value"), _short_venue(F.col("venue")).alias("short"), "paper_id", "worth", "seen", "title")
     cells = abstract.unionByName(venue)
     # One row per distinct value: its pooled weight, and its best record.
     best = F.min(F.struct("worth", (-F.unix_micros("seen")).alias("age"), "paper_id")).alias("best")
-    values = cells.groupBy("group_id", "field", "value", "short").agg(F.sum(1.0 + 1.0 / F.col("worth")).alias("weight"), best)
-    common = values.where("field = 'abstract'").groupBy("field", "value").agg(F.count("*").alias("n")).where(F.col("n") >= boilerplate).select("field", "value")
+    values = cells.groupBy("group_id", "field", "value", "short").agg(F.sum(1.0 + 1.0 / F.col("worth")).alias("weight"), best, F.min("title").alias("title"))
+    common = values.where("field = 'abstract'").groupBy("field", "value").agg(F.count_distinct("title").alias("n")).where(F.col("n") >= strangers).select("field", "value")
     values = cut(values.join(common, ["field", "value"], "left_anti"))
     # A venue of initials names no words that could be aligned; it has no vote.
     voters = values.where(~((F.col("field") == "venue") & js_trim(F.col("value")).rlike(r"^[\p{Lu}\d&]{2,8}$")))

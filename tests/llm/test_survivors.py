@@ -53,3 +53,33 @@ def test_consensus_outvotes_a_misprint():
 
 def test_empty_tables(spark):
     assert run(spark, []) == {}
+
+
+def test_wide_alignments_are_exact(monkeypatch):
+    import random
+
+    rng = random.Random(1)
+    words = ["a", "b", "Comput.", "Computational", "c.", "c", "cat", "Cat.", "d", "A"]
+
+    def score(path, x, y):
+        return sum(-1 if i is None or j is None else 2 if survivors._same(x[i], y[j]) else -1 for i, j in path)
+
+    for _ in range(40):
+        x, y = ([rng.choice(words) for _ in range(rng.randint(33, 60))] for _ in range(2))
+        small = survivors._small(x, y, 0, 0)
+        assert survivors._table(x, y, 0, 0) == small
+        monkeypatch.setattr(survivors, "CELLS", 50)
+        halved = survivors._best_path(x, y, 0, 0)
+        monkeypatch.undo()
+        assert score(halved, x, y) == score(small, x, y)
+        assert [i for i, _ in halved if i is not None] == list(range(len(x))) and [j for _, j in halved if j is not None] == list(range(len(y)))
+
+
+def test_a_text_that_different_works_share_is_nobodys_abstract(spark):
+    def group(k, title):
+        return [(*row(f"{k}{x}", doi=f"10.1/{k}", abstract=FULL)[:-2], title, "clash") for x in "ab"]
+
+    one_work = [r for k in range(8) for r in group(k, "One title in eight groups that no identifier joins")]
+    assert len(run(spark, one_work)) == 8
+    others = [r for k in range(3) for r in group(k, f"{'XYZ'[k]} title of its own")]
+    assert run(spark, others) == {}
