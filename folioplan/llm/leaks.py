@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -138,6 +139,7 @@ class Scanner:
             parts = [(m, d0, d1)]
             if m < self.least * n:
                 sides = [passage(places, words, lo, d0, 0, i0, self.gap, self.cost), passage(places, words, d1, hi, i1, n, self.gap, self.cost)]
+                # A few scattered words are no passage.
                 other = max((s for s in sides if s), default=None)
                 if other and other[0] >= self.second:
                     parts.append(other[:3])
@@ -148,6 +150,17 @@ class Scanner:
         return out
 
 
+_BUILT: dict[str, Scanner] = {}
+
+
+def _scanner(key: str, rows: list[tuple[int, str]], options: dict) -> Scanner:
+    """The scanner of a block, built once in each Python worker and used by all its tasks."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Scanner(rows, **options)
+    return _BUILT[key]
+
+
 def leaked(documents: DataFrame, items: DataFrame, block: int = 20_000, **options) -> DataFrame:
     """doc_id, item_id, share of the item's words, and the leaked passages as character offsets in the original text.
 
@@ -161,10 +174,10 @@ def leaked(documents: DataFrame, items: DataFrame, block: int = 20_000, **option
     out = None
     for b in range(blocks):
         part = held if blocks == 1 else held.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = sorted((r.item_id, r.text) for r in part.collect())
+        rows = documents.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in part.collect()))
 
-        def scan(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            scanner = Scanner(rows, **options)
+        def scan(batches: Iterator[pd.DataFrame], rows=rows, key=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            scanner = _scanner(key, rows.value, options)
             for batch in batches:
                 found = [
                     (doc_id, item_id, share, [{"start": a, "stop": z, "words": k} for a, z, k in spans])
