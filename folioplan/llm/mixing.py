@@ -18,13 +18,13 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioplan.compat import cut, js_trim
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the public pre-tokenisation pattern of this vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 HASH_BUCKETS = 4096
@@ -39,7 +39,7 @@ def tokenizer(path: str):
     return tiktoken.Encoding("mixing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_lengths(documents: DataFrame, path: str = TOKENIZER) -> DataFrame:
+def token_lengths(documents: DataFrame, path: str) -> DataFrame:
     """doc_id, source (lower case, trimmed), tokens; null and empty texts have no tokens, blank sources are null."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +72,8 @@ def fit_counts(available: dict[int, int], budget: int, slack: int = 16) -> dict[
             more = min(have[k] - take[k], max(1, (rest - slack * longest) // k))
             take[k] += more
             rest -= more * k
-    # Reachable sums as bits of an integer, one layer per binary part of each bounded count.
+    # Reachable sums as bits of an integer, a step per binary part of each bounded count; of each sum only the first
+    # part that reached it is kept, so memory is in proportion to the rest alone.
     parts = []
     for k, n in have.items():
         left, size = min(n - take[k], rest // k), 1
@@ -82,17 +83,20 @@ def fit_counts(available: dict[int, int], budget: int, slack: int = 16) -> dict[
             left -= size
             size *= 2
     mask = (1 << (rest + 1)) - 1
-    layers = [1]
-    for k, size in parts:
-        layers.append((layers[-1] | layers[-1] << k * size) & mask)
-        if layers[-1] >> rest & 1:
+    reached, first = 1, np.full(rest + 1, -1, "int32")
+    for j, (k, size) in enumerate(parts):
+        new = reached << k * size & mask & ~reached
+        if new:
+            bits = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), "uint8"), bitorder="little", count=rest + 1)
+            first[np.flatnonzero(bits)] = j
+            reached |= new
+        if reached >> rest & 1:
             break
-    at = layers[-1].bit_length() - 1
-    for j in range(len(layers) - 1, 0, -1):
-        if not layers[j - 1] >> at & 1:
-            k, size = parts[j - 1]
-            take[k] += size
-            at -= k * size
+    at = reached.bit_length() - 1
+    while at:
+        k, size = parts[first[at]]
+        take[k] += size
+        at -= k * size
     return {k: n for k, n in take.items() if n}
 
 
@@ -118,9 +122,10 @@ def plan(histogram: dict[str, dict[int, int]], targets: list[tuple[str, float, i
     return picks, rows
 
 
-def mix(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, path: str, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, repeats) of the mixture, and its report per target source.
 
+    ``path``: the vocabulary file of the tokenizer, under the same path on every node.
     Documents without tokens or of sources without a target take no part.  ``targets`` is a small table (checked: at
     most 10 000 sources); a source listed twice counts once, at its smallest weight and cap.
     """

@@ -9,6 +9,10 @@ from folioplan.compat import table
 from folioplan.llm import encoding, leaks, linkage, mixing, names, scans, survivors, visual
 
 
+#: The public vocabulary that sizes are counted in.
+TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.changed(table(spark, d, "papers")).select("paper_id", "field", "pos").distinct()
 
@@ -84,12 +88,12 @@ def p7_items(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Per source of the targets: budget, what the mixture holds, and its actual share."""
-    return mixing.shares(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))).withColumn("fitted_weight", F.round("fitted_weight", 8))
+    return mixing.shares(*mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)).withColumn("fitted_weight", F.round("fitted_weight", 8))
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
     """The documents of the mixture and how often each is repeated."""
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), TOKENIZER)[0]
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

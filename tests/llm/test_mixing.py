@@ -3,6 +3,7 @@ import random
 import pytest
 
 from folioplan.llm import mixing
+from folioplan.llm.queries import TOKENIZER
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -43,7 +44,7 @@ def targets(spark, rows=(("a", 0.7, 1), ("b", 0.3, 3), ("none", 0.1, 2))):
 
 
 def test_shares_are_met_to_the_token(spark):
-    mixture, report = mixing.mix(docs(spark), targets(spark))
+    mixture, report = mixing.mix(docs(spark), targets(spark), TOKENIZER)
     rows = {r.source: r for r in mixing.shares(mixture, report).collect()}
     for s in ("a", "b"):
         assert abs(rows[s].actual_tokens - rows[s].budget_tokens) <= 2
@@ -53,21 +54,28 @@ def test_shares_are_met_to_the_token(spark):
 
 
 def test_seed_decides_and_repeats(spark):
-    one = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark), targets(spark), seed=1)[0].collect()}
-    again = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark).repartition(7), targets(spark), seed=1)[0].collect()}
-    other = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark), targets(spark), seed=2)[0].collect()}
+    one = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark), targets(spark), TOKENIZER, seed=1)[0].collect()}
+    again = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark).repartition(7), targets(spark), TOKENIZER, seed=1)[0].collect()}
+    other = {(r.doc_id, r.repeats) for r in mixing.mix(docs(spark), targets(spark), TOKENIZER, seed=2)[0].collect()}
     assert one == again != other
 
 
 def test_all_documents_of_one_length(spark):
     d = spark.createDataFrame([(k, "same text", "a" if k % 3 else "b") for k in range(600)], "doc_id bigint, text string, source string")
-    mixture, report = mixing.mix(d, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)]))
+    mixture, report = mixing.mix(d, targets(spark, [("a", 0.5, 1), ("b", 0.5, 1)]), TOKENIZER)
     rows = {r.source: r for r in mixing.shares(mixture, report).collect()}
     assert rows["a"].actual_tokens == rows["b"].actual_tokens == 400
 
 
 def test_empty_tables_and_extra_columns(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string, tokens string, bucket int")
-    mixture, report = mixing.mix(none, targets(spark))
+    mixture, report = mixing.mix(none, targets(spark), TOKENIZER)
     assert mixture.count() == 0 and report.count() == 3
-    assert mixing.mix(docs(spark), targets(spark, []))[1].count() == 0
+    assert mixing.mix(docs(spark), targets(spark, []), TOKENIZER)[1].count() == 0
+
+
+def test_one_very_long_document_among_many_lengths():
+    have = {k: 3 for k in range(100, 3000, 7)} | {1_000_003: 2}
+    budget = sum(k * n for k, n in have.items()) // 2 + 1
+    take = mixing.fit_counts(have, budget)
+    assert sum(k * n for k, n in take.items()) == budget and all(n <= have[k] for k, n in take.items())
