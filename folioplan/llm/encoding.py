@@ -6,11 +6,13 @@ Plan
    in every document costs nothing more).  Everything that follows until the last scan works on distinct tokens.
 2. A smoothed character trigram model is trained on the clean tokens.  Structure alone excludes most garbled tokens
    (replacement characters, C1 controls, anything that decodes strictly as UTF-8 once re-encoded); two rounds of
-   training and scoring exclude the rest.  N-grams are hashed into a table of fixed size: what is broadcast is bounded.
-3. Every candidate chain of encode-decode steps is scored on clean tokens held out of training; the margin is the
-   smallest gain that keeps false acceptances among them below a rate.
+   training and scoring exclude the rest.  N-grams are hashed into an array of fixed size (20 MB), whatever the data:
+   that is all that reaches the driver and the workers.
+3. Every candidate chain of encode-decode steps is scored on clean tokens held out of training; the margins are such
+   that false acceptances stay below a rate (see ``fit``).
 4. One scan over the documents with characters beyond ASCII takes, per chain, the run of tokens whose summed gain is
-   largest, and accepts the likeliest chain beyond the margin.
+   largest, and accepts the likeliest chain beyond its margin.  Characters whose bytes are lost (U+FFFD, C1 controls)
+   are a last candidate, in which they are left out: where that is likelier beyond the margin, the text is lost there.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +32,7 @@ from pyspark.sql import functions as F
 from folioplan.compat import cut
 
 BINS = 1 << 20  # hashed n-grams per order: the model never exceeds this
+CELLS = 5 * BINS + 1  # of trigrams, bigrams, characters, contexts and their second letters, and the number of all at the end
 _SPACE = re.compile(r"([ \t\n\r]+)")
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 _LOST = re.compile(r"�|[\x80-\x9f]")
@@ -94,7 +99,7 @@ def _grams(token: str) -> Iterator[tuple[str, str, str, str]]:
 
 
 def _key(order: int, gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BINS + order * BINS
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BINS + (order - 1) * BINS
 
 
 def gram_weights(token: str, n: int) -> Counter:
@@ -107,24 +112,25 @@ def gram_weights(token: str, n: int) -> Counter:
         c[_key(1, one)] += w
         c[_key(4, ctx)] += w
         c[_key(5, bi[0])] += w
-        c[-1] += w
+        c[CELLS - 1] += w
     return c
 
 
 class Model:
     """Interpolated character trigrams; ``own`` is what a token itself added and is left out when it is scored."""
 
-    def __init__(self, weights: dict[int, float], smoothing: float = 2.0):
-        self.w, self.a = weights, smoothing
+    def __init__(self, weights: bytes, smoothing: float = 2.0):
+        self.w, self.a = array("f"), smoothing
+        self.w.frombytes(weights)
 
     def score(self, token: str, own: Counter | None = None) -> float:
         w, a, total = self.w, self.a, 0.0
         own = own or {}
 
         def of(k: int) -> float:
-            return max(0.0, w.get(k, 0.0) - own.get(k, 0.0))
+            return max(0.0, w[k] - own.get(k, 0.0))
 
-        n = of(-1)
+        n = of(CELLS - 1)
         for tri, bi, one, ctx in _grams(token):
             p1 = (of(_key(1, one)) + 0.02) / (n + 2000)
             p2 = (of(_key(2, bi)) + a * p1) / (of(_key(5, bi[0])) + a)
@@ -142,13 +148,13 @@ class Model:
     def _attested(self, token: str, reading: str) -> bool:
         """Every new pair of characters of the reading occurs in clean text."""
         old = {b for _, b, _, _ in _grams(token)}
-        return all(self.w.get(_key(2, b), 0.0) > 0 for _, b, _, _ in _grams(reading) if b not in old)
+        return all(self.w[_key(2, b)] > 0 for _, b, _, _ in _grams(reading) if b not in old)
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
-    """token, n: white-space tokens of all texts; tokens of more than 200 characters are data, not words."""
+    """token, n: white-space tokens of all texts."""
     tokens = documents.select(F.explode(F.split("text", r"[ \t\n\r]+")).alias("token"))
-    return tokens.where("token <> '' AND length(token) <= 200").groupBy("token").agg(F.count("*").alias("n"))
+    return tokens.where("token <> ''").groupBy("token").agg(F.count("*").alias("n"))
 
 
 def _structurally_garbled(token: str) -> bool:
@@ -161,33 +167,47 @@ def _single_readings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["token", "n", "reading"])
 
 
-def _train(clean: DataFrame) -> dict[int, float]:
+def _train(clean: DataFrame) -> bytes:
+    """The cells of the model as 32-bit floats; what comes to the driver is bounded by their fixed number."""
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: Counter = Counter()
+        cells = np.zeros(CELLS)
         for b in batches:
+            total: Counter = Counter()
             for token, n in zip(b["token"], b["n"]):
                 total.update(gram_weights(token, n))
-        yield pd.DataFrame({"k": list(total.keys()), "w": list(total.values())})
+            cells[np.fromiter(total.keys(), "int64", len(total))] += np.fromiter(total.values(), "float64", len(total))
+        k = np.flatnonzero(cells)
+        yield pd.DataFrame({"k": k.astype("int32"), "w": cells[k]})
+
+    rows = clean.mapInPandas(count, "k int, w double").groupBy("k").agg(F.sum("w").cast("float").alias("w")).toPandas()
+    cells = np.zeros(CELLS, "float32")
+    cells[rows["k"].to_numpy("int64")] = rows["w"].to_numpy("float32")
+    return cells.tobytes()
 
-    rows = clean.mapInPandas(count, "k long, w double").groupBy("k").agg(F.sum("w").alias("w"))
-    return dict(zip(*rows.toPandas().to_dict("list").values()))  # at most 5 * BINS + 1 rows
 
+PIECE = 200  # characters of which a very long token is counted and judged at a time
 
-def fit(documents: DataFrame, rounds: int = 2, exclude: float = 3.0, least: float = 12.0, dominance: int = 3, false_rate: float = 1e-3, held_out: int = 10) -> tuple[Model, float]:
-    """The model of clean text and the validated margin.
 
-    The margin, for chains that swap code pages, is the least gain that at most ``false_rate`` of the clean tokens
-    reach, every ``held_out``-th of which (by hash) was kept from that training; never under ``least``.  Chains that
-    decode as UTF-8 have that as evidence already and only need to gain (``Restorer.strict``).
+def fit(documents: DataFrame, rounds: int = 2, exclude: float = 3.0, dominance: int = 3, false_rate: float = 1e-3, held_out: int = 10) -> tuple[bytes, float, float]:
+    """The model of clean text and the two validated margins: for chains that swap code pages, and those by UTF-8.
+
+    Under clean text, the likelihood ratio of one reading reaches c with a probability of at most 1 / c; over all
+    chains of a kind, a gain of log(chains / ``false_rate``) therefore keeps false acceptances below that rate.  The
+    margin of code pages is this, or the gain that no more than ``false_rate`` of the clean tokens kept from training
+    (every ``held_out``-th, by hash) reach, if that is more.  That a token decodes as UTF-8 is evidence itself: how
+    seldom tokens held out do so without a likelier reading is counted, and the margin is less by its logarithm.
     """
     spark = documents.sparkSession
-    vocab = vocabulary(documents)
 
     def structure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(garbled=[not t.isascii() and _structurally_garbled(t) for t in b["token"]])
 
-    vocab = cut(vocab.mapInPandas(structure, "token string, n long, garbled boolean").withColumn("held", F.pmod(F.xxhash64("token"), F.lit(held_out)) == 0))
+    # Very long tokens (text without spaces) are judged whole and counted in pieces.
+    whole = vocabulary(documents).mapInPandas(structure, "token string, n long, garbled boolean")
+    pieces = F.when(F.length("token") > PIECE, F.regexp_extract_all("token", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))).otherwise(F.array("token"))
+    vocab = cut(whole.select(F.explode(pieces).alias("token"), "n", "garbled").withColumn("held", F.pmod(F.xxhash64("token"), F.lit(held_out)) == 0))
     clean = vocab.where("NOT garbled")
     strange = clean.where(F.col("token").rlike(r"[^\x00-\x7f]"))
     # A reading that is itself a word of the corpus, and a far more frequent one, convicts a token by counts alone.
@@ -206,37 +226,63 @@ def fit(documents: DataFrame, rounds: int = 2, exclude: float = 3.0, least: floa
 
         scored = strange.join(convicted, "token", "left_anti").select("token").mapInPandas(mark, "token string, gain double")
         convicted = cut(convicted.unionByName(scored.where(F.col("gain") > exclude).select("token")))
+        weights.unpersist()
         clean = vocab.where("NOT garbled").join(convicted, "token", "left_anti")
     weights = spark.sparkContext.broadcast(_train(clean.where("NOT held").select("token", "n")))
 
     def negatives(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = Model(weights.value)
         for b in batches:
-            yield pd.DataFrame({"gain": [max((g for k, (g, _) in m.gains(t).items() if k >= STRICT), default=-math.inf) for t in b["token"]]})
+            gains = [m.gains(t) for t in b["token"]]
+            swap = [max((g for k, (g, _) in x.items() if k >= STRICT), default=-math.inf) for x in gains]
+            utf8 = [max((g for k, (g, _) in x.items() if k < STRICT), default=-math.inf) for x in gains]
+            yield pd.DataFrame({"swap": swap, "chance": [int(-math.inf < g <= 0) for g in utf8]})
+
+    beyond = F.col("token").rlike(r"[^\x00-\x7f]")
+    kept = clean.where("held").where(beyond).select("token")
+    limit = kept.mapInPandas(negatives, "swap double, chance int").agg(F.percentile_approx("swap", 1 - false_rate, 10_000).alias("m")).first().m
+    seen = vocab.where("held").where(beyond).select("token").mapInPandas(negatives, "swap double, chance int").agg(F.count("*").alias("n"), F.coalesce(F.sum("chance"), F.lit(0)).alias("chance")).first()
+    weights.unpersist()
+    least = math.log((len(CHAINS) - STRICT) / false_rate)
+    strict = max(0.0, math.log(STRICT / false_rate) + math.log((seen.chance + 1) / (seen.n + 1)))
+    return _train(clean.select("token", "n")), max(least, limit if limit is not None else least), strict
 
-    kept = clean.where("held").where(F.col("token").rlike(r"[^\x00-\x7f]")).select("token")
-    limit = kept.mapInPandas(negatives, "gain double").agg(F.percentile_approx("gain", 1 - false_rate, 10_000).alias("m")).first().m
-    return Model(_train(clean.select("token", "n"))), max(least, limit if limit is not None and limit > -math.inf else least)
+
+#: Characters of no code page, but for the mark of a lost one.
+_FOREIGN = re.compile(f"([^�{re.escape(''.join(sorted({c for page in _PAGES.values() for c in page})))}]+)")
 
 
 class Restorer:
     """Finds and undoes garbled runs of one text; token gains are remembered, for tokens repeat."""
 
-    def __init__(self, model: Model, margin: float, remembered: int = 200_000, strict: float = 3.0):
+    def __init__(self, model: Model, margin: float, strict: float, remembered: int = 200_000):
         self.model, self.margin, self.remembered, self.strict = model, margin, remembered, strict
         self.cache: dict[str, dict[int, tuple[float, str]]] = {}
 
     def _gains(self, token: str) -> dict[int, tuple[float, str]]:
+        if len(token) > PIECE:
+            return self.model.gains(token)
         g = self.cache.get(token)
         if g is None:
             if len(self.cache) >= self.remembered:
                 self.cache.clear()
-            g = self.cache[token] = self.model.gains(token) if len(token) <= 2000 else {}
+            g = self.cache[token] = self.model.gains(token)
         return g
 
-    def restore(self, text: str) -> tuple[str, float, list[int]]:
-        """The restored text, the summed gain, and the chains used."""
-        parts = _SPACE.split(text)
+    def _gone(self, token: str) -> bool:
+        """The token is likelier without its characters whose bytes are lost, beyond the margin."""
+        return bool(_LOST.search(token)) and self.model.score(_LOST.sub("", token)) - self.model.score(token) > self.strict
+
+    def restore(self, text: str) -> tuple[str, float, list[int], bool]:
+        """The restored text, the summed gain, the chains used, and whether something stays lost.
+
+        Tokens end at spaces and at characters of no code page (Chinese, say), which no wrong decoding leaves behind.
+        Nothing depends on their length: work grows with it in proportion.
+        """
+        parts = []
+        for k, part in enumerate(_SPACE.split(text)):
+            # Tokens stand at even places, what parts them at odd ones.
+            parts += [part] if k % 2 or part.isascii() else _FOREIGN.split(part)
         at = [k for k in range(0, len(parts), 2) if not parts[k].isascii()]
         total, used = 0.0, []
         gains = {k: self._gains(parts[k]) for k in at}
@@ -254,7 +300,7 @@ class Restorer:
                     if run > (self.margin if chain >= STRICT else self.strict) and (best is None or run > best[0]):
                         best = (run, chain, start, j)
             if best is None:
-                return "".join(parts), total, used
+                return "".join(parts), total, used, any(self._gone(parts[k]) for k in range(len(parts)))
             gain, chain, a, z = best
             for k in at[a : z + 1]:
                 if chain in gains[k]:
@@ -267,24 +313,23 @@ class Restorer:
 FOUND = "doc_id bigint, restored string, gain double, chains array<string>, lost boolean"
 
 
-def garbled(documents: DataFrame, fitted: tuple[Model, float] | None = None) -> DataFrame:
+def garbled(documents: DataFrame, fitted: tuple[bytes, float, float] | None = None) -> DataFrame:
     """doc_id, restored, gain, chains, lost: documents with a stretch that a wrong encoding garbled.
 
-    ``lost``: the text holds a replacement character or a C1 control that no accepted chain explains; it is reported
-    even though that stretch cannot be restored.  Null and empty texts and plain ASCII are never garbled.  Repeated
+    ``lost``: the text is likelier without replacement characters or C1 controls that no accepted chain explains; it is
+    reported even though that stretch cannot be restored.  Null and empty texts and plain ASCII are never garbled.  Repeated
     documents are each reported.
     """
     texts = documents.select("doc_id", "text").where("text IS NOT NULL")
-    model, margin = fitted or fit(texts)
-    shared = documents.sparkSession.sparkContext.broadcast(model.w)
+    weights, margin, strict = fitted or fit(texts)
+    shared = documents.sparkSession.sparkContext.broadcast(weights)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Restorer(Model(shared.value), margin)
+        r = Restorer(Model(shared.value), margin, strict)
         for b in batches:
             out = []
             for doc_id, text in zip(b["doc_id"], b["text"]):
-                restored, gain, used = r.restore(text)
-                lost = bool(_LOST.search(restored))
+                restored, gain, used, lost = r.restore(text)
                 if used or lost:
                     names = sorted({" > ".join(f"{m} read as {p}" for p, m in reversed(CHAINS[c])) for c in used})
                     out.append((doc_id, restored, gain, names, lost))

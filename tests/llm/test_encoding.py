@@ -78,3 +78,22 @@ def test_empty_table_extra_columns_and_long_tokens(spark):
     assert encoding.garbled(none).count() == 0
     odd = spark.createDataFrame([(1, "é" * 5_000, "x"), (1, "é" * 5_000, "x")], "doc_id bigint, text string, gain string")
     assert encoding.garbled(odd).count() == 0
+
+
+def test_length_of_a_token_changes_nothing(spark):
+    rows = [(k, t) for k, t in enumerate(CLEAN * 40)]
+    word = CLEAN[2].replace(" ", "")
+    for k, n in ((9000, 1), (9001, 40)):
+        rows.append((k, garble(word * n, CHAINS[0])))
+    rows += [(9002, "汉字文本没有空格" * 300 + garble("Überschüsse", CHAINS[0]) + "汉字" * 10), (9003, "汉字文本没有空格" * 300)]
+    found = {r.doc_id: r for r in encoding.garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[9000].restored == word and found[9001].restored == word * 40
+    assert "Überschüsse汉" in found[9002].restored and 9003 not in found
+
+
+def test_margins_follow_from_the_rate_of_false_acceptances(spark):
+    texts = spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN * 40)], "doc_id bigint, text string")
+    weights, swap, utf8 = encoding.fit(texts)
+    assert len(weights) == 4 * encoding.CELLS and swap > 10 and 0 <= utf8 < 12
+    # The more tokens held out decode as UTF-8 without being likelier for it, the less evidence decoding is.
+    assert encoding.fit(texts, false_rate=1e-2)[2] < utf8
