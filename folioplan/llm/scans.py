@@ -9,8 +9,9 @@ Plan
 2. Lines near the edges of pages meet their repetitions (an aggregate per document and skeleton, and one over
    documents), which with the form of the line decides what is furniture.
 3. Each page is decoded by itself: lines without furniture become one stream of pieces in which runs around unknown
-   pieces are decoded jointly (keep, confusion, split, merge), hyphens at line ends are joined with what follows, on
-   the next page where need be.  Paragraph boundaries are chosen by dynamic programming over the lines.
+   pieces and hyphens at line ends are decoded jointly (keep, confusion, split, merge, hyphen left out, hyphen of a
+   compound, hyphen that stands for a word to come), on the next page where need be.  Paragraph boundaries are chosen by
+   dynamic programming over the lines, with costs of whole paragraphs.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -36,10 +39,14 @@ _DIGITS = str.maketrans({"l": "1", "i": "1", "I": "1", "|": "1", "o": "0", "O":
 PIECE = re.compile(r"[^\s\-‐‑–—­¬,.;:()\[\]{}/\"“”„«»'’‘`´&?!%+=<>*·…¿¡#@~^\\]+")
 DOI = re.compile(r"10\.\d{4,9}/[^\s,;]*[^\s,;.\])]")
 HYPHEN = re.compile(r"[-‐‑­¬]\s*$")
+SECOND = re.compile(r"(?<=[^\W\d_][-‐‑])[^\W\d_]+")
 ROMAN = re.compile(r"[ivxlcdm1]+", re.I)
 
 
+@lru_cache(maxsize=200_000)
 def skeleton(word: str) -> str:
+    if word.isascii():
+        return word.lower().translate(_STROKES)
     w = unicodedata.normalize("NFKD", word.lower())
     return "".join(c for c in w if not unicodedata.combining(c)).translate(_STROKES)
 
@@ -53,15 +60,17 @@ def line_key(line: str) -> str:
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
-    """word, n, skel over a column ``text``: lower-case pieces and DOIs; words of more than 60 characters are none."""
+    """word, n, skel over a column ``text``: lower-case pieces, DOIs, and with a "-" second parts of compounds."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             c: Counter = Counter()
             for t in b["text"]:
                 if t:
-                    c.update(w for w in PIECE.findall(t.lower()) if len(w) <= 60)
-                    c.update("doi:" + x for x in DOI.findall(t.lower()))
+                    t = t.lower()
+                    c.update(PIECE.findall(t))
+                    c.update("doi:" + x for x in DOI.findall(t))
+                    c.update("-" + x for x in SECOND.findall(t))
             yield pd.DataFrame({"word": list(c.keys()), "n": list(c.values())})
 
     def skeletons(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,13 +90,13 @@ def clean_texts(papers: DataFrame) -> DataFrame:
 class Lexicon:
     """Counts of the common words, and of the words that the page at hand may need."""
 
-    def __init__(self, common: list[tuple[str, int, str]], total: int):
+    def __init__(self, common: list[tuple[str, int, str]], total: int, compounds: int):
         self.count = {w: n for w, n, _ in common}
         self.best: dict[str, tuple[int, str]] = {}
         for w, n, s in common:
             if s not in self.best or (n, w) > self.best[s]:
                 self.best[s] = (n, w)
-        self.total = max(total, 1)
+        self.total, self.compounds = max(total, 1), max(compounds, 1)
         self.more: dict[str, int] = {}
         self.more_best: dict[str, tuple[int, str]] = {}
 
@@ -112,7 +121,18 @@ class Lexicon:
         return math.log(n / self.total) if n else math.log(0.02 / self.total) - max(0, len(w) - 3)
 
 
-RARE = 3  # pieces seen no more often than this in clean text are open to other readings
+    def open(self, w: str) -> bool:
+        """Hardly in clean text, or a word that it holds far more often looks alike."""
+        n = self.n(w)
+        return n <= RARE or self.alike(w)[0] > FAR * n
+
+    def stands_alone(self, t: str) -> bool:
+        """After a hyphen at a line's end, the word is not its second part: it is far more often a word than that."""
+        return self.n(t) / self.total > 5 * (self.n("-" + t) + 0.5) / self.compounds
+
+
+RARE = 3  # pieces seen no more often than this in clean text are open to other readings,
+FAR = 400  # and more frequent ones beside words that are so many times as frequent
 
 
 def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
@@ -120,6 +140,8 @@ def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
     out = set()
     for line in lines:
         pieces = PIECE.findall(line.lower())
+        if pieces:
+            out.add(skeleton("-" + pieces[0]))
         for k, w in enumerate(pieces):
             if w in common or w.isdigit():
                 continue
@@ -136,44 +158,47 @@ def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
 
 # ---- decoding -----------------------------------------------------------------------------------------------------
 
-CONFUSED, GAP = 4.0, 3.0
+CONFUSED, GAP, COMPOUND = 4.0, 3.0, 1.0
+#: What a piece's last hyphen is: none, one at a line's end, one that cannot be a compound's (a soft one, or after a space).
+PLAIN, HYPHENED, SOFT = 0, 1, 2
 
 
-def readings(pieces: list[str], tied: list[bool], lex: Lexicon) -> list[tuple[int, int, list[str]]]:
-    """Joint decoding of pieces (lower case): the changes (first, one past last piece, words read instead).
+def readings(pieces: list[str], tied: list[bool], hyphens: list[int], lex: Lexicon) -> list[tuple[int, int, list[str], str]]:
+    """Joint decoding of pieces (lower case): the changes (first, one past last piece, words read instead, kind).
 
     ``tied[k]``: piece k and the next stand on one line with one space between them, so that the gap may be false.
+    ``hyphens[k]``: the hyphen at the end of a line that piece k ends.  Kinds: "read" for another reading, "word" for two
+    pieces that are one word broken by a hyphen, "compound" for two that keep it.
     """
     n = len(pieces)
-    odd = [not w.isdigit() and lex.n(w) <= RARE for w in pieces]
-    changes: list[tuple[int, int, list[str]]] = []
+    odd = [not w.isdigit() and lex.open(w) for w in pieces]
+    need = [odd[k] or hyphens[k] > 0 or k > 0 and hyphens[k - 1] > 0 for k in range(n)]
+    changes: list[tuple[int, int, list[str], str]] = []
     k = 0
     while k < n:
-        if not odd[k]:
-            # A frequent word may still be a far more frequent one misread.
+        if not need[k]:
             k += 1
             continue
         a = max(0, k - 1)
         z = k
-        while z < n and (odd[z] or (z + 1 < n and odd[z + 1] and z - k < 12)):
+        while z < n and (need[z] or z + 1 < n and need[z + 1]):
             z += 1
         z = min(n, z + 1)
         score = [0.0] + [-math.inf] * (z - a)
-        step: list[tuple[int, list[str] | None]] = [(0, None)] * (z - a + 1)
+        step: list[tuple[int, list[str] | None, str]] = [(0, None, "")] * (z - a + 1)
         for i in range(a, z):
             here = score[i - a]
             if here == -math.inf:
                 continue
-            w = pieces[i]
-            for j, words, cost in _options(pieces, i, z, tied, odd, lex):
-                v = here - cost + (sum(lex.lp(x) for x in words) if words else _keep(w, lex))
+            for j, words, cost, kind in _options(pieces, i, z, tied, hyphens, odd, lex):
+                v = here - cost + (sum(lex.lp(x) for x in words) if words else _keep(pieces[i], lex))
                 if v > score[j - a]:
-                    score[j - a], step[j - a] = v, (i, words)
+                    score[j - a], step[j - a] = v, (i, words, kind)
         path, j = [], z
         while j > a:
-            i, words = step[j - a]
-            if words:
-                path.append((i, j, words))
+            i, words, kind = step[j - a]
+            if kind:
+                path.append((i, j, words, kind))
             j = i
         changes += path[::-1]
         k = z
@@ -184,30 +209,51 @@ def _keep(w: str, lex: Lexicon) -> float:
     return math.log(1 / lex.total) if w.isdigit() else lex.lp(w)
 
 
-def _options(pieces: list[str], i: int, z: int, tied: list[bool], odd: list[bool], lex: Lexicon):
+def _likely(w: str, n: int) -> bool:
+    """A word seen so often may be meant by a piece of that length."""
+    return n >= (20 if len(w) <= 3 else 5 if len(w) == 4 else 1)
+
+
+def _options(pieces: list[str], i: int, z: int, tied: list[bool], hyphens: list[int], odd: list[bool], lex: Lexicon):
     w = pieces[i]
-    yield i + 1, None, 0.0
+    if hyphens[i]:
+        t = pieces[i + 1]
+        both = w + t
+        n, best = lex.alike(both)
+        yield i + 2, [both], 0.0 if lex.n(both) or n or not lex.stands_alone(t) else CONFUSED, "word"
+        if not lex.n(both) and best and _likely(both, n):
+            yield i + 2, [best], CONFUSED, "word"
+        if not lex.n(both) and not n:
+            if hyphens[i] == HYPHENED and lex.n(w) > RARE and lex.n(t) > RARE:
+                yield i + 2, [w, t], COMPOUND, "compound"
+            if hyphens[i] == HYPHENED and lex.stands_alone(t):
+                yield i + 1, None, 0.0, ""
+        return
+    yield i + 1, None, 0.0, ""
     if odd[i]:
         n, best = lex.alike(w)
         have = lex.n(w)
-        if best and best != w and n >= (20 if len(w) <= 3 else 5 if len(w) == 4 else 1) and n > 8 * have:
-            yield i + 1, [best], CONFUSED
+        if best and best != w and _likely(w, n) and n > 8 * have:
+            yield i + 1, [best], CONFUSED, "read"
         if have == 0 and len(w) >= 5:
             for c in range(1, len(w)):
                 x, y = w[:c], w[c:]
-                nx, ny = lex.n(x), lex.n(y)
-                if nx >= 5 and ny >= 5 and (min(len(x), len(y)) >= 3 or (min(nx, ny) >= 100 and max(len(x), len(y)) >= 4 and min(len(x), len(y)) == 2) or (x == "a" and nx >= 100)):
-                    yield i + 1, [x, y], GAP
-    if i + 1 < z and tied[i] and (odd[i] or odd[i + 1]) and not w.isdigit() and not pieces[i + 1].isdigit():
+                nx = lex.n(x)
+                if nx < 5:
+                    continue
+                ny = lex.n(y)
+                if ny >= 5 and (min(len(x), len(y)) >= 3 or (min(nx, ny) >= 100 and max(len(x), len(y)) >= 4 and min(len(x), len(y)) == 2) or (x == "a" and nx >= 100)):
+                    yield i + 1, [x, y], GAP, "read"
+    if i + 1 < z and tied[i] and (odd[i] or odd[i + 1]) and not w.isdigit() and not pieces[i + 1].isdigit() and not hyphens[i + 1]:
         both = w + pieces[i + 1]
         n = lex.n(both)
         few = min(lex.n(w), lex.n(pieces[i + 1]))
         if n > max(0, 50 * few) and len(both) >= 4:
-            yield i + 2, [both], GAP
+            yield i + 2, [both], GAP, "read"
         elif not n and few == 0:
             m, best = lex.alike(both)
             if m >= 5 and len(both) >= 6:
-                yield i + 2, [best], GAP + CONFUSED
+                yield i + 2, [best], GAP + CONFUSED, "read"
 
 
 def number_misread(word: str, lex: Lexicon) -> bool:
@@ -227,84 +273,84 @@ class Page:
         self.lines, self.furniture, self.lex = lines, furniture, lex
         self.text_lines = [k for k, line in enumerate(lines) if line.strip() and not furniture[k]]
         self.follow = follow
-        self.broken: set[int] = set()
+        self.joint: dict[int, str] = {}  # lines whose last word goes on: "word" without its hyphen, "compound" with it
         self.misread: set[int] = set()
         self.repaired: dict[int, str] = {}
 
     def decode(self) -> None:
-        pieces, where, tied = [], [], []
-        carried = ""
+        pieces, where, tied, hyphens = [], [], [], []
         fixes: dict[int, list[tuple[int, int, str]]] = {}
         for order, k in enumerate(self.text_lines):
             line = self.lines[k]
-            nxt = self.lines[self.text_lines[order + 1]] if order + 1 < len(self.text_lines) else self.follow
-            joined = self._joined(line, nxt)
-            if joined:
-                self.broken.add(k)
             dois = [m.span() for m in DOI.finditer(line)]
-            for m in DOI.finditer(line):
-                d = "doi:" + m[0].lower()
+            for a, b in dois:
+                d = "doi:" + line[a:b].lower()
                 if not self.lex.n(d):
                     n, best = self.lex.alike(d)
                     if n and best.startswith("doi:"):
                         self.misread.add(k)
-                        fixes.setdefault(k, []).append((m.start(), m.end(), best[4:]))
+                        fixes.setdefault(k, []).append((a, b, best[4:]))
             found = [m for m in PIECE.finditer(line) if not any(a <= m.start() < b for a, b in dois)]
+            if hyphens and hyphens[-1] and (not found or found[0].start() > len(line) - len(line.lstrip())):
+                hyphens[-1] = PLAIN  # the next line begins with no piece
             for j, m in enumerate(found):
-                w, last, first = m[0].lower(), j == len(found) - 1, j == 0
+                w, last = m[0].lower(), j == len(found) - 1
                 if number_misread(m[0], self.lex):
                     self.misread.add(k)
                     fixes.setdefault(k, []).append((m.start(), m.end(), m[0].translate(_DIGITS)))
                     w = "0"
-                if first and carried:
-                    # The rest of a broken word is judged with its beginning.
-                    pieces[-1] += w
-                    where[-1][2:] = [k, m.start(), m.end()]
-                    carried = ""
-                    tied[-1] = not last and found[1].start() - m.end() == 1 and line[m.end()] == " " if len(found) > 1 else False
-                    if last and joined:
-                        carried = w
-                    continue
                 pieces.append(w)
-                where.append([k, (m.start(), m.end())])
-                gap = not last and found[j + 1].start() - m.end() == 1 and line[m.end()] == " "
-                tied.append(gap)
-                if last and joined == "word":
-                    carried = w
-            if not found:
-                carried = ""
-        if carried and self.follow and pieces:
-            m = PIECE.search(self.follow)
-            if m:
-                pieces[-1] += m[0].lower()
-        for i, j, words in readings(pieces, tied, self.lex):
-            at = where[i]
-            spans = where[i : j]
-            if i + 1 == j and len(at) == 2:
-                k, (a, b) = at
+                where.append((k, m.start(), m.end()))
+                tied.append(not last and found[j + 1].start() - m.end() == 1 and line[m.end()] == " ")
+                hyphens.append(self._hyphen(line, m) if last else PLAIN)
+        if hyphens and hyphens[-1]:
+            m = PIECE.match(self.follow.strip()) if self.follow else None
+            if m and where[-1][0] == self.text_lines[-1]:
+                pieces.append(m[0].lower())
+                where.append((-1, 0, 0))
+                tied.append(False)
+                hyphens.append(PLAIN)
+            else:
+                hyphens[-1] = PLAIN
+        for i, j, words, kind in readings(pieces, tied, hyphens, self.lex):
+            k, a, b = where[i]
+            if k < 0:
+                continue
+            if kind == "compound":
+                self.joint[k] = kind
+            elif kind == "word":
+                self.joint[k] = kind
+                self._broken_misread("".join(words), where[i], where[i + 1])
+            else:
+                b = where[j - 1][2]
                 self.misread.add(k)
                 fixes.setdefault(k, []).append((a, b, self._cased(self.lines[k][a:b], words)))
-            elif all(len(s) == 2 and s[0] == at[0] for s in spans):
-                k = at[0]
-                self.misread.add(k)
-                fixes.setdefault(k, []).append((at[1][0], spans[-1][1][1], self._cased(self.lines[k][at[1][0] : spans[-1][1][1]], words)))
-            else:
-                self._broken_misread(pieces[i], words, at)
         for k in self.text_lines:
             line = self.lines[k]
             for a, b, new in sorted(fixes.get(k, ()), reverse=True):
                 line = line[:a] + new + line[b:]
             self.repaired[k] = line
 
-    def _broken_misread(self, piece: str, words: list[str], at: list) -> None:
-        """Which of the lines that share a broken word holds the misread character."""
-        k, (a, b) = at[0], at[1]
-        head = self.lines[k][a:b].lower()
-        whole = "".join(words)
-        if not whole.startswith(head):
+    @staticmethod
+    def _hyphen(line: str, m: re.Match) -> int:
+        """What stands after the last piece of a line."""
+        rest = line[m.end() :].strip()
+        if len(rest) != 1 or not HYPHEN.match(rest) or not re.search(r"[^\W\d_]$", m[0]):
+            return PLAIN
+        return SOFT if rest in "­¬" or line[m.end() :][0] == " " else HYPHENED
+
+    @property
+    def broken(self) -> set[int]:
+        return set(self.joint)
+
+    def _broken_misread(self, whole: str, head: tuple[int, int, int], tail: tuple[int, int, int]) -> None:
+        """Which of the lines that share a broken word holds a misread character."""
+        k, a, b = head
+        if not whole.startswith(self.lines[k][a:b].lower()):
+            self.misread.add(k)
+        k, a, b = tail
+        if k >= 0 and not whole.endswith(self.lines[k][a:b].lower()):
             self.misread.add(k)
-        if len(at) > 2 and not whole.endswith(self.lines[at[2]][at[3] : at[4]].lower()):
-            self.misread.add(at[2])
 
     @staticmethod
     def _cased(old: str, words: list[str]) -> str:
@@ -313,42 +359,40 @@ class Page:
             return new.upper()
         return new[:1].upper() + new[1:] if old[:1].isupper() else new
 
-    def _joined(self, line: str, nxt: str | None) -> str:
-        """"word" where the last word of the line was broken, "compound" where it goes on after its own hyphen, else ""."""
-        if nxt is None or not HYPHEN.search(line):
-            return ""
-        bare = HYPHEN.sub("", line)
-        head, tail = re.search(r"[^\W\d_]+$", bare), re.match(r"\s*([^\W_]+)", nxt)
-        if not head or not tail:
-            return ""
-        h, t = head[0].lower(), tail[1].lower()
-        if re.search(r"[^-\s]\s*[‐­¬]\s*$", line):
-            return "word"
-        if t in ("and", "or", "und", "oder", "et", "y", "e", "i", "и", "or", "to") and not self.lex.n(h + t):
-            return ""  # a hyphen that stands for a word to come
-        together = self.lex.n(h + t) or self.lex.alike(h + t)[0]
-        if together or not (self.lex.n(h) > RARE and self.lex.n(t) > RARE):
-            return "word"
-        return "compound"
-
     def paragraphs(self) -> list[str]:
-        """Repaired paragraphs; boundaries minimise the cost of breaks and of joins that the layout speaks against."""
+        """Repaired paragraphs; their boundaries minimise the cost of breaks, of joins and of the shapes they leave.
+
+        The shape of a paragraph depends on all its lines: those before the last should reach its own longest line,
+        those after the first share one left edge.  A paragraph may have any number of lines.
+        """
         rows = self.text_lines
         if not rows:
             return []
-        width = self._width()
-        best, back = [0.0] * len(rows), [0] * len(rows)
-        for j in range(len(rows)):
-            best[j] = math.inf
-            for i in range(max(0, j - 60), j + 1):  # a paragraph of lines i..j
-                cost = (best[i - 1] if i else 0.0) + (self._break(rows, i, width) if i else 0.0) + sum(self._join(rows, x, width) for x in range(i + 1, j + 1))
-                if cost < best[j]:
-                    best[j], back[j] = cost, i
-        spans, j = [], len(rows) - 1
-        while j >= 0:
+        n, width = len(rows), self._width()
+        long = [len(self.lines[k]) for k in rows]
+        edge = [len(self.lines[k]) - len(self.lines[k].lstrip()) for k in rows]
+        signs = [0.0] + [self._signs(rows, x, width) for x in range(1, n)]
+        best, back = [math.inf] * (n + 1), [0] * (n + 1)  # of the first so many lines
+        best[0] = 0.0
+        for j in range(n):  # a paragraph of lines i..j
+            joins, ragged, widest, inner = 0.0, 0, long[j], []
+            for i in range(j, -1, -1):
+                if i < j:
+                    joins += max(0.0, signs[i + 1])
+                    if i + 2 <= j and abs(edge[i + 1] - edge[i + 2]) > 1:
+                        ragged += 1
+                    widest = max(widest, long[i])
+                    insort(inner, long[i])
+                if joins + RAGGED * ragged >= best[j + 1]:
+                    break  # more lines only cost more
+                cost = best[i] + (1.0 - min(0.0, signs[i]) if i else 0.0) + joins + RAGGED * ragged + SHORT * bisect_left(inner, 0.6 * widest)
+                if cost < best[j + 1]:
+                    best[j + 1], back[j + 1] = cost, i
+        spans, j = [], n
+        while j > 0:
             spans.append((back[j], j))
-            j = back[j] - 1
-        return [self._text(rows[i : j + 1]) for i, j in reversed(spans)]
+            j = back[j]
+        return [self._text(rows[i:j]) for i, j in reversed(spans)]
 
     def runs_on(self) -> str | None:
         """What joins the last paragraph to the next page (a space, "", or the hyphen of a compound); None where it ends here."""
@@ -358,7 +402,7 @@ class Page:
         signs = self._evidence(last, self.follow, width)
         if 1.0 - min(0.0, signs) < max(0.0, signs):
             return None
-        return {"word": "", "compound": "-"}.get(self._joined(self.lines[last], self.follow), " ")
+        return {"word": "", "compound": "-"}.get(self.joint.get(last, ""), " ")
 
     def _width(self) -> int:
         return sorted(len(self.lines[k]) for k in self.text_lines)[int(0.9 * (len(self.text_lines) - 1))]
@@ -371,38 +415,36 @@ class Page:
 
     def _evidence(self, before: int, line: str, width: int) -> float:
         """What the words of a line and of the text line before it say, on one page or over two."""
-        signs = 0.0
-        if re.match(r"\s{2,}\S", line) and not re.match(r"\s{2,}\S", self.lines[before]):
+        signs, above = 0.0, self.lines[before]
+        if INDENTED.match(line) and not INDENTED.match(above):
             signs += 1.5
-        ended = bool(re.search(r"[.!?:]\s*$", self.lines[before]))
+        ended = bool(ENDED.search(above))
         signs += 0.4 if ended else -2.0
-        if len(self.lines[before]) < 0.75 * width:
+        if len(above) < 0.75 * width:
             signs += 0.8
-        if re.match(r"\s*(\[\d+\]|\d{1,3}[.)]?)\s+\S", line):
+        if NUMBER.match(line):
             signs += 1.5
-        if re.match(r"\s*\d{1,2}(\.\d+)*\s+[^\W\d_]", self.lines[before]) and not ended and len(self.lines[before]) < 0.7 * width:
+        if not ended and len(above) < 0.7 * width and HEADING.match(above):
             signs += 4.0  # a numbered heading stands alone
-        if before in self.broken or re.match(r"\s*[a-zß-ÿ]", line):
+        if before in self.joint or LOWER.match(line):
             signs -= 3.0
         return signs
 
-    def _break(self, rows: list[int], x: int, width: int) -> float:
-        return 1.0 - min(0.0, self._signs(rows, x, width))
-
-    def _join(self, rows: list[int], x: int, width: int) -> float:
-        return max(0.0, self._signs(rows, x, width))
-
     def _text(self, rows: list[int]) -> str:
-        out = ""
-        for k in rows:
+        out = []
+        for at, k in enumerate(rows):
             line = re.sub(r"\s+", " ", self.repaired.get(k, self.lines[k]).strip())
-            out += line if not out or out.endswith("\x00") else " " + line
-            out = out.replace("\x00", "")
-            if k in self.broken and k != rows[-1]:
-                bare = HYPHEN.sub("", out)
-                nxt = self.lines[rows[rows.index(k) + 1]]
-                out = bare + ("-" if self._joined(self.lines[k], nxt) == "compound" else "") + "\x00"
-        return out.replace("\x00", "")
+            if k in self.joint and at + 1 < len(rows):
+                out.append(HYPHEN.sub("", line) + ("-" if self.joint[k] == "compound" else ""))
+            else:
+                out.append(line + " ")
+        return "".join(out).rstrip()
+
+
+#: What a line short of its paragraph's measure costs before the last, and a change of the left edge after the first.
+SHORT, RAGGED = 0.3, 0.5
+INDENTED, ENDED, LOWER = re.compile(r"\s{2,}\S"), re.compile(r"[.!?:]\s*$"), re.compile(r"\s*[a-zß-ÿ]")
+NUMBER, HEADING = re.compile(r"\s*(\[\d+\]|\d{1,3}[.)]?)\s+\S"), re.compile(r"\s*\d{1,2}(\.\d+)*\s+[^\W\d_]")
 
 
 # ---- furniture ----------------------------------------------------------------------------------------------------
@@ -539,8 +581,9 @@ def _decoded(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int
     spark = pages.sparkSession
     words = lexicon(clean_texts(papers))
     top = [(r.word, r.n, r.skel) for r in words.orderBy(F.desc("n"), "word").limit(common).collect()]
-    total = words.agg(F.sum("n")).first()[0] or 1
-    shared = spark.sparkContext.broadcast((top, total))
+    second = F.col("word").startswith("-")
+    total = words.agg(F.sum(F.when(~second, F.col("n"))), F.sum(F.when(second, F.col("n")))).first()
+    shared = spark.sparkContext.broadcast((top, total[0] or 1, total[1] or 1))
     items = cut(_items(pages, drafts))
 
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

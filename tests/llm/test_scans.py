@@ -85,3 +85,33 @@ def test_paragraphs_run_over_pages(spark):
     got = [(r.item_no, r.para_no, r.text) for r in S.paragraphs(*tables(spark, pages, [])).orderBy("item_no", "para_no").collect()]
     whole = "Existing work on matrix factorisation assumes clean input, yet mathematical proof libraries are rarely complete. We study density estimation for grain market prices under tight memory budgets and the library keeps both versions until a curator decides."
     assert got == [(1, 0, whole), (3, 0, "Many entries cite museum accession ledgers twice.")]
+
+
+def test_a_paragraph_may_have_any_number_of_lines():
+    lines = [f"line {k} of one paragraph that goes on and on over all the lines of" for k in range(150)]
+    lines += ["a page and ends here.", "", "Another one begins after a blank line and is a paragraph by itself, too."]
+    page = S.Page(lines, [False] * len(lines), None, S.Lexicon([], 1, 1))
+    page.decode()
+    assert len(page.paragraphs()) == 2
+
+
+def test_boundaries_depend_on_whole_paragraphs():
+    def paragraphs(lines):
+        page = S.Page(lines, [False] * len(lines), None, S.Lexicon([], 1, 1))
+        page.decode()
+        return page.paragraphs()
+
+    # A short line that ends a sentence ends a paragraph among long lines, not among lines as short as itself.
+    wide = ["The first line of these is as wide as the measure of the whole page is.", "Its end comes early.", "The next line is again as wide as the measure of the page, or nearly so."]
+    narrow = ["The first line is short.", "Its end comes early too.", "The next one is as short."]
+    assert len(paragraphs(wide)) == 2 and len(paragraphs(narrow)) == 1
+
+
+def test_hyphens_are_options_of_the_decoding():
+    lex = S.Lexicon([(w, n, S.skeleton(w)) for w, n in (("propagation", 40), ("graph", 50), ("based", 60), ("-based", 30), ("and", 900), ("range", 40), ("short", 50))], 5000, 100)
+    read = lambda a, b, h=S.HYPHENED: [(words, kind) for _, _, words, kind in S.readings([a, b], [False, False], [h, S.PLAIN], lex)]
+    assert read("prop", "agation") == [(["propagation"], "word")]
+    assert read("pr0p", "agation") == [(["propagation"], "word")]
+    assert read("graph", "based") == [(["graph", "based"], "compound")]
+    assert read("short", "and") == []
+    assert read("graph", "based", S.SOFT) == [(["graphbased"], "word")]
