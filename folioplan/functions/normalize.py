@@ -141,6 +141,20 @@ def normalized_year(c: Column) -> Column:
     return F.when((y > 0) & (y == F.floor(y)), y.cast("int"))
 
 
+def valid_year(c: Column) -> Column:
+    """A whole number above 0."""
+    y = clean(c).try_cast("double")
+    return F.coalesce((y > 0) & (y == F.floor(y)), F.lit(False))
+
+
+def valid_doi(c: Column) -> Column:
+    return normalize_doi(c).rlike(r"^10\.\d{4,9}/\S+$")
+
+
+def valid_arxiv(c: Column) -> Column:
+    return _arxiv_prefix(c).rlike(r"(?i)^(\d{4}\.\d{4,5}|[a-z-]+(\.[a-z]{2})?/\d{7})(v\d+)?$")
+
+
 def first_date_year(*date_parts: Column) -> Column:
     """The first valid year of several date-parts (array<array<int>>), in order."""
     return F.coalesce(*[F.when(F.get(F.get(d, F.lit(0)), F.lit(0)) > 0, F.get(F.get(d, F.lit(0)), F.lit(0))) for d in date_parts])

@@ -126,7 +126,10 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
             fate.append((p.get("id"), target))
         by_identity[R.identity(records[target])] = target
         by_title[R.title_year(records[target])] = target
-    rows = [(t, json.dumps(p), origin[t], [a for a, b in fate if b == t]) for t, p in records.items()]
+    came: dict[str, list] = {}
+    for a, b in fate:
+        came.setdefault(b, []).append(a)
+    rows = [(t, json.dumps(p), origin[t], came.get(t, [])) for t, p in records.items()]
     return pd.DataFrame(rows, columns=["id", "record", "merged", "incoming_ids"])
 
 
@@ -275,6 +278,20 @@ def ranked_candidates(candidates: DataFrame, query: str | Column) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("exact"), "index")))
 
 
+def united_candidates(queries: DataFrame, records: DataFrame, limit: int = 8) -> DataFrame:
+    """Per query the first ``limit`` (1 to 20) records that each provider gives, united without looking across providers.
+
+    queries: query_id, k; records: provider, ordinal, k (what a query and its answers share).  What a provider answers is
+    cut before the join, so that a title of any number of records meets each query with at most ``limit`` a provider.
+    """
+    from pyspark.sql import Window
+
+    most = max(1, min(20, limit))
+    place = F.row_number().over(Window.partitionBy("provider", "k").orderBy("ordinal"))
+    answers = records.where("k <> ''").withColumn("place", place).where(F.col("place") <= most)
+    return queries.where("k <> ''").join(answers, "k")
+
+
 def with_provider_topics(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Papers whose ``topicNames`` became topic ids, and the rows of those topics."""
     ids = F.filter(F.transform(F.coalesce("topicNames", F.array().cast("array<string>")), lambda n: F.struct(F.concat(F.lit("topic:provider:"), N.slug(n, 70)).alias("id"), n.alias("name"))), lambda x: ~x["id"].endswith(":"))
@@ -282,7 +299,7 @@ def with_provider_topics(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     cells = papers.withColumn("_t", ids)
     topics = cells.select(F.explode("_t").alias("t"), source.alias("source")).select("t.id", "t.name", "source")
     done = cells.withColumn("topics", F.array_distinct(F.concat(F.coalesce("topics", F.array().cast("array<string>")), F.transform("_t", lambda x: x["id"]))))
-    return done.drop("_t", "topicNames"), topics.groupBy("id").agg(F.last("name").alias("name"), F.last("source").alias("source"))
+    return done.drop("_t", "topicNames"), topics.groupBy("id").agg(F.max("name").alias("name"), F.max("source").alias("source"))
 
 
 def library_entry(method: str = "", file_name: str = "", detail: str = "", parent: str = "") -> Column:

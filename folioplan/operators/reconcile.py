@@ -235,6 +235,19 @@ def merged_references(cells: DataFrame) -> DataFrame:
     return keyed.groupBy("source_id", "key").agg(F.min("ordinal").alias("ordinal"), reviewed.alias("reviewed"), *last)
 
 
+def merged_reference_records(cells: DataFrame) -> DataFrame:
+    """References of one paper from several sets, merged by the key of providers, in order of first appearance.
+
+    ``cells``: source_id, ordinal (over all sets, in their order) and the fields of a reference.  Later fields override
+    where they are present, so that a resolution or a canonical reference is never lost; a reference without any
+    identity stays by itself.
+    """
+    key = N.provider_reference_key({k: F.col(k) for k in ("doi", "arxivId", "semanticScholarId", "openAlexId", "title", "year", "rawText")})
+    keyed = cells.withColumn("key", F.when(key != "", key).otherwise(F.concat(F.lit("anonymous:"), F.col("ordinal").cast("string"))))
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("ordinal"))).alias(c) for c in cells.columns if c not in ("source_id", "ordinal")]
+    return keyed.groupBy("source_id", "key").agg(F.min("ordinal").alias("ordinal"), *last)
+
+
 def resolution_counts(refs: DataFrame) -> DataFrame:
     """Per paper: references matched, with candidates, unresolved, with an identifier, and as text only."""
     identified = (N.normalize_doi(F.col("doi")) != "") | (N.arxiv_identity(F.col("arxivId")) != "")
@@ -250,7 +263,7 @@ def resolution_counts(refs: DataFrame) -> DataFrame:
     )
 
 
-def kept_selections(old: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
-    """New rows with the user's choice of the row of the same key before."""
-    return new.join(old.groupBy(key).agg(F.last("use").alias("use")), key, "left")
+def kept_selections(old: DataFrame, new: DataFrame, key: str = "key", order: str = "ordinal") -> DataFrame:
+    """New rows with the user's latest choice for a row of the same key before."""
+    return new.join(old.where("use IS NOT NULL").groupBy(key).agg(F.max_by("use", order).alias("use")), key, "left")
 

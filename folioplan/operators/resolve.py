@@ -88,6 +88,12 @@ def by_identifier(references: DataFrame, crossref: DataFrame, semantic: DataFram
     )
 
 
+def online_query(title: Column, doi: Column, arxiv: Column, kind: Column) -> Column:
+    """struct<kind, query, error>: what a search by title, DOI or arXiv id asks for; error names what is not fit to ask."""
+    asked = F.when(kind == "doi", F.when(N.valid_doi(doi), N.normalize_doi(doi))).when(kind == "arxiv", F.when(N.valid_arxiv(arxiv), N.arxiv_bare(arxiv))).when(kind == "title", F.when(N.squeeze(title) != "", N.squeeze(title)))
+    return F.struct(kind.alias("kind"), asked.alias("query"), F.when(asked.isNull(), kind).alias("error"))
+
+
 def selected(resolution: Column, index: int) -> Column:
     """A resolution whose candidate of that index the user chose (V11); NULL where there is none."""
     c = F.try_element_at(resolution["candidates"], F.lit(index + 1))

@@ -60,6 +60,18 @@ def title_sql(c: str) -> str:
     return f"trim(regexp_replace(translate({_ligatures(f'strip_accents(lower(coalesce({c}, {chr(39)}{chr(39)})))')}, '{a}', '{b}'), '[^a-z0-9]+', ' ', 'g'))"
 
 
+def plain_sql(c: str) -> str:
+    """Compatibility forms without accents; case stays."""
+    a, b = _letters(False)
+    return f"translate({_ligatures(f'strip_accents({c})')}, '{a}', '{b}')"
+
+
+def slug_sql(c: str, size: int) -> str:
+    a, b = _letters(True)
+    dashed = f"regexp_replace(translate({_ligatures(f'strip_accents(lower(coalesce({c}, {chr(39)}{chr(39)})))')}, '{a}', '{b}'), '[^a-z0-9]+', '-', 'g')"
+    return f"substr(regexp_replace({dashed}, '^-|-$', '', 'g'), 1, {size})"
+
+
 def author_sql(c: str) -> str:
     a, b = _letters(False)
     return f"trim(regexp_replace(lower(translate({_ligatures(f'strip_accents(coalesce({c}, {chr(39)}{chr(39)}))')}, '{a}', '{b}')), '[^a-z0-9]+', ' ', 'g'))"

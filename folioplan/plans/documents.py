@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioplan.compat import table
 from folioplan.functions import normalize as N
 from folioplan.operators import extract, front_matter, quality
-from folioplan.plans.base import arxiv_sql, clean_sql, doi_sql, papers, title_sql
+from folioplan.plans.base import _letters, _ligatures, arxiv_sql, clean_sql, doi_sql, papers, title_sql
 
 
 def _pages(s: SparkSession, d: str) -> DataFrame:
@@ -126,7 +126,7 @@ def attachment_keys(s: SparkSession, d: str) -> DataFrame:
     return p.select("id", key.alias("key"), N.file_stem(F.col("sourceFileName")).alias("stem"), N.file_kind(F.col("sourceFileName")).alias("kind"))
 
 
-def title_hashes(s: SparkSession, d: str) -> DataFrame:
+def id_hashes(s: SparkSession, d: str) -> DataFrame:
     """FNV-1a of every id, the seed of its place in a force layout."""
     return papers(s, d).select("id", N.fnv1a(F.col("id")).alias("hash"))
 
@@ -140,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bibliography_start, signal_lines, bibliography_references, extraction_warnings, assembled_documents, reassembled_pages, page_summaries, front_matters, paper_proposals, draft_grams, entry_matches, reference_scores,
-        import_scores, import_score, stripped_abstracts, highlights, attachment_keys, title_hashes, identifier_kinds,
+        import_scores, import_score, stripped_abstracts, highlights, attachment_keys, id_hashes, identifier_kinds,
     )
 }
 
@@ -149,6 +149,11 @@ _LINES = r"l AS (SELECT doc_id, page, unnest(string_split_regex(regexp_replace(c
 _SIGNAL = rf"""({clean_sql('text')} <> '' AND (regexp_matches(text, '^\s*(?:\[(\d{{1,4}})\]|(\d{{1,3}})[.)])\s*(.*)$') OR regexp_matches(text, '^\s*\p{{Lu}}[\p{{L}}''’\-]+(?:,|\s).{{0,150}}\b(?:19|20)\d{{2}}[a-z]?\b')
   OR regexp_matches(text, '(?i)\b10\.\d{{4,9}}/[-._;()/:A-Z0-9]+\b') OR regexp_matches(text, '\d{{4}}\.\d{{4,5}}') OR regexp_matches(text, '(?i)[a-z][a-z0-9.\-]+/\d{{7}}')))"""
 _BARE = rf"lower({clean_sql('regexp_replace(' + clean_sql('text') + chr(44) + chr(39) + '^[:.—-]+|[:.—-]+$' + chr(39) + chr(44) + chr(39) + chr(39) + chr(44) + chr(39) + 'g' + chr(39) + ')')})"
+def _normalized_sql(c: str) -> str:
+    a, b = _letters(False)
+    return rf"trim(regexp_replace(lower(translate({_ligatures(f'strip_accents(coalesce({c}, {chr(39)}{chr(39)}))')}, '{a}', '{b}')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
 _ONCE_PAPERS = "lib AS (SELECT * FROM papers WHERE coalesce(id, '') <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY importedAt DESC NULLS LAST, createdAt DESC NULLS LAST) = 1)"
 
 ORACLE = {
@@ -160,6 +165,13 @@ FROM (SELECT DISTINCT doc_id FROM p) d LEFT JOIN h USING (doc_id) LEFT JOIN s US
     "signal_lines": f"WITH {_ONCE}, {_LINES} SELECT doc_id, page, count(*) AS n_lines, count(*) FILTER ({_SIGNAL}) AS n_signals FROM l GROUP BY ALL",
     "assembled_documents": f"WITH {_ONCE} SELECT doc_id, string_agg('--- Page ' || page || ' ---' || chr(10) || {clean_sql('text')}, chr(10) || chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id",
     "page_summaries": rf"WITH {_ONCE} SELECT doc_id, page, width, height, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE len(string_split_regex(regexp_replace(text, '\r?\n$', ''), '\r?\n')) END AS line_count, length(coalesce(text, '')) AS text_length FROM p",
+    "reassembled_pages": f"WITH {_ONCE} SELECT doc_id, page, {clean_sql('text')} AS text FROM p",
+    "id_hashes": f"WITH {_ONCE_PAPERS} SELECT id, CAST(list_reduce(list_transform(string_split(id, ''), lambda x: CAST(unicode(x) AS UBIGINT)), lambda h, x: (xor(h, x) * 16777619) % 4294967296, CAST(2166136261 AS UBIGINT)) AS BIGINT) AS hash FROM lib",
+    "highlights": f"""WITH {_ONCE_PAPERS}, k AS (SELECT id, coalesce(title, '') AS title, regexp_matches(title, '(?i)sensor\\s+fusion') AS whole FROM lib), n AS (SELECT id, title, CASE WHEN whole THEN len(regexp_extract_all(title, '(?i)sensor\\s+fusion')) ELSE len(regexp_extract_all(title, '(?i)sensor|fusion')) END AS n_marked FROM k)
+SELECT id, n_marked, title FROM n WHERE n_marked > 0""",
+    "draft_grams": rf"""WITH x AS (SELECT DISTINCT ON (doc_id, draft_no) * FROM reference_drafts), t AS (SELECT doc_id || '#' || draft_no AS eid, array_to_string(list_transform(lines, lambda y: coalesce(y.text, '')), ' ') AS text FROM x),
+c AS (SELECT eid, replace({_normalized_sql(r"regexp_replace(text, '^\s*(?:\[\d+\]|\d+\.)\s*', '')")}, ' ', '') AS t FROM t), g AS (SELECT eid, unnest(list_transform(range(1, length(t) - 3), lambda k: substr(t, k, 5))) AS gram FROM c WHERE length(t) >= 5)
+SELECT eid, count(DISTINCT gram) AS distinct_grams, count(*) AS grams FROM g GROUP BY eid""",
     "stripped_abstracts": rf"""SELECT doc_id, {clean_sql(r"regexp_replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + chr(34) + r"'), '&#39;', ''''), '&amp;', '&'), '[\s\p{Z}\x{FEFF}]+', ' ', 'g')")} AS text FROM documents WHERE text IS NOT NULL""",
     "attachment_keys": rf"""WITH {_ONCE_PAPERS} SELECT id, CASE WHEN {doi_sql('doi')} <> '' THEN 'doi:' || {doi_sql('doi')} WHEN {arxiv_sql('arxivId')} <> '' THEN 'arxiv:' || {arxiv_sql('arxivId')}
   WHEN {title_sql('title')} <> '' AND year > 0 THEN 'title:' || {title_sql('title')} || ':' || year ELSE 'file:' || lower({clean_sql('sourceFileName')}) END AS key,

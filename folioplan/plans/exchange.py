@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from folioplan.compat import prepare, table
 from folioplan.functions import normalize as N
 from folioplan.operators import reconcile
-from folioplan.plans.base import ONCE, clean_sql, doi_sql, edges, papers, topics
+from folioplan.plans.base import ONCE, clean_sql, doi_sql, edges, papers, plain_sql, slug_sql, squeeze_sql, topics
+from folioplan.plans.references import ORACLE as _REFERENCES
 from folioplan.sources import archive, backup, bibtex, providers, sinks
 from folioplan.streaming import streams
 
@@ -124,8 +125,20 @@ QUERIES = {
     for f in (bibtex_entries, bibtex_round_trip, json_round_trip, export_counts, archive_keys, cascade_delete, upserted_topics, reconciled_edges, provider_dialects, activity_log, user_rings, streamed_counts, streamed_progress, streamed_latest)
 }
 
+INFERRED = _REFERENCES["inferred_edges"]
 _W = "WITH w AS (SELECT DISTINCT ON (record_id) * FROM provider_works)"
+_KEY = f"regexp_replace(substr(regexp_replace(regexp_replace({plain_sql('{0}')}, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 1, 80), '[.-]+$', '')"
+_EDGES = INFERRED.rsplit("SELECT source_id ||", 1)
+_LINE = lambda n, v: f"CASE WHEN {clean_sql(v)} <> '' THEN '  ' || {n} || ' = {{' || {clean_sql(f'regexp_replace({v}, {chr(39)}[{{}}]{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')} || '}}' END"
+
 ORACLE = {
+    "archive_keys": f"""{ONCE}, k AS (SELECT id, {_KEY.format(clean_sql('citationKey'))} AS c, {_KEY.format(clean_sql(f"array_to_string(list_filter([coalesce(string_split({squeeze_sql('authors[1]')}, ' ')[-1], ''), coalesce(CAST(year AS VARCHAR), ''), array_to_string(string_split({squeeze_sql('title')}, ' ')[1:4], '-')], lambda x: x <> ''), '-')"))} AS m FROM (SELECT * REPLACE (CASE WHEN len(authors) > 0 THEN authors ELSE ['paper'] END AS authors) FROM p)),
+b AS (SELECT id, CASE WHEN c <> '' THEN c WHEN m <> '' THEN m ELSE 'paper-' || sha256(id)[1:8] END AS base FROM k), n AS (SELECT *, row_number() OVER (PARTITION BY lower(base) ORDER BY id) AS n FROM b)
+SELECT id, CASE WHEN n = 1 THEN base ELSE substr(base, 1, 78 - length(CAST(n AS VARCHAR))) || '-' || n END AS key FROM n""",
+    "reconciled_edges": f"""{_EDGES[0]}, made AS (SELECT source_id ||{_EDGES[1]}) SELECT provenance, count(*) AS n FROM (SELECT coalesce(provenance, '') AS provenance FROM e UNION ALL SELECT 'inferred' FROM made) GROUP BY 1""",
+    "bibtex_entries": f"""{ONCE}, k AS (SELECT *, CASE WHEN coalesce(citationKey, '') <> '' THEN citationKey ELSE {slug_sql("regexp_extract(coalesce(nullif(authors[1], ''), 'paper'), '([^ ]*)$', 1)", 80)} || CASE WHEN year <> 0 THEN CAST(year AS VARCHAR) ELSE '' END || substr({slug_sql('title', 80)}, 1, 20) END AS key,
+  array_to_string(list_transform(coalesce(authors, []), lambda x: coalesce(x, '')), ' and ') AS names, array_to_string(list_transform(coalesce(keywords, []) || coalesce(tags, []), lambda x: coalesce(x, '')), ', ') AS words, CASE WHEN contains(lower(coalesce(type, '')), 'conference') THEN 'booktitle' ELSE 'journal' END AS place FROM p)
+SELECT id, '@article{{' || key || ',' || chr(10) || array_to_string(list_filter([{_LINE("'title'", 'title')}, {_LINE("'author'", 'names')}, {_LINE("'year'", "coalesce(CAST(year AS VARCHAR), '')")}, {_LINE('place', 'venue')}, {_LINE("'doi'", 'doi')}, {_LINE("'url'", 'url')}, {_LINE("'abstract'", 'abstract')}, {_LINE("'keywords'", 'words')}], lambda x: x IS NOT NULL), ',' || chr(10)) || chr(10) || '}}' || chr(10) AS value FROM k""",
     "json_round_trip": f"{ONCE} SELECT id, source, target, kind FROM e",
     "export_counts": f"{ONCE} SELECT 'papers' AS store, count(*) AS n, count(*) AS records FROM p UNION ALL SELECT 'edges', count(*), count(*) FROM e UNION ALL SELECT 'topics', count(*), count(*) FROM t",
     "cascade_delete": f"""{ONCE}, g AS (SELECT DISTINCT paper_id FROM paper_tombstones) SELECT 'papers' AS store, id FROM p WHERE id NOT IN (SELECT paper_id FROM g)

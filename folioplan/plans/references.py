@@ -93,9 +93,9 @@ def edge_ids(s: SparkSession, d: str) -> DataFrame:
 
 
 def document_identifiers(s: SparkSession, d: str) -> DataFrame:
-    """First DOI, arXiv id and year in each document of the corpus."""
+    """First DOI, arXiv id (of either style) and year in each document of the corpus."""
     t = F.col("text")
-    return table(s, d, "documents").where(t.isNotNull()).select("doc_id", N.extract_doi(t).alias("doi"), N.extract_year(t).alias("year"))
+    return table(s, d, "documents").where(t.isNotNull()).select("doc_id", N.extract_doi(t).alias("doi"), N.extract_arxiv(t).alias("arxiv"), N.extract_year(t).alias("year"))
 
 
 QUERIES = {
@@ -167,6 +167,9 @@ SELECT l.record_id, r.id AS paper_id FROM l JOIN pk r ON {_SAME}""",
 SELECT source_id || '->' || target AS id, source_id AS source, target, 'citation' AS kind, 'reviewed-reference' AS provenance, provider, matched_by FROM f WHERE source_id || '->' || target NOT IN (SELECT id FROM e)""",
     "stored_reference_papers": f"""{_REFS}, l AS (SELECT source_id, ordinal, {_KEYS('r.doi', 'r.semanticScholarId', 'r.arxivId', 'r.title', 'r.year')} FROM refs)
 SELECT source_id, ordinal, min(r.id) AS target FROM l JOIN pk r ON (l.doi <> '' AND l.doi = r.doi) OR (l.s2 <> '' AND l.s2 = r.s2) OR (l.arxiv <> '' AND l.arxiv = r.arxiv) OR (l.ty <> '' AND l.ty = r.ty) GROUP BY ALL HAVING count(DISTINCT r.id) = 1""",
+    "reference_texts": rf"""{ONCE}, k AS (SELECT *, array_to_string(list_filter(list_transform(coalesce(authors, []), lambda x: {clean_sql('x')}), lambda x: x <> ''), ', ') AS names, {doi_sql('doi')} AS d FROM p)
+SELECT id, regexp_replace(array_to_string(list_filter([names, CASE WHEN year > 0 THEN '(' || year || ')' ELSE '' END, {clean_sql('title')}, {clean_sql('venue')}, CASE WHEN d <> '' THEN 'https://doi.org/' || d ELSE '' END], lambda x: x <> ''), '. '), '\.{{2,}}', '.', 'g') AS text,
+  array_to_string(list_transform(coalesce(authors, []), lambda x: coalesce(x, '')), ', ') || ' (' || coalesce(CAST(year AS VARCHAR), 'n.d.') || '). ' || coalesce(title, '') || '.' || CASE WHEN {clean_sql('venue')} <> '' THEN ' ' || {clean_sql('venue')} || '.' ELSE '' END || CASE WHEN d <> '' THEN ' https://doi.org/' || d ELSE '' END AS citation FROM k""",
     "resolution_counts": f"""{_REFS}, k AS (SELECT source_id, r, {doi_sql('r.doi')} AS d, {arxiv_sql('r.arxivId')} AS a FROM refs)
 SELECT source_id, count(*) AS n_references, count(*) FILTER (r.resolution.status IN ('matched', 'resolved')) AS matched, count(*) FILTER (r.resolution.status = 'candidates') AS candidates, count(*) FILTER (r.resolution.status = 'unresolved') AS unresolved,
   count(*) FILTER (d <> '' OR a <> '') AS identifiable, count(*) FILTER (d = '' AND a = '') AS text_only, count(*) FILTER (d <> '') AS with_doi, count(*) FILTER (a <> '') AS with_arxiv FROM k GROUP BY source_id""",
@@ -177,5 +180,6 @@ SELECT source_id, count(*) AS n_references, count(*) FILTER (r.resolution.status
     "edge_ids": f"""{ONCE}, x AS (SELECT id, CASE WHEN coalesce(kind = 'research-relation' AND relation IN ('builds_on', 'improves_on', 'extends', 'outperforms', 'invalidates', 'contradicts', 'supports', 'replicates'), false)
   THEN 'relation:' || relation || ':' || source || '->' || target ELSE source || '->' || target END AS expected FROM e) SELECT id, expected, id = expected AS as_expected FROM x""",
     "document_identifiers": r"""SELECT doc_id, nullif(lower(regexp_replace(regexp_extract(text, '(?i)\b10\.\d{4,9}/[-._;()/:A-Z0-9]+\b'), '[.,;:]+$', '')), '') AS doi,
+  coalesce(nullif(regexp_extract(text, '(?i)(?:arxiv\s*:\s*)?(\d{4}\.\d{4,5}(?:v\d+)?)', 1), ''), nullif(lower(regexp_extract(text, '(?i)(?:arxiv\s*:\s*)?([a-z][a-z0-9.\-]+/\d{7}(?:v\d+)?)', 1)), '')) AS arxiv,
   TRY_CAST(regexp_extract(text, '\b((?:19|20)\d{2})[a-z]?\b', 1) AS INTEGER) AS year FROM documents WHERE text IS NOT NULL""",
 }

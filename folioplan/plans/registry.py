@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioplan.plans import documents, exchange, integrity, maps, references, themes
+from folioplan.plans import documents, exchange, integrity, maps, references, reviews, themes
 
-_MODULES = (integrity, maps, references, themes, documents, exchange)
+_MODULES = (integrity, maps, references, themes, documents, exchange, reviews)
 
 
 def queries() -> dict:

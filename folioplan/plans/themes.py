@@ -37,19 +37,19 @@ def provider_merge(s: SparkSession, d: str) -> DataFrame:
 
 
 def pair_merge(s: SparkSession, d: str) -> DataFrame:
-    """Papers merged with the one provider record of their DOI, field by field."""
+    """Papers merged with each provider record of their DOI, field by field."""
     cols = [("id", "string"), ("title", "string"), ("authors", "array"), ("year", "int"), ("venue", "string"), ("doi", "string"), ("citationCount", "bigint"), ("source", "string")]
-    w = _incoming(s, d).where("doi <> ''").groupBy("doi").agg(F.min_by(F.struct(*[c for c, _ in cols if c != "doi"]), "id").alias("w")).select(F.col("doi").alias("k"), *[F.col(f"w.{c}").alias(f"n_{c}") for c, _ in cols if c != "doi"], F.col("doi").alias("n_doi"))
+    w = _incoming(s, d).where("doi <> ''").select(F.col("doi").alias("k"), *[F.col(c).alias(f"n_{c}") for c, _ in cols])
     p = papers(s, d).select(N.normalize_doi(F.col("doi")).alias("k"), *[F.col(c).alias(f"o_{c}") for c, _ in cols])
     j = p.join(w, "k")
-    return j.select(*merge.merge_pair(cols, "o_", "n_")).select("id", "title", F.size("authors").alias("n_authors"), "year", "venue", "doi", "citationCount", "source")
+    return j.select(F.col("n_id").alias("record_id"), *merge.merge_pair(cols, "o_", "n_")).select("id", "record_id", "title", F.size("authors").alias("n_authors"), "year", "venue", "doi", "citationCount", "source")
 
 
 def candidate_ranking(s: SparkSession, d: str) -> DataFrame:
-    """Provider records of one title, as candidates for each paper of that title."""
-    w = _incoming(s, d).withColumn("k", N.normalized_title(F.col("title"))).where("k <> ''")
-    p = papers(s, d).select(F.col("id").alias("query_id"), F.col("title").alias("query"), N.normalized_title(F.col("title")).alias("k")).where("k <> ''")
-    c = p.join(w, "k").select("query_id", "query", F.col("ordinal").alias("index"), "title", "year", "doi", "arxivId", "openAlexId")
+    """Provider records of one title, as candidates for each paper of that title; a provider gives at most 20."""
+    w = _incoming(s, d).withColumn("k", N.normalized_title(F.col("title")))
+    p = papers(s, d).select(F.col("id").alias("query_id"), F.col("title").alias("query"), N.normalized_title(F.col("title")).alias("k"))
+    c = merge.united_candidates(p, w, 20).select("query_id", "query", F.col("ordinal").alias("index"), "title", "year", "doi", "arxivId", "openAlexId")
     return merge.ranked_candidates(c, F.col("query")).select("query_id", "index", "exact", "rank")
 
 
@@ -161,7 +161,9 @@ bt AS (SELECT {title_sql('title')} || ':' || {_YT('year')} AS k, max(id) AS y FR
 SELECT wi.id AS incoming_id, coalesce(x, y) AS existing_id, CASE WHEN x IS NOT NULL THEN 'identity' WHEN y IS NOT NULL THEN 'title-year' ELSE 'new' END AS matched_by
 FROM wi LEFT JOIN bi ON bi.k = CASE WHEN wi.doi <> '' THEN 'doi:' || wi.doi ELSE 'title:' || {title_sql('wi.title')} || ':' || {_YT('wi.year')} END
 LEFT JOIN bt ON bt.k = {title_sql('wi.title')} || ':' || {_YT('wi.year')}""",
-    "candidate_ranking": f"""{ONCE}, {_WI}, pk AS (SELECT id, {title_sql('title')} AS k FROM p), wk AS (SELECT ordinal, doi, {title_sql('title')} AS k FROM wi),
+    "pair_merge": f"""{ONCE}, {_WI}, j AS (SELECT p.*, wi.id AS record_id, wi.title AS nt, wi.authors AS na, wi.year AS ny, wi.venue AS nv, wi.doi AS nd, wi.cited_by AS nc FROM p JOIN wi ON wi.doi <> '' AND wi.doi = {doi_sql('p.doi')})
+SELECT id, record_id, CASE WHEN coalesce(nt, '') <> '' THEN nt ELSE title END AS title, CASE WHEN len(na) > 0 THEN len(na) ELSE coalesce(len(authors), 0) END AS n_authors, coalesce(ny, year) AS year, CASE WHEN coalesce(nv, '') <> '' THEN nv ELSE venue END AS venue, nd AS doi, coalesce(nc, citationCount) AS citationCount, coalesce(source, (SELECT provider FROM wi x WHERE x.id = record_id)) AS source FROM j""",
+    "candidate_ranking": f"""{ONCE}, {_WI}, pk AS (SELECT id, {title_sql('title')} AS k FROM p), wk AS (SELECT ordinal, doi, {title_sql('title')} AS k FROM wi QUALIFY row_number() OVER (PARTITION BY provider, {title_sql('title')} ORDER BY ordinal) <= 20),
 c AS (SELECT pk.id AS query_id, min(ordinal) AS index FROM pk JOIN wk ON pk.k = wk.k AND pk.k <> '' GROUP BY pk.id, CASE WHEN doi <> '' THEN 'doi:' || doi ELSE 'title:' || ordinal END)
 SELECT query_id, index, true AS exact, row_number() OVER (PARTITION BY query_id ORDER BY index) AS rank FROM c""",
     "resolved_by_identifier": rf"""{ONCE}, r AS (SELECT id AS rid, {doi_sql('doi')} AS doi, regexp_replace({clean_sql('arxivId')}, '(?i)^arxiv:\s*', '') AS ax, source, arxivId FROM p), k AS (SELECT *, lower(ax) AS arxiv, lower(regexp_replace(ax, '(?i)v\d+$', '')) AS base FROM r),
