@@ -6,6 +6,7 @@ depends on what the entry already holds, so segmentation is a small state machin
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from dataclasses import dataclass, field
@@ -20,6 +21,7 @@ from folioplan.operators.library import latest
 #: Headings that open a bibliography, and those that close it.
 HEADINGS = {"references": "References", "bibliography": "Bibliography", "works cited": "Works Cited", "literature cited": "Literature Cited", "references and notes": "References and Notes"}
 CLOSING = ("appendix", "appendices", "supplementary material", "supplemental material", "acknowledgements", "acknowledgments")
+#: The patterns of years, numbered entries, DOIs and arXiv identifiers.
 YEAR = re.compile(r"\b((?:19|20)\d{2})[a-z]?\b")
 NUMBERED = re.compile(r"^\s*(?:\[(\d{1,4})\]|(\d{1,3})[.)])\s*(.*)$")
 DOI = re.compile(r"\b10\.\d{4,9}/[-._;()/:A-Za-z0-9]+\b", re.A)
@@ -266,46 +268,41 @@ def reading_order(text: str) -> tuple[list[str], bool]:
     return [x[:cut].rstrip() for x in lines] + [x[cut:].rstrip() for x in lines], True
 
 
+def islands(lines: list[tuple[int, str]], opens) -> list[list[tuple[int, str]]]:
+    """Lines in runs; ``opens(text, run)`` says whether a line begins a new one after the run so far (None at first)."""
+    runs: list[list[tuple[int, str]]] = []
+    for line in lines:
+        if opens(line[1], runs[-1] if runs else None):
+            runs.append([])
+        if runs:
+            runs[-1].append(line)
+    return runs
+
+
+def _opens_after_columns(text: str) -> bool:
+    """May begin an entry where columns were told apart: at the left edge, a capital, and a year, a comma or an "and"."""
+    bare = text.strip()
+    return bare[:1].isupper() and text[:2].strip() != "" and len(bare) <= 220 and ("," in bare or " and " in bare.lower() or YEAR.search(bare) is not None)
+
+
+def _closes(text: str) -> bool:
+    """A closing heading, an appendix, or a heading numbered by a letter."""
+    return _bare(text) in CLOSING or text.strip().lower().startswith("appendix") or re.match(rf"\s*[A-Z]\s{{2,}}[{_UPPER}]", text) is not None
+
+
 def two_column(pages: list[tuple[int, str]]) -> list[tuple]:
     """Entries by reading each page's left column before its right one; the first heading opens, any closing one ends."""
-    lines: list[tuple[int, str]] = []
-    started = done = False
-    for page, text in pages:
-        ordered, _ = reading_order(text)
-        if not started:
-            at = next((k for k, x in enumerate(ordered) if _bare(x) in HEADINGS), None)
-            if at is None:
-                continue
-            started, ordered = True, ordered[at + 1 :]
-        for x in ordered:
-            if _bare(x) in CLOSING or re.match(r"(?i)^\s*appendix\b", x) or re.match(rf"^\s*[A-Z]\s{{2,}}[{_UPPER}]", x):
-                done = True
-                break
-            lines.append((page, x))
-        if done:
-            break
-
-    def author_start(x: str) -> bool:
-        t = x.strip()
-        return bool(t) and not re.match(r"\s{2,}", x) and t[0].isupper() and len(t) <= 220 and bool(YEAR.search(t) or "," in t or re.search(r"(?i)\sand\s", t))
-
-    numbered, starts = sum(bool(NUMBERED.match(t)) for _, t in lines), sum(author_start(t) for _, t in lines)
-    drafts: list[Draft] = []
-    if numbered >= 2 and numbered > starts:
-        for p, t in lines:
-            m = NUMBERED.match(t)
-            if m:
-                drafts.append(Draft(m[1] or m[2], True, [(p, m[3])]))
-            elif drafts:
-                drafts[-1].lines.append((p, t))
-    else:
-        for p, t in lines:
-            if not t.strip():
-                continue
-            if not drafts or (YEAR.search(joined(drafts[-1].lines)) and author_start(t)):
-                drafts.append(Draft())
-            drafts[-1].lines.append((p, t))
-    return materialized(drafts, True)
+    lines = [(page, text) for page, body in pages for text in reading_order(body)[0]]
+    lines = itertools.dropwhile(lambda x: _bare(x[1]) not in HEADINGS, lines)
+    lines = list(itertools.takewhile(lambda x: not _closes(x[1]), itertools.islice(lines, 1, None)))
+    by_number = islands(lines, lambda text, run: NUMBERED.match(text))
+    starts = sum(_opens_after_columns(text) for _, text in lines)
+    if len(by_number) >= 2 and len(by_number) > starts:
+        heads = [(NUMBERED.match(run[0][1]), run) for run in by_number]
+        return materialized([Draft(m[1] or m[2], True, [(run[0][0], m[3]), *run[1:]]) for m, run in heads], True)
+    printed = [x for x in lines if x[1].strip()]
+    by_author = islands(printed, lambda text, run: run is None or (_opens_after_columns(text) and YEAR.search(joined(run)) is not None))
+    return materialized([Draft(lines=run) for run in by_author], True)
 
 
 REFERENCES = "doc_id string, index int, label string, rawText string, doi string, arxivId string, year int, pageStart int, pageEnd int, confidence double, engine string"
