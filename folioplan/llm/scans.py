@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -135,8 +135,11 @@ RARE = 3  # pieces seen no more often than this in clean text are open to other
 FAR = 400  # and more frequent ones beside words that are so many times as frequent
 
 
-def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
-    """Skeletons that the decoding of these lines may ask for beyond the common words."""
+def unknown_pieces(lines: list[str], common: set[str], cuts: bool = True) -> set[str]:
+    """Skeletons that the decoding of these lines may ask for beyond the common words.
+
+    ``cuts``: also those of both parts of a piece; not needed where all words that a part may be are common.
+    """
     out = set()
     for line in lines:
         pieces = PIECE.findall(line.lower())
@@ -146,8 +149,8 @@ def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
             if w in common or w.isdigit():
                 continue
             out.add(skeleton(w))
-            for c in range(1, len(w)):  # two words whose gap was lost
-                out.update((skeleton(w[:c]), skeleton(w[c:])))
+            if cuts:  # two words whose gap was lost
+                out.update(skeleton(x) for c in range(1, len(w)) for x in (w[:c], w[c:]))
             for other in (pieces[k - 1] if k else "", pieces[k + 1] if k + 1 < len(pieces) else ""):
                 if other:
                     out.add(skeleton(w + other))
@@ -159,6 +162,7 @@ def unknown_pieces(lines: list[str], common: set[str]) -> set[str]:
 # ---- decoding -----------------------------------------------------------------------------------------------------
 
 CONFUSED, GAP, COMPOUND = 4.0, 3.0, 1.0
+PART = 5  # how often both parts of a piece must be seen for it to be two words without their gap
 #: What a piece's last hyphen is: none, one at a line's end, one that cannot be a compound's (a soft one, or after a space).
 PLAIN, HYPHENED, SOFT = 0, 1, 2
 
@@ -239,10 +243,10 @@ def _options(pieces: list[str], i: int, z: int, tied: list[bool], hyphens: list[
             for c in range(1, len(w)):
                 x, y = w[:c], w[c:]
                 nx = lex.n(x)
-                if nx < 5:
+                if nx < PART:
                     continue
                 ny = lex.n(y)
-                if ny >= 5 and (min(len(x), len(y)) >= 3 or (min(nx, ny) >= 100 and max(len(x), len(y)) >= 4 and min(len(x), len(y)) == 2) or (x == "a" and nx >= 100)):
+                if ny >= PART and (min(len(x), len(y)) >= 3 or (min(nx, ny) >= 100 and max(len(x), len(y)) >= 4 and min(len(x), len(y)) == 2) or (x == "a" and nx >= 100)):
                     yield i + 1, [x, y], GAP, "read"
     if i + 1 < z and tied[i] and (odd[i] or odd[i + 1]) and not w.isdigit() and not pieces[i + 1].isdigit() and not hyphens[i + 1]:
         both = w + pieces[i + 1]
@@ -471,7 +475,7 @@ def head_form(line: str) -> str:
     t = line.strip()
     if page_number(line):
         return "number"
-    if any(n in line_key(t) for n in _NOTICES):
+    if noticed(t):
         return "notice"
     letters = [c for c in t if c.isalpha()]
     upper = sum(c.isupper() for c in letters) / max(1, len(letters))
@@ -487,16 +491,29 @@ def head_form(line: str) -> str:
     return ""
 
 
+#: ASCII characters as in a line's key: strokes, and nothing for spaces and marks.
+_AS_KEY = {c: chr(c).lower().translate(_STROKES) if chr(c).isalnum() else "" for c in range(128)}
+_EXACT = re.compile(r"[0-9]|[^\x00-\x7f]")
+_NOTICED = re.compile("|".join(map(re.escape, _NOTICES)))
+
+
+def noticed(line: str) -> bool:
+    """A phrase of a notice stands in the line; its exact key is built only where numbers or other letters may matter."""
+    if not _EXACT.search(line):
+        return _NOTICED.search(line.translate(_AS_KEY)) is not None
+    return _NOTICED.search(line_key(line)) is not None
+
+
 def _edges(lines: list[str]) -> list[tuple[int, str, str]]:
     """(line, key, form) of the lines that may be furniture: the outermost ones, and notices wherever they stand."""
     full = [k for k, line in enumerate(lines) if line.strip()]
-    edge = {*full[:3], *full[-3:]}
     out = []
-    for k in full:
-        form = head_form(lines[k]) if k in edge else "notice" if any(n in line_key(lines[k]) for n in _NOTICES) else ""
-        if form and (k in edge or form == "notice"):
-            depth = min(full.index(k), len(full) - 1 - full.index(k)) if k in edge else 9
-            out.append((k, line_key(lines[k]), f"{form}:{depth}:{'t' if full.index(k) <= len(full) - 1 - full.index(k) else 'b'}"))
+    for at, k in enumerate(full):
+        below = len(full) - 1 - at
+        edge = at < 3 or below < 3
+        form = head_form(lines[k]) if edge else "notice" if noticed(lines[k]) else ""
+        if form:
+            out.append((k, line_key(lines[k]), f"{form}:{min(at, below) if edge else 9}:{'t' if at <= below else 'b'}"))
     return out
 
 
@@ -533,15 +550,15 @@ def furniture(page_rows: DataFrame) -> DataFrame:
             rows = []
             for d, p, lines, c in zip(b["doc_id"], b["page"], b["lines"], b["c"]):
                 lines, got = list(lines), []
-                keys = {k: line_key(x) for k, x in enumerate(lines) if x.strip()}
+                full = [k for k, x in enumerate(lines) if x.strip()]
                 for x in c:
                     k = x["line"]
                     if x["sure"]:
                         got.append(k)
-                    elif x["edge"] == "t" and len(keys[k]) >= 8:
+                    elif x["edge"] == "t" and len(key := line_key(lines[k])) >= 8:
                         # A running head on the page of the title: the whole line follows.
-                        after = [y for y in sorted(keys) if y > k][:3]
-                        if any(keys[y].startswith(keys[k]) for y in after) and (x["again"] or len(keys[k]) >= 14):
+                        after = full[bisect_right(full, k) :][:3]
+                        if any(line_key(lines[y]).startswith(key) for y in after) and (x["again"] or len(key) >= 14):
                             got.append(k)
                     elif x["edge"] == "b" and x["again"]:
                         got.append(k)
@@ -586,12 +603,15 @@ def _decoded(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int
     shared = spark.sparkContext.broadcast((top, total[0] or 1, total[1] or 1))
     items = cut(_items(pages, drafts))
 
+    # Words beyond the common ones are no more frequent than the last of those.
+    cuts = bool(top) and top[-1][1] >= PART
+
     def asks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {w for w, _, _ in shared.value[0]}
         for b in batches:
             rows = []
             for s, d, i, lines, follow in zip(b["src"], b["doc_id"], b["item_no"], b["lines"], b["follow"]):
-                need = unknown_pieces([*lines, follow or ""], known)
+                need = unknown_pieces([*lines, follow or ""], known, cuts)
                 ends = [x for x in (*lines, follow or "") if x.strip()]
                 for x, y in zip(ends, ends[1:]):
                     if HYPHEN.search(x):
