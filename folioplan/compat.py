@@ -13,12 +13,14 @@ _EDGE_SPACE = r"^[\s\p{Z}\x{FEFF}]+|[\s\p{Z}\x{FEFF}]+$"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets what results depend on (UTC) and a checkpoint folder where the session has none."""
+    """Sets what results depend on (UTC), and a checkpoint folder of its own in a local session that names none."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         configured = sc.getConf().get("spark.checkpoint.dir", "")
+        if not configured and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="folioplan-checkpoint-"))
     # Python workers start in folders of their own: they find this package where the driver found it.
     root, paths = os.path.dirname(os.path.dirname(os.path.abspath(__file__))), sc.environment.get("PYTHONPATH", "")

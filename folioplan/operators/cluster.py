@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioplan.compat import cut
@@ -43,7 +43,7 @@ def vectors(papers: DataFrame, fields: tuple[str, ...] = DEFAULT_FIELDS) -> Data
 
 
 def cosine_to(vecs: DataFrame, centroids: DataFrame) -> DataFrame:
-    """id, band, sim; centroids: band, term, w, broadcast - k of them, each at most the terms of one paper or theme (V3)."""
+    """id, band, sim; centroids: band, term, w, joined by term whatever their size (V3)."""
     joined = vecs.join(centroids.withColumnRenamed("w", "cw"), "term").groupBy("id", "band").agg(F.round(F.sum(F.col("w") * F.col("cw")), 12).alias("sim"))
     return joined
 
@@ -66,16 +66,118 @@ def seeds(vecs: DataFrame, k: int) -> list[str]:
     return chosen
 
 
-def kmeans(papers: DataFrame, k: int = 5, fields: tuple[str, ...] = DEFAULT_FIELDS, rounds: int = 12) -> tuple[DataFrame, DataFrame]:
+def kmeans(papers: DataFrame, k: int = 5, fields: tuple[str, ...] = DEFAULT_FIELDS, rounds: int = 12, most: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
     """(id, band) of every paper, and (band, term, w) of the centroids: spherical k-means from the seeds (V5).
 
     Ties go to the lower band, an empty band keeps its centroid, and it stops when nothing moves.  Similarities are
-    rounded to twelve digits before ties are broken, so that the order of summation cannot move a paper.
+    rounded to twelve digits before ties are broken, so that the order of summation cannot move a paper.  Where the
+    centroids have at most ``most`` cells (bands times distinct terms, counted first) they are broadcast as a matrix and
+    a round is one pass over the papers; beyond that they are joined by term, with the same result.
     """
+    vecs = cut(vectors(papers, fields))
+    terms = vecs.select("term").distinct()
+    if terms.count() * k <= most:
+        return _by_matrix(vecs, sorted(r.term for r in terms.collect()), k, rounds)
+    return _by_joins(papers.sparkSession, vecs, k, rounds)
+
+
+def _by_matrix(vecs: DataFrame, terms: list[str], k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """k-means with the centroids as a matrix of terms by bands; papers are arrays of term numbers and weights."""
+    import numpy as np
+    import pandas as pd
+
+    spark = vecs.sparkSession
+    names = spark.sparkContext.broadcast(terms)
+
+    def encode(batches):
+        place = {t: i for i, t in enumerate(names.value)}
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "t": [[place[x["term"]] for x in v] for v in b["v"]], "w": [[x["w"] for x in v] for v in b["v"]]})
+
+    grouped = vecs.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v"))
+    docs = cut(grouped.mapInPandas(encode, "id string, t array<int>, w array<double>"))
+
+    def similar(t, w, m):
+        return np.round(np.asarray(w) @ m[np.asarray(t)], 12)
+
+    def matrix(columns) -> np.ndarray:
+        m = np.zeros((len(terms), len(columns)))
+        for band, (t, w) in enumerate(columns):
+            m[t, band] = w
+        return m
+
+    first = docs.orderBy(F.desc(F.size("t")), "id").first()
+    if first is None:
+        return spark.createDataFrame([], "id string, band int"), spark.createDataFrame([], "band int, term string, w double")
+    chosen = [first]
+    while len(chosen) < k:
+        shared = spark.sparkContext.broadcast((matrix([(c.t, c.w) for c in chosen]), {c.id for c in chosen}))
+
+        def farthest(batches, shared=shared):
+            m, taken = shared.value
+            best = None
+            for b in batches:
+                for i, t, w in zip(b["id"], b["t"], b["w"]):
+                    if i not in taken:
+                        one = (max(0.0, float(similar(t, w, m).max())), i)
+                        best = one if best is None or one < best else best
+            yield pd.DataFrame([best] if best else [], columns=["sim", "id"])
+
+        nxt = docs.mapInPandas(farthest, "sim double, id string").orderBy("sim", "id").first()
+        shared.unpersist()
+        if nxt is None:
+            break
+        chosen.append(docs.where(F.col("id") == nxt.id).first())
+
+    centroids, before = matrix([(c.t, c.w) for c in chosen]), None
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast((centroids, before))
+
+        def gather(batches, shared=shared):
+            now, then = shared.value
+            sums, size, moved = np.zeros(now.shape), np.zeros(now.shape[1], int), 0
+            for b in batches:
+                for t, w in zip(b["t"], b["w"]):
+                    band = int(np.argmax(similar(t, w, now)))
+                    sums[np.asarray(t), band] += w
+                    size[band] += 1
+                    moved += then is None or int(np.argmax(similar(t, w, then))) != band
+            t, band = np.nonzero(sums)
+            yield pd.DataFrame({"band": band.astype("int32"), "t": t.astype("int32"), "w": sums[t, band]})
+            yield pd.DataFrame({"band": np.arange(len(size), dtype="int32"), "t": np.full(len(size), -1, "int32"), "w": size.astype(float)})
+            yield pd.DataFrame({"band": [-1], "t": [-1], "w": [float(moved)]})
+
+        rows = docs.mapInPandas(gather, "band int, t int, w double").groupBy("band", "t").agg(F.sum("w").alias("w")).toPandas()
+        shared.unpersist()
+        moved = rows.loc[rows["band"] == -1, "w"].sum()
+        size = np.zeros(centroids.shape[1])
+        counts = rows[(rows["t"] == -1) & (rows["band"] >= 0)]
+        size[counts["band"].to_numpy()] = counts["w"].to_numpy()
+        cells = rows[rows["t"] >= 0]
+        fresh = np.zeros(centroids.shape)
+        fresh[cells["t"].to_numpy(), cells["band"].to_numpy()] = cells["w"].to_numpy()
+        fresh /= np.maximum(size, 1)
+        fresh /= np.maximum(np.sqrt((fresh * fresh).sum(axis=0)), 1e-300)
+        before, centroids = centroids, np.where(size > 0, fresh, centroids)
+        if not moved:
+            break
+    shared = spark.sparkContext.broadcast(before)
+
+    def assign(batches):
+        m = shared.value
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "band": [int(np.argmax(similar(t, w, m))) for t, w in zip(b["t"], b["w"])]})
+
+    t, band = np.nonzero(centroids)
+    made = pd.DataFrame({"band": band.astype("int32"), "term": [terms[i] for i in t], "w": centroids[t, band]})
+    return docs.mapInPandas(assign, "id string, band int"), spark.createDataFrame(made, "band int, term string, w double")
+
+
+def _by_joins(spark: SparkSession, vecs: DataFrame, k: int, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """k-means with the centroids as a table, joined by term."""
     # Kept partitioned by paper: similarities to a few centroids then need no exchange in any round.
-    vecs = cut(vectors(papers, fields)).repartition("id").persist()
+    vecs = vecs.repartition("id").persist()
     chosen = seeds(vecs, k)
-    spark = papers.sparkSession
     place = spark.createDataFrame([(s, b) for b, s in enumerate(chosen)], "id string, band int")
     centroids = cut(vecs.join(F.broadcast(place), "id").select("band", "term", "w"))
     assigned = vecs.select("id").distinct().withColumn("band", F.lit(-1))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioplan.compat import cut
+from folioplan.operators.ranking import numbered
 
 
 def _height(n: Column) -> Column:
@@ -19,13 +20,13 @@ def _height(n: Column) -> Column:
 def ranked(blocks: DataFrame, metric: str) -> DataFrame:
     """Blocks in columns by dense rank of a metric, in rows by papers and name.
 
-    Ranks come from the aggregate of distinct metric values, so only that small table is ordered in one place.
+    Ranks come from the aggregate of distinct metric values; most blocks share the lowest of them, so that rows within
+    a column are numbered by parts where a column is large.
     """
-    values = blocks.select(F.coalesce(metric, F.lit(0)).alias("rank_value")).groupBy("rank_value").agg(F.count("*").alias("members"))
-    column = F.row_number().over(Window.orderBy(F.desc("rank_value"))) - 1
-    columns = values.select("rank_value", column.alias("column"))
-    row = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n_papers"), "name", "id")) - 1
-    placed = blocks.withColumn("rank_value", F.coalesce(metric, F.lit(0))).join(F.broadcast(columns.limit(1_000_000)), "rank_value").withColumn("row", row)
+    valued = cut(blocks.select("id", "name", "n_papers", F.coalesce(metric, F.lit(0)).alias("rank_value")))
+    columns = numbered(valued.select("rank_value").distinct(), [], [F.desc("rank_value")], "column")
+    placed = numbered(valued, ["rank_value"], [F.desc("n_papers"), F.col("name"), F.col("id")], "row").join(columns, "rank_value")
+    placed = placed.withColumn("column", F.col("column") - 1).withColumn("row", F.col("row") - 1)
     return placed.select("id", "name", "n_papers", "rank_value", "column", "row", (34 + F.col("column") * 245).alias("x"), (54 + F.col("row") * 110).alias("y"), F.lit(210).alias("width"), _height(F.col("n_papers")).alias("height"))
 
 
@@ -44,7 +45,7 @@ def levels(blocks: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataF
     e = cut(links.where("source <> target").select("source", "target").distinct().join(blocks.select(F.col("id").alias("source")), "source", "left_semi").join(blocks.select(F.col("id").alias("target")), "target", "left_semi"))
     indegree = e.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("need"))
     state = cut(blocks.select("id").join(indegree, "id", "left").select("id", F.coalesce("need", F.lit(0)).cast("bigint").alias("need"), F.lit(0).alias("level"), F.lit(False).alias("done")))
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         ready = state.where("NOT done AND need = 0").select(F.col("id").alias("source"), F.col("level").alias("from"))
         gone = e.join(ready, "source").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("less"), F.max("from").alias("from"))
         if not ready.limit(1).count():
@@ -54,6 +55,8 @@ def levels(blocks: DataFrame, links: DataFrame, max_rounds: int = 1000) -> DataF
                 "id", (F.col("need") - F.coalesce("less", F.lit(0))).alias("need"), F.greatest(F.col("level"), F.coalesce(F.col("from") + 1, F.lit(0))).alias("level"), (F.col("done") | (F.col("need") == 0)).alias("done")
             )
         )
+    else:
+        raise RuntimeError(f"a path of more than {max_rounds} links")
     return state.select("id", F.when(F.col("done"), F.col("level")).alias("level"))
 
 
@@ -91,13 +94,13 @@ def hierarchy(blocks: DataFrame, links: DataFrame, height: int = 720) -> DataFra
                     level[t] = level[s] + 1
                     queue.append(t)
     cyclic = spark.createDataFrame([(r.id, level[r.id]) for r in rows], "id string, cyclic int")
-    full = known.join(F.broadcast(cyclic), "id", "left").withColumn("level", F.coalesce("level", "cyclic"))
+    full = known.join(cyclic, "id", "left").withColumn("level", F.coalesce("level", "cyclic"))
     per_column = max(4, min(8, (max(520, height) - 100) // 92))
-    k = F.row_number().over(Window.orderBy("level", F.desc("n_papers"), "name", "id")) - 1
-    placed = full.withColumn("k", k).withColumn("column", F.floor(F.col("k") / per_column).cast("int")).withColumn("row", F.col("k") % per_column)
+    placed = numbered(full, [], [F.col("level"), F.desc("n_papers"), F.col("name"), F.col("id")], "k").withColumn("k", F.col("k") - 1).withColumn("column", F.floor(F.col("k") / per_column).cast("int")).withColumn("row", F.col("k") % per_column)
     return placed.select("id", "level", "column", "row", (34 + F.col("column") * 245).alias("x"), (54 + F.col("row") * 110).alias("y"), _height(F.col("n_papers")).alias("height"))
 
 
+#: Fixed values of the force layouts below: iterations by size, spacing, damping, pull and push.
 # ---- force layouts (G3-G6): numerically sequential, one task over one view ----------------------------------------
 
 
@@ -224,11 +227,11 @@ def timeline(papers: DataFrame, assignment: DataFrame) -> DataFrame:
     """id, band, bucket, slot, x, y of every card; assignment: id, band.  A paper without a year stands in the middle (V7)."""
     buckets = year_buckets(papers)
     middle = (buckets.agg(F.max("bucket")).first()[0] or 0) // 2
-    cells = papers.select("id", "year", "title").join(assignment, "id").join(F.broadcast(buckets.limit(100_000)), "year", "left")
+    cells = papers.select("id", "year", "title").join(assignment, "id").join(buckets, "year", "left")
     cells = cells.withColumn("bucket", F.coalesce("bucket", F.lit(middle)))
-    slot = F.row_number().over(Window.partitionBy("band", "bucket").orderBy(F.coalesce("year", F.lit(0)), "title", "id")) - 1
-    cells = cells.withColumn("slot", slot)
+    # All papers without a year stand in the middle: one slot of a band may hold a third of all rows.
+    cells = cut(numbered(cells, ["band", "bucket"], [F.coalesce("year", F.lit(0)), F.col("title"), F.col("id")], "slot").withColumn("slot", F.col("slot") - 1))
     rows = cells.groupBy("band").agg((F.max("slot") + 1).alias("rows")).withColumn("height", F.greatest(F.lit(142), 64 + F.col("rows") * ROW_STEP))
     above = F.coalesce(F.sum(F.col("height") + 12).over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bands = rows.select("band", "height", (TOP + above).alias("band_y"))
-    return cells.join(F.broadcast(bands.limit(10_000)), "band").select("id", "band", "bucket", "slot", (LEFT + F.col("bucket") * YEAR_STEP).cast("bigint").alias("x"), (F.col("band_y") + 64 + F.col("slot") * ROW_STEP).cast("bigint").alias("y"))
+    return cells.join(bands, "band").select("id", "band", "bucket", "slot", (LEFT + F.col("bucket") * YEAR_STEP).cast("bigint").alias("x"), (F.col("band_y") + 64 + F.col("slot") * ROW_STEP).cast("bigint").alias("y"))

@@ -209,7 +209,10 @@ def expansions(papers: DataFrame) -> DataFrame:
 
 
 def page_of(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
-    """Offset paging: rows and the cursor of the next page, NULL on the last."""
-    ranked = df.withColumn("_k", F.row_number().over(Window.orderBy(*order)))
+    """Offset paging: rows and the cursor of the next page, NULL on the last.
+
+    Only the rows up to the page and one beyond are kept by each task and ordered in one place.
+    """
+    ranked = df.orderBy(*order).limit(offset + size + 1).withColumn("_k", F.row_number().over(Window.orderBy(*order)))
     nxt = F.when(F.max("_k").over(Window.partitionBy()) > offset + size, F.lit(offset + size))
     return ranked.withColumn("next", nxt).where((F.col("_k") > offset) & (F.col("_k") <= offset + size)).drop("_k")

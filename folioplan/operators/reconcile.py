@@ -117,14 +117,15 @@ def canonical_targets(refs: DataFrame, papers: DataFrame, sigs: DataFrame | None
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def printed_dois(text: pd.Series) -> pd.Series:
-    """Strings of a text without white space that could be a whole DOI: from "10." to each place where one may end."""
+def printed_dois(text: pd.Series, longest: pd.Series) -> pd.Series:
+    """Strings of a text without white space that could be a whole DOI: from "10." to each place where one of at most
+    ``longest`` characters (the longest there is in the library) may end."""
     out = []
-    for t in text:
+    for t, most in zip(text, longest):
         found, at = [], (t or "").find("10.")
         while at >= 0:
             if at == 0 or not (t[at - 1].isascii() and t[at - 1].isalnum()):
-                for end in range(at + 7, min(len(t), at + 200) + 1):
+                for end in range(at + 7, min(len(t), at + most) + 1):
                     after = t[end : end + 1]
                     if not (after and (after.isascii() and after.isalnum() or after in "/_-")):
                         d = t[at:end]
@@ -161,8 +162,9 @@ def local_targets(refs: DataFrame, papers: DataFrame, sigs: DataFrame | None = N
     for k, name in enumerate(("doi", "s2", "arxiv")):
         j = left.join(s, (left[name] == s[f"r_{name}"]) & (left[name] != "")).where(~conflict(F.col("doi")))
         out.append(j.select(*cols, F.lit(k).alias("rung")))
+    longest = sigs.agg(F.max(F.length("doi"))).first()[0] or 0
     squashed = left.withColumn("flat", F.lower(F.regexp_replace("raw", r"[\s\p{Z}]+", "")))
-    printed = squashed.where(F.col("flat").contains("10.")).withColumn("printed", F.explode(printed_dois("flat")))
+    printed = squashed.where(F.col("flat").contains("10.")).withColumn("printed", F.explode(printed_dois("flat", F.lit(longest))))
     j = printed.join(s, printed["printed"] == s["r_doi"]).where(F.col("r_doi").startswith(F.col("doi")) & ~conflict(F.col("r_doi")))
     out.append(j.select(*cols, F.lit(3).alias("rung")))
     # A title is at least 40 characters, so its first 40 occur in any text that holds it.

@@ -127,11 +127,8 @@ def topic_hierarchy(s: SparkSession, d: str) -> DataFrame:
 
 
 def citation_levels(s: SparkSession, d: str) -> DataFrame:
-    """Longest citation path to each paper, over citations that go back in time (a graph without cycles)."""
-    p = papers(s, d).where("year IS NOT NULL")
-    y = p.select("id", "year")
-    e = edges(s, d).select("source", "target").join(y.select(F.col("id").alias("source"), F.col("year").alias("ys")), "source").join(y.select(F.col("id").alias("target"), F.col("year").alias("yt")), "target")
-    return layout.levels(p.select("id"), e.where("ys > yt").select("source", "target"))
+    """Longest citation path to each paper; unknown for papers on cycles of citations and behind them."""
+    return layout.levels(papers(s, d).select("id"), edges(s, d).select("source", "target"))
 
 
 def topic_gravity(s: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,9 @@ import zipfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioplan.compat import cut
 from folioplan.functions import normalize as N
+from folioplan.operators.ranking import numbered
 from folioplan.sources.bibtex import entries
 
 VERSION, PREVIOUS, LEGACY = 3, 2, 1
@@ -27,12 +29,10 @@ def assigned_keys(papers: DataFrame, rounds: int = 50) -> DataFrame:
     base = N.archive_key(F.col("citationKey"))
     made = N.default_archive_key(F.col("title"), F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.array(F.lit("paper"))), F.col("year"))
     rows = papers.select("id", F.when(base != "", base).when(made != "", made).otherwise(F.concat(F.lit("paper-"), F.substring(F.sha2("id", 256), 1, 8))).alias("base"))
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("base")).orderBy("id")))
-    from folioplan.compat import cut
-
+    rows = numbered(rows.withColumn("_l", F.lower("base")), ["_l"], [F.col("id")], "n").drop("_l")
     for _ in range(rounds):
         key = F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat(F.substring(F.col("base"), F.lit(1), 78 - F.length(F.col("n").cast("string"))), F.lit("-"), F.col("n").cast("string")))
-        keyed = cut(rows.withColumn("key", key).withColumn("place", F.row_number().over(Window.partitionBy(F.lower("key")).orderBy("n", "id"))))
+        keyed = cut(rows.withColumn("key", key).withColumn("place", F.row_number().over(Window.partitionBy(F.lower("key")).orderBy("n", "id"))))  # few share a made key
         if not keyed.where("place > 1").limit(1).count():
             return keyed.select("id", "key")
         top = keyed.groupBy(F.lower("base").alias("_b")).agg(F.max("n").alias("top"))
