@@ -156,7 +156,7 @@ def _look_alikes(spark: SparkSession) -> DataFrame:
     rows = []
     for s, (a, b) in LOOK_ALIKES.items():
         rows += [(x, "Latin", y) for x, y in zip(a, b)]
-        rows += [(y, s, x) for x, y in reversed(list(zip(a, b)))]
+        rows += [(y, s, x) for x, y in zip(a, b)]  # of two letters drawn alike the first, ordinary one
     # Between two scripts that both look like Latin.
     for s, (a, b) in LOOK_ALIKES.items():
         for r, (c, d) in LOOK_ALIKES.items():

@@ -88,3 +88,42 @@ def test_partitioning_and_repeated_strings_change_nothing(spark):
     assert all(whole[k] == {"caf" + "e\u0301": "caf\u00e9", "\uff38 \u200b": "X ", "P\u0430ris": "Paris", "\u200b": ""}.get(v, f"A{k - 200}\u00e9") for k, v in enumerate(values))
     for n in (1, 7, 13):
         assert {r.k: r.plain for r in visual.plain_form(df.repartition(n, "value").repartition(n + 1), "value").collect()} == whole
+
+
+def _brute(s):
+    """The plain form, word by word in Python, composed by the standard library."""
+    import regex
+
+    t, out = visual.tables(), []
+    latin = {x for _, b in visual.LOOK_ALIKES.values() for x in b}
+    shared = {"Latin": latin} | {k: set(a) for k, (a, _) in visual.LOOK_ALIKES.items()}
+    for word in regex.findall(r"[\p{L}\p{M}\p{N}\p{Cf}]+|[^\p{L}\p{M}\p{N}\p{Cf}]+", s):
+        letters = {k: regex.findall(rf"\p{{Script={k}}}" + ("|[\U0001d400-\U0001d6a5]" if k == "Latin" else ""), word) for k in shared}
+        present = [k for k in shared if letters[k]]
+        script = None
+        if len(present) > 1:
+            own = {k: sum(c not in shared[k] for c in letters[k]) for k in shared}
+            script = max(shared, key=lambda k: (own[k], len(letters[k]), -list(shared).index(k)))
+            if own[script] == 0 and len(set(present) - {"Latin"}) > 1:
+                script = "Latin"
+        table = {}
+        for k, (a, b) in visual.LOOK_ALIKES.items():
+            if script == "Latin":
+                table |= dict(zip(a, b))
+            elif script == k:
+                table |= dict(reversed(list(zip(b, a))))
+        for k, (a, b) in visual.LOOK_ALIKES.items():
+            if script not in (None, "Latin", k):
+                back = dict(reversed(list(zip(visual.LOOK_ALIKES[script][1], visual.LOOK_ALIKES[script][0]))))
+                table |= {x: back[y] for x, y in zip(a, b) if y in back and x not in table}
+        out.append("".join(table.get(c, c) for x in word for c in t["decomposed"].get(x, x)))
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+def test_plain_form_agrees_with_brute_force(spark):
+    rng = random.Random(11)
+    letters = "abceopxyABHTeé́üåñ аеорсхдМТНЖ αβονρλΑΒΗΟ ստհո ＡｂＣ１２　 ​﻿­-'1ﬁ²한글"
+    values = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(600)]
+    got = plain(spark, values)
+    wrong = [(v, g, _brute(v)) for v, g in zip(values, got) if g != _brute(v)]
+    assert not wrong, wrong[:5]
