@@ -23,6 +23,7 @@ import zlib
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -92,26 +93,29 @@ def candidates(token: str) -> dict[str, int]:
     return out
 
 
-def _grams(token: str) -> Iterator[tuple[str, str, str, str]]:
-    s = f"\x02\x02{token}\x03"
-    for k in range(2, len(s)):
-        yield s[k - 2 : k + 1], s[k - 1 : k + 1], s[k], s[k - 2 : k]
-
-
+@lru_cache(maxsize=1 << 16)
 def _key(order: int, gram: str) -> int:
     return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BINS + (order - 1) * BINS
 
 
+@lru_cache(maxsize=1 << 16)
+def _cells_of(tri: str) -> tuple[int, int, int, int, int]:
+    """The cells of a trigram's last character, last two, all three, first two, and of the middle one."""
+    return _key(1, tri[2]), _key(2, tri[1:]), _key(3, tri), _key(4, tri[:2]), _key(5, tri[1])
+
+
+def _cells(token: str) -> Iterator[tuple[int, int, int, int, int]]:
+    s = f"\x02\x02{token}\x03"
+    return map(_cells_of, map("".join, zip(s, s[1:], s[2:])))
+
+
 def gram_weights(token: str, n: int) -> Counter:
     """Hashed trigrams, bigrams, characters and their contexts, weighted by the damped count of the token."""
     c: Counter = Counter()
     w = 1 + math.log(n)
-    for tri, bi, one, ctx in _grams(token):
-        c[_key(3, tri)] += w
-        c[_key(2, bi)] += w
-        c[_key(1, one)] += w
-        c[_key(4, ctx)] += w
-        c[_key(5, bi[0])] += w
+    for cells in _cells(token):
+        for k in cells:
+            c[k] += w
         c[CELLS - 1] += w
     return c
 
@@ -124,17 +128,19 @@ class Model:
         self.w.frombytes(weights)
 
     def score(self, token: str, own: Counter | None = None) -> float:
-        w, a, total = self.w, self.a, 0.0
-        own = own or {}
+        w, a, total, log = self.w, self.a, 0.0, math.log
+        if own is None:
+            n = w[CELLS - 1] + 2000
+            for one, bi, tri, ctx, head in _cells(token):
+                total += log((w[tri] + a * (w[bi] + a * (w[one] + 0.02) / n) / (w[head] + a)) / (w[ctx] + a))
+            return total
 
         def of(k: int) -> float:
             return max(0.0, w[k] - own.get(k, 0.0))
 
-        n = of(CELLS - 1)
-        for tri, bi, one, ctx in _grams(token):
-            p1 = (of(_key(1, one)) + 0.02) / (n + 2000)
-            p2 = (of(_key(2, bi)) + a * p1) / (of(_key(5, bi[0])) + a)
-            total += math.log((of(_key(3, tri)) + a * p2) / (of(_key(4, ctx)) + a))
+        n = of(CELLS - 1) + 2000
+        for one, bi, tri, ctx, head in _cells(token):
+            total += log((of(tri) + a * (of(bi) + a * (of(one) + 0.02) / n) / (of(head) + a)) / (of(ctx) + a))
         return total
 
     def gains(self, token: str, n: int = 0) -> dict[int, tuple[float, str]]:
@@ -147,8 +153,8 @@ class Model:
 
     def _attested(self, token: str, reading: str) -> bool:
         """Every new pair of characters of the reading occurs in clean text."""
-        old = {b for _, b, _, _ in _grams(token)}
-        return all(self.w[_key(2, b)] > 0 for _, b, _, _ in _grams(reading) if b not in old)
+        pairs = lambda t: set(zip(f"\x02{t}", f"{t}\x03"))
+        return all(self.w[_key(2, a + b)] > 0 for a, b in pairs(reading) - pairs(token))
 
 
 def vocabulary(documents: DataFrame) -> DataFrame:
