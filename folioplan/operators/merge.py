@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioplan.compat import cut
 from folioplan.functions import normalize as N
 from folioplan.functions import rows as R
 from folioplan.operators.components import components
@@ -136,6 +137,10 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
 def merge_library(existing: DataFrame, incoming: DataFrame, strict: bool = True) -> DataFrame:
     """id, record (the merged paper as in ``existing``), merged, incoming_ids: a batch merged into the library.
 
+    Records are folded where they could ever meet: those of one identifier, and those of one title and year that any
+    record joined with them has, for a merge may bring another title or year.  A title alone ties nothing, so that an
+    editorial of every year is no component.
+
     ``incoming`` has the columns of papers and ``ordinal``, its order.  In ``strict`` mode an empty title ties nothing
     together; otherwise all records without identifiers and with empty titles are one component, as in the legacy rule.
     """
@@ -150,11 +155,18 @@ def merge_library(existing: DataFrame, incoming: DataFrame, strict: bool = True)
             F.when(N.normalize_doi(F.col("doi")) != "", F.concat(F.lit("doi:"), N.normalize_doi(F.col("doi")))),
             F.when(N.text(F.col("semanticScholarId")) != "", F.concat(F.lit("s2:"), "semanticScholarId")),
             F.when(N.text(F.col("arxivId")) != "", F.concat(F.lit("arxiv:"), F.lower("arxivId"))),
-            # A merge may add the year later, so the title alone ties.
-            F.when((t != "") | F.lit(not strict), F.concat(F.lit("title:"), t)),
         )
     )
-    parts = components(both.select("item", F.explode(keys).alias("key")))
+    facts = cut(both.select("item", keys.alias("keys"), t.alias("title"), F.coalesce(F.when(F.col("year") != 0, F.col("year").cast("string")), F.lit("")).alias("year")))
+    parts = components(facts.select("item", F.explode(F.concat(F.array(F.concat(F.lit("item:"), "item")), "keys")).alias("key")))
+    while True:
+        seen = facts.join(parts, "item")
+        titles = seen.where((F.col("title") != "") | F.lit(not strict)).select("component", "title").distinct()
+        met = titles.join(seen.select("component", "year").distinct(), "component").select(F.col("component").alias("item"), F.concat_ws(":", "title", "year").alias("key"))
+        wider = cut(components(met).select(F.col("item").alias("component"), F.col("component").alias("wider")).where("component <> wider"))
+        if wider.isEmpty():
+            break
+        parts = cut(parts.join(wider, "component", "left").select("item", F.coalesce("wider", "component").alias("component")))
     rows = both.join(parts, "item").select("component", "incoming", "ordinal", F.coalesce("id", F.lit("")).alias("id"), F.to_json(F.struct(*columns)).alias("record"))
     schema = existing.select(*columns).schema
     folded = rows.groupBy("component").applyInPandas(lambda pdf: _fold(pdf), "id string, record string, merged int, incoming_ids array<string>")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioplan.compat import cut
 from folioplan.functions.folding import nfkd_no_marks
 from folioplan.functions.normalize import text
 
@@ -19,11 +20,19 @@ def normalized(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(nfkd_no_marks(text(c))), r"[^\p{L}\p{N}]+", " "))
 
 
+def _compact(c: Column) -> Column:
+    return F.replace(normalized(F.regexp_replace(text(c), r"^\s*(?:\[\d+\]|\d+\.)\s*", "")), F.lit(" "), F.lit(""))
+
+
+def _shingles(cells: DataFrame, *keys: str) -> DataFrame:
+    """keys, gram, n of a column ``t``."""
+    gram = F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 4), lambda k: F.substring(F.col("t"), k, F.lit(5)))).alias("gram")
+    return cells.where("length(t) >= 5").select(*keys, gram).groupBy(*keys, "gram").agg(F.count("*").alias("n"))
+
+
 def grams(refs: DataFrame, key: str, c: str) -> DataFrame:
     """key, gram, n: multiset of 5-character shingles without spaces and the leading number."""
-    compact = F.replace(normalized(F.regexp_replace(text(F.col(c)), r"^\s*(?:\[\d+\]|\d+\.)\s*", "")), F.lit(" "), F.lit(""))
-    cells = refs.select(key, compact.alias("t")).where("length(t) >= 5")
-    return cells.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 4), lambda k: F.substring(F.col("t"), k, F.lit(5)))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    return _shingles(refs.select(key, _compact(F.col(c)).alias("t")), key)
 
 
 def gram_similarity(expected: DataFrame, actual: DataFrame, least: float = MATCH) -> DataFrame:
@@ -31,11 +40,11 @@ def gram_similarity(expected: DataFrame, actual: DataFrame, least: float = MATCH
 
     expected: doc_id, eid, text; actual: doc_id, aid, text.  Only entries of one document meet.
     """
-    e, a = grams(expected, "eid", "text"), grams(actual, "aid", "text")
-    te, ta = e.groupBy("eid").agg(F.sum("n").alias("te")), a.groupBy("aid").agg(F.sum("n").alias("ta"))
-    ed, ad = expected.select("doc_id", "eid"), actual.select("doc_id", "aid")
-    common = e.join(ed, "eid").join(a.join(ad, "aid").withColumnRenamed("n", "m"), ["doc_id", "gram"]).groupBy("doc_id", "eid", "aid").agg(F.sum(F.least("n", "m")).alias("c"))
-    j = common.join(te, "eid").join(ta, "aid").withColumn("precision", F.col("c") / F.col("ta")).withColumn("recall", F.col("c") / F.col("te"))
+    # The number of an entry's grams follows from its length and travels with them.
+    e, a = (cut(df.select("doc_id", k, _compact(F.col("text")).alias("t")).withColumn("total", F.length("t") - 4)) for df, k in ((expected, "eid"), (actual, "aid")))
+    mine = _shingles(e, "doc_id", "eid", "total").withColumnRenamed("total", "te")
+    theirs = _shingles(a, "doc_id", "aid", "total").withColumnRenamed("total", "ta").withColumnRenamed("n", "m")
+    j = mine.join(theirs, ["doc_id", "gram"]).groupBy("doc_id", "eid", "te", "aid", "ta").agg(F.sum(F.least("n", "m")).alias("c")).withColumn("precision", F.col("c") / F.col("ta")).withColumn("recall", F.col("c") / F.col("te"))
     return j.withColumn("similarity", 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall"))).where(F.col("similarity") >= least).select("doc_id", "eid", "aid", "precision", "recall", "similarity")
 
 

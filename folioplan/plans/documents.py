@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioplan.compat import table
+from folioplan.compat import cut, table
 from folioplan.functions import normalize as N
 from folioplan.operators import extract, front_matter, quality
 from folioplan.plans.base import _letters, _ligatures, arxiv_sql, clean_sql, doi_sql, papers, title_sql
@@ -74,7 +74,7 @@ def draft_grams(s: SparkSession, d: str) -> DataFrame:
 
 
 def _matches(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e, a = _drafts(s, d), _found(s, d)
+    e, a = cut(_drafts(s, d)), cut(_found(s, d))  # each is used four times
     pairs = quality.gram_similarity(e, a).join(e.select("eid", "first", "last"), "eid").join(a.select("aid", "pageStart", "pageEnd"), "aid")
     pairs = pairs.withColumn("page_match", (F.col("pageStart") <= F.col("last")) & (F.col("pageEnd") >= F.col("first"))).select("doc_id", "eid", "aid", "precision", "recall", "similarity", "page_match")
     return e, a, quality.greedy(pairs)

@@ -91,3 +91,27 @@ def test_the_bundled_library(spark):
     assert (p.count(), e.count(), t.count()) == (8, 9, 5)
     assert e.join(p.select(F.col("id").alias("source")), "source").count() == 9 and json.dumps(demo.TOPICS)
 
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_merging_by_components_is_one_fold_over_all(spark, strict):
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(4)
+    schema = "id string, title string, year int, doi string, notes string, tags array<string>, semanticScholarId string, arxivId string, authors array<string>"
+
+    def row(k, side):
+        title = rng.choice(["Editorial", "Lakes", "Rivers", "Trams"] + ([] if strict else [""]))
+        return (f"{side}{k}", title, rng.choice([None, 2000, 2001]), rng.choice([None, "", "10.1/a", "10.1/b", f"10.2/{k}"]), None, None, rng.choice([None, None, "s1"]), rng.choice([None, None, "2101.00001"]), None)
+
+    old, new = [row(k, "e") for k in range(25)], [row(k, "n") for k in range(40)]
+    e = spark.createDataFrame(old, schema)
+    i = spark.createDataFrame([(*r, k) for k, r in enumerate(new)], schema + ", ordinal int")
+    got = {r.id: (r.record.title, r.record.year, r.record.doi, r.merged, sorted(r.incoming_ids)) for r in merge.merge_library(e, i, strict).collect()}
+    names = [c.split()[0] for c in schema.split(", ")]
+    rows = [(False, 0, r[0], json.dumps(dict(zip(names, r)))) for r in old] + [(True, k, r[0], json.dumps(dict(zip(names, r)))) for k, r in enumerate(new)]
+    whole = merge._fold(pd.DataFrame(rows, columns=["incoming", "ordinal", "id", "record"]))
+    want = {r.id: ((x := json.loads(r.record)).get("title"), x.get("year"), x.get("doi"), r.merged, sorted(r.incoming_ids)) for r in whole.itertuples()}
+    assert got == want
