@@ -16,9 +16,11 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioplan.compat import cut
+
 FOUND = "ref_table string, ref_id string, ref_field string, ref_key string, ref_us bigint, reason string"
 
 
@@ -117,6 +119,13 @@ def _probe(refs: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     return out[out["reason"] != ""]
 
 
+def _once(references: DataFrame) -> DataFrame:
+    """Each reference once, at the earliest time of any row of its id: one exchange, to which every task sends an id once."""
+    key = normal_key(F.col("ref_key"))
+    named = references.where(key.isNotNull()).groupBy("ref_table", "ref_id").agg(F.min("at").alias("at"), F.collect_set(F.struct("ref_field", "ref_key", "ns")).alias("r"))
+    return named.select("ref_table", "ref_id", "at", F.explode("r").alias("r")).select("ref_table", "ref_id", "r.ref_field", "r.ref_key", "r.ns", "at").withColumn("key", key)
+
+
 def orphan_references(references: DataFrame, parent_rows: DataFrame, range_keys: int = 50_000, batch_refs: int = 100_000) -> DataFrame:
     """Every reference whose key is missing, deleted or arrives later, with the reason and the reference's time.
 
@@ -124,17 +133,10 @@ def orphan_references(references: DataFrame, parent_rows: DataFrame, range_keys:
     Repeated rows of a reference count once and at their earliest time.  A null or blank key names nothing and is no
     reference; a reference without a time is never early; a key without any arrival is never deleted or late.
     """
-    once = Window.partitionBy("ref_table", "ref_id")
+    parent_rows = cut(parent_rows)  # counted first, then probed
     n = parent_rows.count()
     bits = max(0, math.ceil(math.log2(max(1, n) / range_keys))) if n > range_keys else 0
-    refs = _ranged(
-        references.withColumn("key", normal_key(F.col("ref_key")))
-        .where("key IS NOT NULL")
-        .groupBy("ref_table", "ref_id", "ref_field", "ref_key", "ns", "key")
-        .agg(F.min("at").alias("at"))
-        .withColumn("at", F.min("at").over(once)),
-        bits,
-    )
+    refs = _ranged(_once(references), bits)
     # At most one row per ``batch_refs`` references, so this table may be broadcast whatever the input.
     hot = refs.groupBy("range").agg(F.ceil(F.count("*") / batch_refs).cast("int").alias("batches")).where("batches > 1")
     refs = refs.join(F.broadcast(hot), "range", "left").withColumn("batches", F.coalesce("batches", F.lit(1)))
@@ -151,12 +153,8 @@ def report(found: DataFrame, references: DataFrame) -> DataFrame:
     misses = found.groupBy("ref_table", "ref_field", F.coalesce(month, F.lit("unknown")).alias("month")).agg(
         *[F.count_if(F.col("reason") == r).alias(f"n_{r}") for r in ("missing", "deleted", "early")], F.count("*").alias("n_orphans")
     )
-    once = Window.partitionBy("ref_table", "ref_id")
     totals = (
-        references.where(normal_key(F.col("ref_key")).isNotNull())
-        .groupBy("ref_table", "ref_id", "ref_field", "ref_key")
-        .agg(F.min("at").alias("at"))
-        .withColumn("at", F.min("at").over(once))
+        _once(references)
         .groupBy("ref_table", "ref_field", F.coalesce(F.date_format(F.timestamp_micros("at"), "yyyy-MM"), F.lit("unknown")).alias("month"))
         .agg(F.count("*").alias("n_references"))
     )
