@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioplan.compat import table
 from folioplan.functions import normalize as N
-from folioplan.operators import graph, layout, library, merge, reconcile, resolve
+from folioplan.operators import geometry, graph, layout, library, merge, reconcile, resolve
 from folioplan.operators.library import Filters
 from folioplan.plans.base import ONCE, arxiv_sql, clean_sql, doi_sql, edges, papers, slug_sql, squeeze_sql, title_sql, topics
 from folioplan.plans.maps import _AUTHORS, _ENTRY, _TOPICS, _ranked
@@ -218,6 +218,37 @@ def aggregate_layouts(s: SparkSession, d: str) -> DataFrame:
     return a.select(F.lit("author").alias("kind"), "id", "column", "row").union(t.select(F.lit("topic"), "id", "column", "row"))
 
 
+def topic_segments(s: SparkSession, d: str) -> DataFrame:
+    """Links between ranked topics, from border to border."""
+    p = papers(s, d)
+    placed = layout.ranked(graph.topic_blocks(p, topics(s, d)), "n_papers")
+    seg = geometry.block_segments(placed, graph.topic_links(p, edges(s, d)))
+    return seg.select("source", "target", *[F.round(c, 6).alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+
+def marked_links(s: SparkSession, d: str) -> DataFrame:
+    """Topic links that go out from the topic first by name, and co-author links at either end of the author first by id."""
+    p = papers(s, d)
+    t, a = graph.topic_links(p, edges(s, d)), graph.coauthor_links(p)
+    one = lambda df: [r.x for r in df.agg(F.min("source").alias("x")).collect()]
+    rows = [t.where(geometry.focused("topic", one(t))).select(F.lit("topic").alias("kind"), "source", "target"), a.where(geometry.focused("author", one(a))).select(F.lit("author"), "source", "target")]
+    return rows[0].union(rows[1])
+
+
+def band_colours(s: SparkSession, d: str) -> DataFrame:
+    """The colour of each year of the timeline."""
+    return layout.year_buckets(papers(s, d)).select("year", geometry.palette_index(F.col("bucket")).alias("colour"))
+
+
+def map_segments(s: SparkSession, d: str) -> DataFrame:
+    """Citations between papers placed by year and number of citations, from circle to circle."""
+    p = graph.citation_map(papers(s, d)).select("id", "radius").join(papers(s, d).select("id", "year", "citationCount"), "id")
+    at = p.select("id", F.struct((F.coalesce("year", F.lit(0)) * 10.0).alias("x"), (F.coalesce("citationCount", F.lit(0)) * 1.0).alias("y"), "radius").alias("c"))
+    j = edges(s, d).select("id", "source", "target").join(at.select(F.col("id").alias("source"), F.col("c").alias("a")), "source").join(at.select(F.col("id").alias("target"), F.col("c").alias("b")), "target")
+    seg = geometry.circle_segment({k: F.col(f"a.{k}") for k in ("x", "y", "radius")}, {k: F.col(f"b.{k}") for k in ("x", "y", "radius")})
+    return j.select("id", *[F.round(v, 5).alias(k) for k, v in seg.items()])
+
+
 def demo_topic_links(s: SparkSession, d: str) -> DataFrame:
     """Links between the topics of the bundled library."""
     p, e, _ = demo.library(s)
@@ -233,7 +264,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         put_papers, remapped_edges, deleted_edges, reviewed_metadata, applied_drafts, review_checks, model_answers, model_inputs, reviewed_identities, library_entries, provider_topics, request_log, reference_keys,
-        merged_reference_records, kept_selections, selected_candidates, provider_fields, united_candidates, selector_filters, aggregate_layouts, demo_topic_links, demo_authors,
+        merged_reference_records, kept_selections, selected_candidates, provider_fields, united_candidates, selector_filters, aggregate_layouts, demo_topic_links, demo_authors, topic_segments, marked_links, band_colours, map_segments,
     )
 }
 
@@ -311,6 +342,16 @@ SELECT 'source' AS selector, id, 1 AS n_filters FROM p WHERE {_ENTRY} = 'openale
 UNION ALL SELECT 'tag', id, 1 FROM p, t2 WHERE list_contains(coalesce(tags, []), g[1]) UNION ALL SELECT 'unknown', id, 1 FROM p UNION ALL SELECT 'focus', id, 1 FROM p, t2 WHERE list_has_any(coalesce(topics, []), t) UNION ALL SELECT 'ignored', id, 3 FROM p WHERE year >= 2015""",
     "aggregate_layouts": f"""{_AUTHORS}, pt AS (SELECT id AS paper_id, unnest(topics) AS topic, coalesce(starred, false) AS starred FROM p), tb AS (SELECT b.id, coalesce(nullif(t.name, ''), b.id) AS name, n_papers FROM (SELECT topic AS id, count(*) AS n_papers FROM pt WHERE coalesce(topic, '') <> '' GROUP BY topic) b LEFT JOIN t ON b.id = t.id)
 SELECT 'author' AS kind, id, "column", "row" FROM ({_ranked('abc', 'coauthors')}) UNION ALL SELECT 'topic', id, "column", "row" FROM ({_ranked('tb', 'n_papers')})""",
+    "topic_segments": f"""{_TOPICS}, r AS ({_ranked('tb', 'n_papers')}), l AS (SELECT DISTINCT a.topic AS source, b.topic AS target FROM e JOIN pt2 a ON e.source = a.paper_id JOIN pt2 b ON e.target = b.paper_id WHERE a.topic <> b.topic),
+m AS (SELECT id, x + width / 2.0 AS cx, y + height / 2.0 AS cy, width, height FROM r), j AS (SELECT source, target, s.cx AS sx, s.cy AS sy, t.cx AS tx, t.cy AS ty, s.width AS sw, s.height AS sh, t.width AS tw, t.height AS th FROM l JOIN m s ON s.id = source JOIN m t ON t.id = target),
+k AS (SELECT *, 1 / greatest(abs(tx - sx) / greatest(1.0, sw / 2.0), abs(ty - sy) / greatest(1.0, sh / 2.0), 0.001) AS ks, 1 / greatest(abs(tx - sx) / greatest(1.0, tw / 2.0 + 5), abs(ty - sy) / greatest(1.0, th / 2.0 + 5), 0.001) AS kt FROM j)
+SELECT source, target, CAST(round(sx + (tx - sx) * ks, 6) AS DOUBLE) AS x1, CAST(round(sy + (ty - sy) * ks, 6) AS DOUBLE) AS y1, CAST(round(tx + (sx - tx) * kt, 6) AS DOUBLE) AS x2, CAST(round(ty + (sy - ty) * kt, 6) AS DOUBLE) AS y2 FROM k""",
+    "marked_links": f"""{_AUTHORS}, pt AS (SELECT id AS paper_id, unnest(topics) AS topic FROM p), l AS (SELECT DISTINCT a.topic AS source, b.topic AS target FROM e JOIN pt a ON e.source = a.paper_id JOIN pt b ON e.target = b.paper_id WHERE a.topic <> b.topic AND a.topic <> '' AND b.topic <> '')
+SELECT 'topic' AS kind, source, target FROM l WHERE source = (SELECT min(source) FROM l) UNION ALL SELECT 'author', source, target FROM co WHERE source = (SELECT min(source) FROM co) OR target = (SELECT min(source) FROM co)""",
+    "band_colours": f"{ONCE} SELECT year, CAST((row_number() OVER (ORDER BY year) - 1) % 12 AS INTEGER) AS colour FROM (SELECT DISTINCT year FROM p WHERE year IS NOT NULL)",
+    "map_segments": f"""{ONCE}, c AS (SELECT id, coalesce(year, 0) * 10.0::DOUBLE AS x, coalesce(citationCount, 0)::DOUBLE AS y, CASE WHEN citationCount > 0 THEN greatest(8, least(15, 8 + log10(citationCount + 1) * 1.75)) ELSE 8 END AS r FROM p),
+j AS (SELECT e.id, a.x AS ax, a.y AS ay, a.r AS ar, b.x AS bx, b.y AS by_, b.r AS br, greatest(0.001, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2)) AS d FROM e JOIN c a ON a.id = source JOIN c b ON b.id = target)
+SELECT id, round(ax + (bx - ax) / d * ar, 5) AS x1, round(ay + (by_ - ay) / d * ar, 5) AS y1, round(bx - (bx - ax) / d * (br + 6), 5) AS x2, round(by_ - (by_ - ay) / d * (br + 6), 5) AS y2 FROM j""",
     "demo_topic_links": f"""WITH pt AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{t}')" for i, *_, ts in demo.PAPERS for t in ts)}) v(p, t)), e AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in demo.EDGES)}) v(a, b))
 SELECT x.t AS source, y.t AS target, count(*) AS weight FROM e JOIN pt x ON x.p = a JOIN pt y ON y.p = b WHERE x.t <> y.t GROUP BY ALL""",
     "demo_authors": f"""WITH r AS (SELECT * FROM (VALUES {', '.join(f"('{i}', '{a}')" for i, _, _, _, names, _ in demo.PAPERS for a in names)}) v(p, a)), k AS (SELECT p, 'author:' || trim(regexp_replace(lower(strip_accents(replace(replace(a, 'Ł', 'Ł'), 'ł', 'ł'))), '[^a-z0-9]+', ' ', 'g')) AS id FROM r),
