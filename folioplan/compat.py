@@ -18,7 +18,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        configured = sc.getConf().get("spark.checkpoint.dir", "")
+        configured = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
         if not configured and not sc.master.split("[")[0] == "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="folioplan-checkpoint-"))
