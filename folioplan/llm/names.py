@@ -193,7 +193,7 @@ def _typo(a: Column, b: Column) -> Column:
 
 
 #: A word is rare beside another if that one goes with at least so many times as many names.
-SHARE = 20
+SHARE = 10
 
 
 def _uses(facts: DataFrame) -> DataFrame:
