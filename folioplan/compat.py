@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -40,6 +41,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of what earlier rounds of a loop left: Spark deletes shuffle files, broadcasts and (where it is told to)
+    checkpoints when the driver's collector finds that nothing refers to them, and a loop should not wait for that."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE_SPACE, "")
 
