@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioplan.compat import cut
+from folioplan.compat import cut, release
 from folioplan.llm.visual import LOOK_ALIKES
 
 _ALIKE = str.maketrans({x: y for a, b in LOOK_ALIKES.values() for x, y in zip(a, b)})
@@ -394,6 +394,7 @@ def resolve(papers: DataFrame, nicknames: dict[str, list[str]] = FAMILIAR) -> Da
     named = cut(_oriented(cut(spellings(papers))).withColumn("form", bare))
     facts = cut(_facts(named, nicknames))
     asks, answers = _keys(facts)
+    release(papers.sparkSession)
     state = facts.select("form", F.col("form").alias("entity"), "kind", "surname", "given", "middle", "half", "formals", "full", "n")
     by_coauthors = merged = False
     while True:
@@ -409,6 +410,7 @@ def resolve(papers: DataFrame, nicknames: dict[str, list[str]] = FAMILIAR) -> Da
                 held = held.unionByName(united.select("entity", F.explode(_answers()).alias("key")))
             merges = _named(asked, held.distinct())
         merges = cut(_consistent(merges, profiles))
+        release(papers.sparkSession)
         if not merges.isEmpty():
             state, by_coauthors, merged = _follow(state, merges), False, True  # richer profiles ask again
         elif by_coauthors:
