@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioplan.compat import cut
+from folioplan.compat import by_slices, dropped, kept, release
 
 #: Letters as the strokes that scanners confuse - i, l, t, f and 1 are one stroke, h, b, u (and ii, li, fi,
 #: ti, the last also read as ü) two, n is r and a stroke, m is r and n, d is c and a stroke, c and e are one.
@@ -43,7 +43,7 @@ SECOND = re.compile(r"(?<=[^\W\d_][-‐‑])[^\W\d_]+")
 ROMAN = re.compile(r"[ivxlcdm1]+", re.I)
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=65_536)
 def skeleton(word: str) -> str:
     if word.isascii():
         return word.lower().translate(_STROKES)
@@ -53,7 +53,7 @@ def skeleton(word: str) -> str:
 
 def line_key(line: str) -> str:
     """Skeleton of a line without spaces, marks and numbers."""
-    return skeleton(re.sub(r"[\W_]+", "", re.sub(r"\b\d+\b", "", line)))
+    return skeleton.__wrapped__(re.sub(r"[\W_]+", "", re.sub(r"\b\d+\b", "", line)))  # lines hardly come again: no cache
 
 
 # ---- lexicon ------------------------------------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def lexicon(texts: DataFrame) -> DataFrame:
             yield b.assign(skel=[skeleton(w) for w in b["word"]])
 
     counted = texts.select("text").mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return cut(counted.mapInPandas(skeletons, "word string, n bigint, skel string"))
+    return kept(counted.mapInPandas(skeletons, "word string, n bigint, skel string"))
 
 
 def clean_texts(papers: DataFrame) -> DataFrame:
@@ -533,7 +533,7 @@ def furniture(page_rows: DataFrame) -> DataFrame:
             out["depth"] = out["depth"].astype(int)
             yield out
 
-    cand = cut(page_rows.mapInPandas(edges, "doc_id string, page int, line int, key string, form string, depth int, edge string"))
+    cand = kept(by_slices(page_rows, edges, "doc_id string, page int, line int, key string, form string, depth int, edge string"))
     repeated = cand.where("form IN ('capital', 'capitals', 'head', 'caps', 'source') AND length(key) >= 6").groupBy("doc_id", "key").agg(F.count_distinct("page").alias("n"))
     first = cand.groupBy("doc_id").agg(F.min("page").alias("first"))
     j = cand.join(repeated, ["doc_id", "key"], "left").join(first, "doc_id").withColumn("n", F.coalesce("n", F.lit(1)))
@@ -565,18 +565,27 @@ def furniture(page_rows: DataFrame) -> DataFrame:
                 rows.append((d, p, got))
             yield pd.DataFrame(rows, columns=["doc_id", "page", "furniture"])
 
-    return page_rows.join(per_page, ["doc_id", "page"]).mapInPandas(judge, "doc_id string, page int, furniture array<int>")
+    judged = kept(by_slices(page_rows.join(per_page, ["doc_id", "page"]), judge, "doc_id string, page int, furniture array<int>"))
+    dropped(cand)
+    return judged
 
 
 # ---- the whole ----------------------------------------------------------------------------------------------------
 
 
 def _items(pages: DataFrame, drafts: DataFrame) -> DataFrame:
-    """src, doc_id, item_no, lines, furniture, follow (the first text line of the next page)."""
-    rows = cut(_page_rows(pages))
-    marked = cut(rows.join(furniture(rows), ["doc_id", "page"], "left").withColumn("furniture", F.coalesce("furniture", F.array().cast("array<int>"))))
+    """no, src, doc_id, item_no, lines, furniture, follow (the first text line of the next page); no is the item's number.
+
+    Every step is kept before the next one begins, and what only it needed is let go.
+    """
+    rows = kept(_page_rows(pages))
+    release(rows.sparkSession)
+    found = furniture(rows)
+    marked = rows.join(found, ["doc_id", "page"], "left").withColumn("furniture", F.coalesce("furniture", F.array().cast("array<int>")))
     texts = F.filter("lines", lambda x, i: (F.trim(x) != "") & ~F.array_contains("furniture", i))
-    following = marked.select("doc_id", (F.col("page") - 1).alias("page"), F.try_element_at(texts, F.lit(1)).alias("follow"))
+    marked = kept(marked.withColumn("first", F.try_element_at(texts, F.lit(1))))
+    dropped(rows, found)
+    following = marked.select("doc_id", (F.col("page") - 1).alias("page"), F.col("first").alias("follow"))
     out = marked.join(following, ["doc_id", "page"], "left").select(F.lit("pdf_pages").alias("src"), "doc_id", F.col("page").alias("item_no"), "lines", "furniture", "follow")
     # Lines of bibliography entries are lines of pages: what is furniture there is furniture here.
     gone = marked.select("doc_id", "page", F.explode("furniture").alias("k"), "lines").select("doc_id", "page", F.trim(F.get("lines", F.col("k"))).alias("t")).distinct()
@@ -588,7 +597,10 @@ def _items(pages: DataFrame, drafts: DataFrame) -> DataFrame:
         F.lit("reference_drafts").alias("src"), "doc_id", F.col("draft_no").alias("item_no"), F.transform("c", lambda x: x["text"]).alias("lines"),
         F.transform(F.filter("c", lambda x: x["f"]), lambda x: x["k"]).alias("furniture"), F.lit(None).cast("string").alias("follow"),
     )
-    return out.unionByName(made)
+    # Numbers that Spark gives are fixed once they are written.
+    items = kept(out.unionByName(made).select(F.monotonically_increasing_id().alias("no"), "*"))
+    dropped(marked)
+    return items
 
 
 FOUND = "src string, doc_id string, item_no int, line_no int, kind string, repaired string"
@@ -601,7 +613,7 @@ def _decoded(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int
     second = F.col("word").startswith("-")
     total = words.agg(F.sum(F.when(~second, F.col("n"))), F.sum(F.when(second, F.col("n")))).first()
     shared = spark.sparkContext.broadcast((top, total[0] or 1, total[1] or 1))
-    items = cut(_items(pages, drafts))
+    items = _items(pages, drafts)
 
     # Words beyond the common ones are no more frequent than the last of those.
     cuts = bool(top) and top[-1][1] >= PART
@@ -610,7 +622,7 @@ def _decoded(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int
         known = {w for w, _, _ in shared.value[0]}
         for b in batches:
             rows = []
-            for s, d, i, lines, follow in zip(b["src"], b["doc_id"], b["item_no"], b["lines"], b["follow"]):
+            for no, lines, follow in zip(b["no"], b["lines"], b["follow"]):
                 need = unknown_pieces([*lines, follow or ""], known, cuts)
                 ends = [x for x in (*lines, follow or "") if x.strip()]
                 for x, y in zip(ends, ends[1:]):
@@ -618,31 +630,30 @@ def _decoded(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int
                         h, t = re.search(r"[^\W\d_]+$", HYPHEN.sub("", x)), re.match(r"\s*([^\W_]+)", y)
                         if h and t:
                             need.add(skeleton(h[0] + t[1]))
-                rows += [(s, d, i, k) for k in need]
-            yield pd.DataFrame(rows, columns=["src", "doc_id", "item_no", "skel"])
+                rows += [(no, k) for k in need]
+            yield pd.DataFrame(rows, columns=["no", "skel"])
 
     # Words beyond the common ones, for the pages that may need them.
-    others = words if len(top) >= common else words.limit(0)
-    asked = items.select("src", "doc_id", "item_no", "lines", "follow").mapInPandas(asks, "src string, doc_id string, item_no int, skel string") if len(top) >= common else None
-    if asked is not None:
-        more = asked.join(others, "skel").groupBy("src", "doc_id", "item_no").agg(F.collect_list(F.struct("word", "n", "skel")).alias("more"))
-        items = items.join(more, ["src", "doc_id", "item_no"], "left")
+    if len(top) >= common:
+        asked = by_slices(items.select("no", "lines", "follow"), asks, "no bigint, skel string")
+        more = asked.join(words, "skel").groupBy("no").agg(F.collect_list(F.struct("word", "n")).alias("more"))
+        items = items.join(more, "no", "left")
     else:
-        items = items.withColumn("more", F.lit(None).cast("array<struct<word:string,n:bigint,skel:string>>"))
+        items = items.withColumn("more", F.lit(None).cast("array<struct<word:string,n:bigint>>"))
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(*shared.value)
         for b in batches:
             rows = []
             for s, d, i, lines, gone, follow, more in zip(b["src"], b["doc_id"], b["item_no"], b["lines"], b["furniture"], b["follow"], b["more"]):
-                lex.page([(x["word"], x["n"], x["skel"]) for x in more] if more is not None else [])
+                lex.page([(x["word"], x["n"], skeleton(x["word"])) for x in more] if more is not None else [])
                 lines, marks = list(lines), set(gone)
                 page = Page(lines, [k in marks for k in range(len(lines))], follow, lex)
                 page.decode()
                 rows += rows_of(s, d, i, page)
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return items.select("src", "doc_id", "item_no", "lines", "furniture", "follow", "more").mapInPandas(decode, schema)
+    return by_slices(items.select("src", "doc_id", "item_no", "lines", "furniture", "follow", "more"), decode, schema)
 
 
 def noise(pages: DataFrame, drafts: DataFrame, papers: DataFrame, common: int = 100_000) -> DataFrame:
