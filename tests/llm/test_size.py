@@ -1,10 +1,12 @@
 """What must hold of memory and disk where tables are large."""
 
+import hashlib
 import os
 
 import pandas as pd
 
 from folioplan import compat
+from folioplan.llm import linkage as L
 from folioplan.llm import scans as S
 
 
@@ -47,3 +49,14 @@ def test_pages_are_kept_once_and_compressed(spark):
     found = S.noise(p, d, c)
     assert stored(spark) - before < sum(len(t) for _, _, t in pages)
     assert {r.kind for r in found.collect()} <= {"furniture", "broken", "misread"}
+
+
+def test_links_leave_nothing_but_the_links_on_disk(spark):
+    title = lambda k: " ".join(hashlib.md5(f"{k}{j}".encode()).hexdigest()[:9] for j in range(6))
+    p = spark.createDataFrame([(f"p{k}", title(k), [f"Jorin Zu{k}krebadim", "Orla Mirtorji"], 2000, None) for k in range(600)], "id string, title string, authors array<string>, year int, doi string")
+    w = spark.createDataFrame([(f"w{k}", title(k), [f"J. Zu{k}krebadim"], 2001, None) for k in range(0, 600, 20)], "record_id string, title string, authors array<string>, year int, doi string")
+    compat.prepare(spark)
+    before = stored(spark)
+    found = L.link(p, w, least=L.MATCH)
+    assert {(r.paper_id, r.record_id) for r in found.collect()} == {(f"p{k}", f"w{k}") for k in range(0, 600, 20)}
+    assert stored(spark) - before < 30_000
