@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -134,55 +135,69 @@ def repel(x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, radius:
     grid: dict[tuple[int, int], list[int]] = {}
     for k, c in enumerate(zip(cx.tolist(), cy.tolist())):
         grid.setdefault(c, []).append(k)
-    for (a, b), members in grid.items():
+    cells = {c: np.array(m) for c, m in grid.items()}
+    for (a, b), members in cells.items():
         for da, db in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1)):
-            others = members if (da, db) == (0, 0) else grid.get((a + da, b + db), ())
-            if not others:
+            j = cells.get((a + da, b + db))
+            if j is None:
                 continue
-            i = np.repeat(members, len(others))
-            j = np.tile(others, len(members))
-            if (da, db) == (0, 0):
-                keep = i < j
-                i, j = i[keep], j[keep]
-            dx, dy = x[j] - x[i], y[j] - y[i]
-            square = dx * dx + dy * dy
-            same = square < 1  # on top of each other: apart by the parity of their places
-            dx, dy, square = np.where(same, np.where((i + j) % 2, 1.0, -1.0), dx), np.where(same, 1.0, dy), np.where(same, 2.0, square)
-            d = np.sqrt(square)
-            push = np.where(square > cell * cell, 0.0, np.where(d < radius[i] + radius[j] + padding, 2.2, 120 / square)) * cooling
-            for v, step in ((vx, dx / d * push), (vy, dy / d * push)):
-                np.subtract.at(v, i, step)
-                np.add.at(v, j, step)
-
-
-def gravity(blocks: DataFrame, links: DataFrame, width: int = 1200, height: int = 720, most: int = 5000) -> DataFrame:
+            own, wide = (da, db) == (0, 0), max(1, PAIRS // len(j))
+            # Pairs are taken a block of rows at a time; sums keep the order of one pass over all pairs, first pushes of the
+            # left sides, then of the right ones, so that the blocks change no digit.
+            for sides in (("left",), ("right",)) if own else (("left", "right"),):
+                for at in range(0, len(members), wide):
+                    i = members[at : at + wide]
+                    dx, dy = x[j][None, :] - x[i][:, None], y[j][None, :] - y[i][:, None]
+                    square = dx * dx + dy * dy
+                    same = square < 1  # on top of each other: apart by the parity of their places
+                    if same.any():
+                        dx, dy, square = np.where(same, np.where((i[:, None] + j[None, :]) % 2, 1.0, -1.0), dx), np.where(same, 1.0, dy), np.where(same, 2.0, square)
+                    d = np.sqrt(square)
+                    push = np.where(square > cell * cell, 0.0, np.where(d < radius[i][:, None] + radius[j][None, :] + padding, 2.2, 120 / square)) * cooling
+                    if own:
+                        push = np.where(i[:, None] < j[None, :], push, 0.0)
+                    for v, step in ((vx, dx / d * push), (vy, dy / d * push)):
+                        if "left" in sides:
+                            v[i] = np.subtract.reduce(np.concatenate([v[i][:, None], step], axis=1), axis=1)
+                        if "right" in sides:
+                            v[j] = np.subtract.reduce(np.concatenate([v[j][None, :], -step]), axis=0)
+
+
+PAIRS = 1 << 16  # pairs of blocks held at once
+
+
+def gravity(blocks: DataFrame, links: DataFrame, width: int = 1200, height: int = 720) -> DataFrame:
     """id, x, y: springs, repulsion and gravity from seeded places; the same input gives the same layout.
 
-    A force layout is one simulation over one view, so it runs in one task; views of more than ``most`` blocks are
-    refused rather than sampled.
+    A force layout is one simulation over one view, so it runs in one task, whatever the number of blocks: it holds a few
+    numbers per block and per link, and its time grows with the pairs of blocks that are near each other.
     """
-    if blocks.limit(most + 1).count() > most:
-        raise ValueError(f"a force layout of more than {most} blocks; filter the view first")
-    marked = blocks.select(F.lit(0).alias("g"), "id", F.lit("").alias("target"), F.col("n_papers").cast("double").alias("w"), F.lit(True).alias("node"))
-    springs = links.select(F.lit(0).alias("g"), F.col("source").alias("id"), "target", F.col("weight").cast("double").alias("w"), F.lit(False).alias("node"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = pdf[pdf["node"]].sort_values("id")
-        ids = nodes["id"].tolist()
+    nodes = cut(numbered(blocks.select("id", F.col("n_papers").cast("double").alias("w")), [], [F.col("id")], "t").withColumn("t", F.col("t") - 1))
+    springs = links.join(nodes.select(F.col("id").alias("source"), F.col("t").alias("s")), "source").join(nodes.select(F.col("id").alias("target"), "t"), "target")
+    rows = nodes.select(F.lit(-1).alias("s"), "t", "w", "id").unionByName(springs.select("s", "t", F.col("weight").cast("double").alias("w"), F.lit(None).cast("string").alias("id")))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list[str] = []
+        weights, parts = [], []
+        for b in batches:
+            node = b["s"].to_numpy() < 0
+            ids += b["id"][node].tolist()
+            weights.append(b["w"].to_numpy(dtype=float)[node])
+            parts.append((b["s"].to_numpy()[~node], b["t"].to_numpy()[~node], b["w"].to_numpy(dtype=float)[~node]))
         n = len(ids)
+        if not n:
+            return
+        s, t, w = (np.concatenate(p) for p in zip(*parts))
+        parts.clear()
         big_w, big_h = logical_size(width, height, n)
         seeds = np.array([fnv(i) for i in ids], dtype=np.int64)
         angle = (seeds % 360) / 180 * np.pi
         ring = 80 + (seeds >> 9) % max(100, int(min(big_w, big_h) * 0.36))
-        tall = np.clip(64 + nodes["w"].to_numpy() * 5, 68, 96)
+        tall = np.clip(64 + np.concatenate(weights) * 5, 68, 96)
         radius = np.hypot(105, tall / 2)
         x, y = big_w / 2 + np.cos(angle) * ring, big_h / 2 + np.sin(angle) * ring
         vx, vy = np.zeros(n), np.zeros(n)
-        place = {i: k for k, i in enumerate(ids)}
-        e = pdf[~pdf["node"]]
-        e = e[e["id"].isin(place) & e["target"].isin(place)].sort_values(["id", "target"])
-        s, t = e["id"].map(place).to_numpy(dtype=int), e["target"].map(place).to_numpy(dtype=int)
-        strength = np.minimum(2.5, 0.65 + np.log2(e["w"].fillna(1).to_numpy() + 1))
+        strength = np.minimum(2.5, 0.65 + np.log2(np.where(np.isnan(w), 1, w) + 1))
         rounds = gravity_budget(n)
         for k in range(rounds):
             cooling = max(0.08, 1 - k / rounds)
@@ -197,9 +212,9 @@ def gravity(blocks: DataFrame, links: DataFrame, width: int = 1200, height: int
                 np.subtract.at(v, t, step)
             x = np.clip(x + vx, 24, big_w - 234)
             y = np.clip(y + vy, 30, big_h - tall - 30)
-        return pd.DataFrame({"id": ids, "x": x, "y": y})
+        yield pd.DataFrame({"id": ids, "x": x, "y": y})
 
-    return marked.unionByName(springs).groupBy("g").applyInPandas(run, "id string, x double, y double")
+    return rows.repartition(1).sortWithinPartitions("s", "t").mapInPandas(run, "id string, x double, y double")
 
 
 def aggregate_layout(kind: str, technique: str, blocks: DataFrame, links: DataFrame) -> DataFrame:
